@@ -20,7 +20,10 @@ plan string, json_plan string, inputs_json string,
 resource_group string, server_version string, environment string
 """
 
-LOG_SCHEMA = T.StructType.fromDDL(_LOG_COLUMNS)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "timestamp": T.TimestampType()}
+LOG_SCHEMA = T.StructType(
+    [T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, _LOG_COLUMNS.split(","))]
+)
 LOG_COLUMNS = LOG_SCHEMA.names
 STRING_COLUMNS = [f.name for f in LOG_SCHEMA if isinstance(f.dataType, T.StringType)]
 BIGINT_COLUMNS = [f.name for f in LOG_SCHEMA if isinstance(f.dataType, T.LongType)]
@@ -49,19 +52,14 @@ SUMMARY_COLUMNS = [
 LARGE_COLUMNS = ["plan", "json_plan", "query_text", "error_message", "inputs_json"]
 SMALL_COLUMNS = [c for c in STRING_COLUMNS if c not in LARGE_COLUMNS]
 
-INPUTS_TYPE = T.ArrayType(
-    T.StructType.fromDDL(
-        "catalogName string, `schema` string, `table` string, "
-        "columns array<struct<name: string, type: string>>, "
-        "physicalInputBytes bigint, physicalInputRows bigint"
-    )
+INPUTS_TYPE = (
+    "array<struct<catalogName: string, `schema`: string, `table`: string, "
+    "columns: array<struct<name: string, type: string>>, "
+    "physicalInputBytes: bigint, physicalInputRows: bigint>>"
 )
 
-DURATION_FIELDS = ["cpuTime", "wallTime", "queuedTime", "analysisTime", "planningTime", "executionTime"]
-
 # Durations are VARIANT because a JSON string and a JSON number mean different things.
-EVENT_SCHEMA = T.StructType.fromDDL(
-    """
+EVENT_SCHEMA = """
     metadata struct<queryId: string, transactionId: string, query: string, updateType: string,
                     preparedQuery: string, queryState: string, uri: string, plan: string,
                     jsonPlan: string>,
@@ -83,5 +81,4 @@ EVENT_SCHEMA = T.StructType.fromDDL(
     createTime string, executionStartTime string, endTime string,
     ingestedAt string, ingestSeq bigint,
     _corrupt_record string
-    """
-)
+"""

@@ -40,14 +40,14 @@ def decode_events(lines: DataFrame) -> DataFrame:
     """Adds ``event`` and ``malformed``.  Unknown keys are ignored, absent keys are NULL; a wrong
     type, a bad time or an oversized document makes the whole event malformed."""
     fits = F.octet_length("value") <= MAX_EVENT_BYTES
-    parsed = lines.withColumn(
-        "event",
-        F.from_json(
-            F.when(fits, F.col("value")),
-            EVENT_SCHEMA,
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-        ),
+    event = F.from_json(
+        F.when(fits, F.col("value")),
+        EVENT_SCHEMA,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
+    # As a generator output the event is parsed once per document; as a plain column the optimizer
+    # would repeat the parse inside every filter it pushes down.
+    parsed = lines.select("*", F.explode(F.array(event)).alias("event"))
     return parsed.withColumn("malformed", _is_malformed(F.col("event")))
 
 

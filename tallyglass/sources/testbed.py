@@ -168,8 +168,7 @@ def log_fields(d: Dialect) -> dict[str, str]:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A one-file table arrives as one task; hand its narrow rows to all cores before they are
-    widened.  A table of many files stays as it is."""
+    """A one-file table arrives as one task; hand its rows to all cores before they are widened.  A table of many files stays as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
@@ -182,7 +181,9 @@ def source_rows(spark: SparkSession, sf_dir: str, documents: bool = True) -> Dat
     )
     if not documents:
         return events
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("doc_text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", F.col("text").alias("doc_text")
+    )
     n_docs = docs.count()  # answered from file footers
     return events.join(docs, F.col("i") % F.lit(n_docs) == F.col("doc_id")).drop("doc_id")
 
@@ -307,7 +308,7 @@ def landing_lines(versioned: DataFrame) -> DataFrame:
         ]
     )
     value = f"CASE WHEN i % 101 = 7 THEN '{{not json ' || i ELSE {document} END"
-    return versioned.select(F.expr(value).alias("value"), "v")
+    return versioned.select(F.expr(value).alias("value"))
 
 
 # What a session has already written, by application and source folder.
@@ -326,7 +327,9 @@ def landing(spark: SparkSession, sf_dir: str) -> str:
 
     def build() -> str:
         path = fresh_path(spark, "landing")
-        landing_lines(versions(source_rows(spark, sf_dir))).write.partitionBy("v").text(path)
+        rows = versions(source_rows(spark, sf_dir))
+        for v in (0, 1):
+            landing_lines(rows.where(F.col("v") == v)).write.text(f"{path}/v={v}")
         return path
 
     configure(spark)
