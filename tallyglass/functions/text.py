@@ -1,8 +1,9 @@
-"""Whitespace, byte-bounded and character-bounded text expressions."""
+"""Whitespace, byte-bounded and character-bounded text expressions.
 
-from __future__ import annotations
+Builders of long expressions take the SQL name of their column and give one parsed expression:
+assembling them call by call would cost seconds per micro-batch in the driver."""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,12 +11,18 @@ from pyspark.sql import functions as F
 # With (?U), \s is the Unicode White_Space property; a hand-written class is three times slower.
 WHITE_RUN = r"(?U)\s+"
 ELLIPSIS = "…"
+_MARKER = "…[truncated "
+_MARKER_END = " bytes]"
+
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, worked out once.  Keeps long
+    expressions out of generated code, which has a size limit."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value worked out once.  Keeps long expressions out of generated
-    code, which has a size limit, where they are rarely reached or use their input many times."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+def one_line_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, r'{WHITE_RUN}', ' '))"
 
 
 def one_line(text: Column) -> Column:
@@ -23,59 +30,58 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE_RUN, " "))
 
 
-def _continues_rune(raw: Column, position: Column) -> Column:
-    # UTF-8 continuation bytes are 0x80..0xBF; Spark compares binary values unsigned.
-    byte = F.substring(raw, position, F.lit(1))
-    return byte.between(F.lit(bytes([0x80])), F.lit(bytes([0xBF])))
+def _rune_safe_length(text: str, n: str) -> str:
+    """Largest k <= n such that the first k bytes end on a character boundary.  Assumes the text
+    is longer than n bytes; a character has at most four bytes."""
 
+    def inside(position: str) -> str:
+        # Continuation bytes are 0x80..0xBF; Spark compares binary values unsigned.
+        return f"substring(CAST({text} AS BINARY), {position}, 1) BETWEEN X'80' AND X'BF'"
 
-def rune_safe_length(text: Column, n: Column) -> Column:
-    """Largest k <= n such that the first k bytes end on a character boundary.
-    Assumes the text is longer than n bytes; a character has at most four bytes."""
-    raw = text.cast("binary")
     return (
-        F.when(~_continues_rune(raw, n + 1), n)
-        .when(~_continues_rune(raw, n), n - 1)
-        .when(~_continues_rune(raw, n - 1), n - 2)
-        .otherwise(n - 3)
+        f"CASE WHEN NOT ({inside(f'{n} + 1')}) THEN {n} WHEN NOT ({inside(n)}) THEN {n} - 1 "
+        f"WHEN NOT ({inside(f'{n} - 1')}) THEN {n} - 2 ELSE {n} - 3 END"
     )
 
 
-def _prefix(text: Column, n_bytes: Column) -> Column:
-    return F.substring(text.cast("binary"), F.lit(1), n_bytes).cast("string")
+def _prefix(text: str, n_bytes: str) -> str:
+    return f"CAST(substring(CAST({text} AS BINARY), 1, {n_bytes}) AS STRING)"
+
 
+def _byte_prefix(text: str, n: int) -> str:
+    cut = _prefix(text, _rune_safe_length(text, str(n)))
+    return f"CASE WHEN octet_length({text}) <= {n} THEN {text} ELSE {cut} END"
 
-def byte_prefix(text: Column, n: int) -> Column:
+
+def byte_prefix(column: str, n: int) -> Column:
     """Longest prefix of at most n bytes that is still valid UTF-8."""
-    return F.when(F.octet_length(text) <= n, text).otherwise(
-        _prefix(text, rune_safe_length(text, F.lit(n)))
-    )
+    return F.expr(_byte_prefix(column, n))
 
 
-def query_preview(text: Column, n_bytes: int = 200) -> Column:
-    flat = one_line(text)
-    return let(flat, lambda s: byte_prefix(s, n_bytes)) if n_bytes > 0 else flat
+def query_preview(column: str, n_bytes: int = 200) -> Column:
+    flat = one_line_sql(column)
+    return F.expr(let(flat, "s", _byte_prefix("s", n_bytes)) if n_bytes > 0 else flat)
 
 
-def truncate_bytes(text: Column, limit: int) -> Column:
-    """Cap a text at ``limit`` bytes; a marker naming the removed bytes replaces the tail
-    where it fits, else the result is a bare prefix.  ``limit <= 0`` empties longer texts."""
-    fits = F.octet_length(text) <= limit
-    if limit <= 0:
-        return F.when(fits, text).otherwise("")
-    return F.when(fits, text).otherwise(let(text, lambda s: _cut_and_mark(s, limit)))
+def truncate_bytes(column: str, limit: int) -> Column:
+    """Cap a text at ``limit`` bytes; a marker naming the removed bytes replaces the tail where it
+    fits, else the result is a bare prefix.  ``limit <= 0`` empties longer texts."""
+    cut = let(column, "s", _cut_and_mark(limit)) if limit > 0 else "''"
+    return F.expr(f"CASE WHEN octet_length({column}) <= {limit} THEN {column} ELSE {cut} END")
 
 
-def _cut_and_mark(text: Column, limit: int) -> Column:
-    size = F.octet_length(text)
+def _cut_and_mark(limit: int) -> str:
     # The marker is sized with the full length, whose digits bound those of the count.
-    fixed = len("\n…[truncated  bytes]".encode())
-    room = F.lit(limit - fixed) - F.length(size.cast("string"))
-    kept = rune_safe_length(text, room)
-    marked = F.concat(
-        _prefix(text, kept), F.lit("\n…[truncated "), (size - kept).cast("string"), F.lit(" bytes]")
+    fixed = len(f"\n{_MARKER}{_MARKER_END}".encode())
+    room = f"({limit - fixed} - length(CAST(octet_length(s) AS STRING)))"
+    marked = (
+        f"concat({_prefix('s', 'k')}, '\\n{_MARKER}', CAST(octet_length(s) - k AS STRING), '{_MARKER_END}')"
+    )
+    bare = _prefix("s", _rune_safe_length("s", str(limit)))
+    return (
+        f"CASE WHEN {room} <= 0 THEN {bare} "
+        f"ELSE {let(_rune_safe_length('s', room), 'k', marked)} END"
     )
-    return F.when(room <= 0, _prefix(text, rune_safe_length(text, F.lit(limit)))).otherwise(marked)
 
 
 def ellipsize(text: Column, n: int) -> Column:

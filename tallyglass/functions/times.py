@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyglass.functions.text import let
+
 # Duration grammar and unit scales in nanoseconds.
 _NUMBER = r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 _DURATION = rf"^[+-]?P(?:{_NUMBER}D)*(?:T(?:{_NUMBER}[DHMS]|T)*)?$"
@@ -14,65 +16,63 @@ _NANOS = {"D": 86_400e9, "H": 3_600e9, "M": 60e9, "S": 1e9}
 _RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
 
 
-def _whole(nanos: Column) -> Column:
+def _whole(nanos: str) -> str:
     # Toward zero; out of range counts as zero.
-    return F.coalesce(nanos.try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def iso_duration_nanos(text: Column) -> Column:
-    """ISO-8601 duration in nanoseconds; anything else is 0.  Every component is scaled in
-    double arithmetic and cut to whole nanoseconds before the sum."""
-    number = F.regexp_extract_all(text, F.lit(_COMPONENT), F.lit(1))
-    unit = F.regexp_extract_all(text, F.lit(_COMPONENT), F.lit(2))
-
-    def nanos(n: Column, u: Column) -> Column:
-        scale = (
-            F.when(u == "S", F.lit(_NANOS["S"]))
-            .when(u == "M", F.lit(_NANOS["M"]))
-            .when(u == "H", F.lit(_NANOS["H"]))
-            .otherwise(F.lit(_NANOS["D"]))
-        )
-        return _whole(n.try_cast("double") * scale)
-
-    total = F.aggregate(
-        F.zip_with(number, unit, nanos),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: F.coalesce(F.try_add(acc, x), F.lit(0).cast("bigint")),
+    return f"coalesce(try_cast({nanos} AS BIGINT), 0L)"
+
+
+def _iso_nanos(text: str) -> str:
+    scales = " ".join(f"WHEN '{unit}' THEN {scale:.0f}D" for unit, scale in _NANOS.items())
+    component = _whole(f"(try_cast(n AS DOUBLE) * CASE u {scales} END)")
+    parts = [f"regexp_extract_all({text}, r'{_COMPONENT}', {group})" for group in (1, 2)]
+    total = (
+        f"aggregate(zip_with({parts[0]}, {parts[1]}, (n, u) -> {component}), 0L, "
+        "(total, x) -> coalesce(try_add(total, x), 0L))"
+    )
+    return (
+        f"CASE WHEN NOT ({text} RLIKE r'{_DURATION}') THEN 0L "
+        f"WHEN startswith({text}, '-') THEN -{total} ELSE {total} END"
     )
-    signed = F.when(text.startswith("-"), -total).otherwise(total)
-    return F.when(text.rlike(_DURATION), signed).otherwise(F.lit(0).cast("bigint"))
 
 
-def _millis(nanos: Column) -> Column:
-    return F.call_function("div", nanos, F.lit(1_000_000).cast("bigint"))
+def _millis(nanos: str) -> str:
+    return f"coalesce(({nanos}) div 1000000L, 0L)"
 
 
-def iso_duration_ms(text: Column) -> Column:
-    return F.coalesce(_millis(iso_duration_nanos(text)), F.lit(0).cast("bigint"))
+def iso_duration_ms(column: str) -> Column:
+    """ISO-8601 duration in milliseconds; anything else is 0.  Every component is scaled to
+    nanoseconds in double arithmetic and cut to a whole number before the sum."""
+    return F.expr(_millis(_iso_nanos(column)))
 
 
-def duration_ms(value: Column) -> Column:
+def duration_ms(column: str) -> Column:
+    return F.expr(duration_ms_sql(column))
+
+
+def duration_ms_sql(column: str) -> str:
     """Milliseconds of a VARIANT duration: a JSON string is an ISO-8601 duration, a JSON number
     is seconds, everything else is 0."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    seconds = F.try_variant_get(value, "$", "double")
-    nanos = (
-        F.when(kind == "STRING", iso_duration_nanos(text))
-        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _whole(seconds * F.lit(1e9)))
-        .otherwise(F.lit(0).cast("bigint"))
+    text = f"try_variant_get({column}, '$', 'string')"
+    seconds = f"try_variant_get({column}, '$', 'double')"
+    return _millis(
+        f"CASE WHEN schema_of_variant({column}) = 'STRING' THEN {let(text, 's', _iso_nanos('s'))} "
+        f"WHEN schema_of_variant({column}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)' "
+        f"THEN {_whole(f'({seconds} * 1e9D)')} ELSE 0L END"
     )
-    return F.coalesce(_millis(nanos), F.lit(0).cast("bigint"))
 
 
-def rfc3339(text: Column) -> Column:
+def rfc3339_sql(column: str) -> str:
     """Instant of a strict RFC 3339 text, NULL otherwise; digits past microseconds are cut."""
-    return F.when(text.rlike(_RFC3339), F.try_to_timestamp(text))
+    return f"CASE WHEN {column} RLIKE r'{_RFC3339}' THEN try_to_timestamp({column}) END"
+
+
+def rfc3339(column: str) -> Column:
+    return F.expr(rfc3339_sql(column))
 
 
-def bad_rfc3339(text: Column) -> Column:
+def bad_rfc3339_sql(column: str) -> str:
     """A time was given but is not RFC 3339."""
-    return text.isNotNull() & rfc3339(text).isNull()
+    return f"({column} IS NOT NULL AND ({rfc3339_sql(column)}) IS NULL)"
 
 
 def partition_day(create_time: Column) -> Column:

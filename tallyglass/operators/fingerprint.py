@@ -10,22 +10,19 @@ from tallyglass.schema import LOG_COLUMNS, LOG_SCHEMA
 _WORDS = 8
 
 
-def tagged(name: str) -> Column:
-    """A field with its kind and length, so that no two rows share a text and NULL differs from
-    every value."""
-    kind = LOG_SCHEMA[name].dataType.simpleString()
-    c = F.col(name)
-    if kind == "string":
-        shown = F.concat(F.lit("s"), F.octet_length(c).cast("string"), F.lit(":"), c, F.lit(";"))
-    elif kind == "bigint":
-        shown = F.concat(F.lit("i"), c.cast("string"), F.lit(";"))
-    else:
-        shown = F.concat(F.lit("t"), F.unix_micros(c).cast("string"), F.lit(";"))
-    return F.coalesce(shown, F.lit("n;"))
+def tagged(name: str) -> str:
+    """SQL of a field with its kind and length, so that no two rows share a text and NULL differs
+    from every value."""
+    shown = {
+        "string": f"concat('s', octet_length({name}), ':', {name}, ';')",
+        "bigint": f"concat('i', {name}, ';')",
+        "timestamp": f"concat('t', unix_micros({name}), ';')",
+    }[LOG_SCHEMA[name].dataType.simpleString()]
+    return f"coalesce({shown}, 'n;')"
 
 
 def row_hash(columns: list[str] = LOG_COLUMNS) -> Column:
-    return F.sha2(F.concat(*[tagged(c) for c in columns]), 256)
+    return F.expr(f"sha2(concat({', '.join(tagged(c) for c in columns)}), 256)")
 
 
 def batch_fingerprint(
@@ -36,17 +33,14 @@ def batch_fingerprint(
     The eight 32-bit words of every row hash are summed and the sums hashed with the row count:
     order does not matter, a repeated row does, and the work is a plain partial aggregate, so a
     batch of any size never meets in one task."""
-    words = [
-        F.conv(F.substring(F.col("_hash"), 8 * w + 1, 8), 16, 10).cast("decimal(10,0)")
+    sums = [
+        f"CAST(sum(CAST(conv(substring(_hash, {8 * w + 1}, 8), 16, 10) AS DECIMAL(10,0))) AS STRING)"
         for w in range(_WORDS)
     ]
-    sums = [F.sum(word).cast("string") for word in words]
     hashed = rows.select(*(by or []), row_hash(columns).alias("_hash"))
     grouped = hashed.groupBy(*by) if by else hashed.groupBy()
-    count = F.count(F.lit(1))
+    joined = ", ".join(f"coalesce({s}, '')" for s in sums)
     return grouped.agg(
-        count.alias("n_rows"),
-        F.sha2(F.concat_ws("|", count.cast("string"), *[F.coalesce(s, F.lit("")) for s in sums]), 256).alias(
-            "fingerprint"
-        ),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.expr(f"sha2(concat_ws('|', CAST(count(1) AS STRING), {joined}), 256)").alias("fingerprint"),
     )

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import query_preview, truncate_bytes
-from tallyglass.functions.times import duration_ms, partition_day, rfc3339
+from tallyglass.functions.times import duration_ms_sql, partition_day, rfc3339_sql
 from tallyglass.schema import (
-    INPUTS_TYPE,
     LARGE_COLUMNS,
     LOG_COLUMNS,
     PARTITION_COLUMN,
@@ -37,19 +36,18 @@ class IngestOptions:
             raise ValueError(f"plan_capture must be one of {PLAN_CAPTURE_MODES}")
 
 
-def _text(value: Column) -> Column:
-    return F.coalesce(value, F.lit(""))
+def _text(value: str) -> str:
+    return f"coalesce({value}, '')"
 
 
-def _count(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0).cast("bigint"))
+def _count(value: str) -> str:
+    return f"coalesce({value}, 0L)"
 
 
 def with_status(decoded: DataFrame, own_source: str) -> DataFrame:
     """``status``: malformed, invalid, suppressed or accepted, tested in that order."""
-    event = F.col("event")
-    invalid = (_text(event["metadata"]["queryId"]) == "") | event["createTime"].isNull()
-    own = _text(event["context"]["source"]) == F.lit(own_source)
+    invalid = F.expr(f"{_text('event.metadata.queryId')} = '' OR event.createTime IS NULL")
+    own = F.expr(_text("event.context.source")) == F.lit(own_source)
     return decoded.withColumn(
         "status",
         F.when(F.col("malformed"), "malformed")
@@ -68,85 +66,89 @@ def quarantine(events: DataFrame) -> DataFrame:
     return events.where(F.col("status").isin("malformed", "invalid")).select("value", "status")
 
 
-def join_tags(tags: Column) -> Column:
-    return _text(F.array_join(tags, ",", ""))
+# The projection of an event is SQL over the names of its fields, so that a micro-batch is planned
+# from one statement instead of hundreds of driver calls.
 
 
-def join_resource_group(path: Column) -> Column:
-    return _text(F.array_join(path, ".", ""))
+def join_tags(tags: str) -> str:
+    return _text(f"array_join({tags}, ',', '')")
 
 
-def failure_fields(failure: Column) -> dict[str, Column]:
-    error_type = _text(failure["errorCode"]["type"])
+def join_resource_group(path: str) -> str:
+    return _text(f"array_join({path}, '.', '')")
+
+
+def failure_fields(failure: str) -> dict[str, str]:
+    error_type = _text(f"{failure}.errorCode.type")
     return {
-        "error_code": _text(failure["errorCode"]["name"]),
-        "error_type": F.when(error_type == "", _text(failure["failureType"])).otherwise(error_type),
-        "error_message": _text(failure["failureMessage"]),
+        "error_code": _text(f"{failure}.errorCode.name"),
+        "error_type": f"CASE WHEN {error_type} = '' THEN {_text(f'{failure}.failureType')} ELSE {error_type} END",
+        "error_message": _text(f"{failure}.failureMessage"),
     }
 
 
-def inputs_to_json(inputs: Column) -> Column:
+def inputs_to_json(inputs: str) -> str:
     """Only the modelled keys, NULLs kept; no inputs is an empty text."""
-    return F.when(
-        F.size(inputs) > 0, F.to_json(inputs.cast(INPUTS_TYPE), {"ignoreNullFields": "false"})
-    ).otherwise("")
-
-
-def flatten_event(event: Column) -> dict[str, Column]:
-    """The query-log columns of one event, absent optionals as '' or 0."""
-    meta, stats, ctx = event["metadata"], event["statistics"], event["context"]
+    as_text = f"to_json({inputs}, map('ignoreNullFields', 'false'))"
+    return f"CASE WHEN size({inputs}) > 0 THEN {as_text} ELSE '' END"
+
+
+# Counter column to event key.
+_COUNTERS = {
+    "peak_user_memory_bytes": "peakUserMemoryBytes",
+    "peak_total_memory_bytes": "peakTaskTotalMemory",
+    "physical_input_bytes": "physicalInputBytes",
+    "physical_input_rows": "physicalInputRows",
+    "processed_input_bytes": "processedInputBytes",
+    "processed_input_rows": "processedInputRows",
+    "output_bytes": "outputBytes",
+    "output_rows": "outputRows",
+    "written_bytes": "writtenBytes",
+    "written_rows": "writtenRows",
+    "completed_splits": "completedSplits",
+}
+
+
+def flatten_event(event: str = "event") -> dict[str, str]:
+    """The query-log columns of an event struct, absent optionals as '' or 0."""
+    meta, stats, ctx = f"{event}.metadata", f"{event}.statistics", f"{event}.context"
     columns = {
-        "query_id": _text(meta["queryId"]),
-        "query_state": _text(meta["queryState"]),
-        "query_type": _text(ctx["queryType"]),
-        "user_name": _text(ctx["user"]),
-        "source": _text(ctx["source"]),
-        "principal": _text(ctx["principal"]),
-        "client_tags": join_tags(ctx["clientTags"]),
-        "catalog": _text(ctx["catalog"]),
-        "schema_name": _text(ctx["schema"]),
-        "query_text": _text(meta["query"]),
-        "query_preview": F.lit(""),
-        "update_type": _text(meta["updateType"]),
-        "create_time": rfc3339(event["createTime"]),
-        "execution_start_time": rfc3339(event["executionStartTime"]),
-        "end_time": rfc3339(event["endTime"]),
-        "plan": _text(meta["plan"]),
-        "json_plan": _text(meta["jsonPlan"]),
-        "inputs_json": inputs_to_json(event["ioMetadata"]["inputs"]),
-        "resource_group": join_resource_group(ctx["resourceGroupId"]),
-        "server_version": _text(ctx["serverVersion"]),
-        "environment": _text(ctx["environment"]),
-    }
-    for name in ("queued", "analysis", "planning", "execution", "wall", "cpu"):
-        columns[f"{name}_ms"] = duration_ms(stats[f"{name}Time"])
-    # Counter column to event key.
-    counters = {
-        "peak_user_memory_bytes": "peakUserMemoryBytes",
-        "peak_total_memory_bytes": "peakTaskTotalMemory",
-        "physical_input_bytes": "physicalInputBytes",
-        "physical_input_rows": "physicalInputRows",
-        "processed_input_bytes": "processedInputBytes",
-        "processed_input_rows": "processedInputRows",
-        "output_bytes": "outputBytes",
-        "output_rows": "outputRows",
-        "written_bytes": "writtenBytes",
-        "written_rows": "writtenRows",
-        "completed_splits": "completedSplits",
+        "query_id": _text(f"{meta}.queryId"),
+        "query_state": _text(f"{meta}.queryState"),
+        "query_type": _text(f"{ctx}.queryType"),
+        "user_name": _text(f"{ctx}.user"),
+        "source": _text(f"{ctx}.source"),
+        "principal": _text(f"{ctx}.principal"),
+        "client_tags": join_tags(f"{ctx}.clientTags"),
+        "catalog": _text(f"{ctx}.catalog"),
+        "schema_name": _text(f"{ctx}.schema"),
+        "query_text": _text(f"{meta}.query"),
+        "query_preview": "''",
+        "update_type": _text(f"{meta}.updateType"),
+        "create_time": rfc3339_sql(f"{event}.createTime"),
+        "execution_start_time": rfc3339_sql(f"{event}.executionStartTime"),
+        "end_time": rfc3339_sql(f"{event}.endTime"),
+        "plan": _text(f"{meta}.plan"),
+        "json_plan": _text(f"{meta}.jsonPlan"),
+        "inputs_json": inputs_to_json(f"{event}.ioMetadata.inputs"),
+        "resource_group": join_resource_group(f"{ctx}.resourceGroupId"),
+        "server_version": _text(f"{ctx}.serverVersion"),
+        "environment": _text(f"{ctx}.environment"),
     }
-    columns |= {name: _count(stats[key]) for name, key in counters.items()}
-    columns |= failure_fields(event["failureInfo"])
-    return {name: columns[name] for name in LOG_COLUMNS}
+    for phase in ("queued", "analysis", "planning", "execution", "wall", "cpu"):
+        columns[f"{phase}_ms"] = duration_ms_sql(f"{stats}.{phase}Time")
+    columns |= {column: _count(f"{stats}.{key}") for column, key in _COUNTERS.items()}
+    columns |= failure_fields(f"{event}.failureInfo")
+    return {column: columns[column] for column in LOG_COLUMNS}
 
 
 def to_log_rows(events: DataFrame) -> DataFrame:
-    """Flatten, keeping the version and arrival columns the event carries."""
-    event = F.col("event")
+    """Flatten, keeping the arrival columns and adding the version the event carries."""
     carried = [c for c in events.columns if c not in ("value", "event", "malformed", "status")]
-    return events.select(
-        *[c.alias(name) for name, c in flatten_event(event).items()],
-        rfc3339(event["ingestedAt"]).alias("ingested_at"),
-        event["ingestSeq"].alias("ingest_seq"),
+    return events.selectExpr(
+        *[f"{sql} AS {column}" for column, sql in flatten_event().items()],
+        f"{rfc3339_sql('event.ingestedAt')} AS ingested_at",
+        "event.ingestSeq AS ingest_seq",
         *carried,
     )
 
@@ -166,15 +168,15 @@ def apply_plan_policy(rows: DataFrame, capture: str, min_wall_ms: int) -> DataFr
 
 
 def with_preview(rows: DataFrame, n_bytes: int) -> DataFrame:
-    return rows.withColumn("query_preview", query_preview(F.col("query_text"), n_bytes))
+    return rows.withColumn("query_preview", query_preview("query_text", n_bytes))
 
 
 def truncate_fields(rows: DataFrame, max_bytes: int) -> DataFrame:
     if max_bytes <= 0:
         return rows
     small = min(max_bytes, MAX_SMALL_FIELD_BYTES)
-    capped = {c: truncate_bytes(F.col(c), max_bytes) for c in LARGE_COLUMNS if c in rows.columns}
-    capped |= {c: truncate_bytes(F.col(c), small) for c in SMALL_COLUMNS if c in rows.columns}
+    capped = {c: truncate_bytes(c, max_bytes) for c in LARGE_COLUMNS if c in rows.columns}
+    capped |= {c: truncate_bytes(c, small) for c in SMALL_COLUMNS if c in rows.columns}
     return rows.withColumns(capped)
 
 

@@ -11,13 +11,11 @@ from tallyglass.schema import ROW_KEY, VERSION_COLUMNS
 def _keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     # max_by merges inside every map task first, so a key that holds a third of all rows
     # reaches its reducer as one row per task.
-    payload = [c for c in rows.columns if c not in keys]
+    payload = ", ".join(c for c in rows.columns if c not in keys)
     kept = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload), F.struct(*order)).alias("_row")
-    )
-    return kept.select(
-        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns]
+        F.expr(f"max_by(struct({payload}), struct({', '.join(order)}))").alias("_row")
     )
+    return kept.selectExpr(*[c if c in keys else f"_row.{c} AS {c}" for c in rows.columns])
 
 
 def dedupe_batch(rows: DataFrame, arrival: list[str]) -> DataFrame:

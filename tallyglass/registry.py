@@ -113,7 +113,7 @@ def decode_event(spark, sf_dir):
         event["statistics"]["outputRows"].alias("output_rows"),
         F.coalesce(F.size(event["ioMetadata"]["inputs"]), F.lit(0)).cast("bigint").alias("n_inputs"),
         event["failureInfo"]["errorCode"]["name"].alias("error_code"),
-        TM.rfc3339(event["createTime"]).alias("create_time"),
+        TM.rfc3339("event.createTime").alias("create_time"),
     )
 
 
@@ -246,7 +246,7 @@ def duration_ms(spark, sf_dir):
     return tokens.select(
         F.col("i").alias("event_id"),
         "token",
-        TM.duration_ms(F.parse_json("token")).alias("duration_ms"),
+        TM.duration_ms("parse_json(token)").alias("duration_ms"),
     )
 
 
@@ -255,33 +255,31 @@ def flatten_event(spark, sf_dir):
     return I.to_log_rows(_accepted(spark, sf_dir)).select(*LOG_COLUMNS, "ingest_seq")
 
 
-def _from_event(spark, sf_dir, **columns: Column) -> DataFrame:
-    return _accepted(spark, sf_dir).select(
-        F.col("event.ingestSeq").alias("ingest_seq"), *[c.alias(n) for n, c in columns.items()]
+def _from_event(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
+    return _accepted(spark, sf_dir).selectExpr(
+        "event.ingestSeq AS ingest_seq", *[f"{sql} AS {name}" for name, sql in columns.items()]
     )
 
 
 @query
 def join_tags(spark, sf_dir):
-    tags = F.col("event.context.clientTags")
-    return _from_event(spark, sf_dir, client_tags=I.join_tags(tags))
+    return _from_event(spark, sf_dir, {"client_tags": I.join_tags("event.context.clientTags")})
 
 
 @query
 def join_resource_group(spark, sf_dir):
-    path = F.col("event.context.resourceGroupId")
-    return _from_event(spark, sf_dir, resource_group=I.join_resource_group(path))
+    path = "event.context.resourceGroupId"
+    return _from_event(spark, sf_dir, {"resource_group": I.join_resource_group(path)})
 
 
 @query
 def failure_fields(spark, sf_dir):
-    return _from_event(spark, sf_dir, **I.failure_fields(F.col("event.failureInfo")))
+    return _from_event(spark, sf_dir, I.failure_fields("event.failureInfo"))
 
 
 @query
 def inputs_to_json(spark, sf_dir):
-    inputs = F.col("event.ioMetadata.inputs")
-    return _from_event(spark, sf_dir, inputs_json=I.inputs_to_json(inputs))
+    return _from_event(spark, sf_dir, {"inputs_json": I.inputs_to_json("event.ioMetadata.inputs")})
 
 
 @query
@@ -302,7 +300,7 @@ def plan_policy(spark, sf_dir):
 @query
 def query_preview(spark, sf_dir):
     return _documents(spark, sf_dir).select(
-        "doc_id", *[X.query_preview(F.col("text"), n).alias(f"preview_{n}") for n in (200, 33)]
+        "doc_id", *[X.query_preview("text", n).alias(f"preview_{n}") for n in (200, 33)]
     )
 
 
@@ -313,7 +311,7 @@ def truncate_fields(spark, sf_dir):
         T.source_rows(spark, sf_dir).withColumn("v", F.lit(0).cast("bigint")), columns
     )
     wide = I.truncate_fields(rows, 1000)
-    narrow = {c: X.truncate_bytes(F.col(c), 15) for c in columns if c != "query_id"}
+    narrow = {c: X.truncate_bytes(c, 15) for c in columns if c != "query_id"}
     return wide.withColumns({f"{c}_15": v for c, v in narrow.items()}).withColumnRenamed("i", "event_id")
 
 

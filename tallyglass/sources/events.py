@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.functions.times import bad_rfc3339
+from tallyglass.functions.times import bad_rfc3339_sql
 from tallyglass.schema import EVENT_SCHEMA
 
 # Fixed value: the largest accepted event document (32 MiB).
@@ -48,11 +48,8 @@ def decode_events(lines: DataFrame) -> DataFrame:
     # As a generator output the event is parsed once per document; as a plain column the optimizer
     # would repeat the parse inside every filter it pushes down.
     parsed = lines.select("*", F.explode(F.array(event)).alias("event"))
-    return parsed.withColumn("malformed", _is_malformed(F.col("event")))
-
-
-def _is_malformed(event: Column) -> Column:
-    bad_time = F.lit(False)
-    for name in ("createTime", "executionStartTime", "endTime"):
-        bad_time = bad_time | bad_rfc3339(event[name])
-    return F.coalesce(event.isNull() | event["_corrupt_record"].isNotNull() | bad_time, F.lit(True))
+    bad_times = " OR ".join(
+        bad_rfc3339_sql(f"event.{name}") for name in ("createTime", "executionStartTime", "endTime")
+    )
+    malformed = f"event IS NULL OR event._corrupt_record IS NOT NULL OR {bad_times}"
+    return parsed.withColumn("malformed", F.expr(f"coalesce({malformed}, true)"))

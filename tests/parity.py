@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import glob
 import os
 import sys
@@ -22,17 +23,29 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _plain(v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
+        return None
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)):
+        return float(v)
+    return str(v)[:10] if isinstance(v, datetime.date) and not isinstance(v, datetime.datetime) else v
+
+
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
+    """Columns by name, values without the two engines' ways of writing NULL and dates."""
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
-            df[c] = df[c].astype("datetime64[us]").astype(str)
-        elif str(df[c].dtype) == "object":
-            df[c] = [None if v is None or v is pd.NaT else str(v)[:10] if hasattr(v, "isoformat") else v for v in df[c]]
-            if df[c].isna().any() and any(isinstance(v, (int, float)) for v in df[c]):
-                df[c] = df[c].astype("float64")
-    df = df.astype({c: "float64" for c in df.columns if df[c].dtype.kind in "iu" and False})
-    return df.sort_values(list(df.columns), na_position="last").reset_index(drop=True)
+            shown = df[c].astype("datetime64[us]").astype(str)
+            dates = shown.str.len().max() == 10
+            df[c] = [None if v == "NaT" else v[:10] if dates else v for v in shown]
+        else:
+            df[c] = pd.Series([_plain(v) for v in df[c]], index=df.index, dtype=object)
+    keys = {c: df[c].map(lambda v: "" if v is None else str(v)) for c in df.columns}
+    rank = pd.DataFrame(keys).sort_values(list(keys)).index
+    return df.loc[rank].reset_index(drop=True)
 
 
 def difference(spark_df: pd.DataFrame, duck_df: pd.DataFrame) -> str | None:
@@ -46,11 +59,21 @@ def difference(spark_df: pd.DataFrame, duck_df: pd.DataFrame) -> str | None:
         if not same.all():
             at = (~same).idxmax()
             return f"{c}: {int((~same).sum())} differ, first {a[c][at]!r} != {b[c][at]!r}"
-        if a[c].dtype.kind != b[c].dtype.kind:
-            return f"{c}: kind {a[c].dtype} != {b[c].dtype}"
     return None
 
 
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "timestamp": "TIMESTAMP",
+    "date": "DATE", "boolean": "BOOLEAN", "int": "INTEGER",
+}
+
+
+def type_difference(spark_types: list[tuple[str, str]], relation) -> str | None:
+    want = dict(zip(relation.columns, map(str, relation.types)))
+    bad = {n: (t, want.get(n)) for n, t in spark_types if TYPES.get(t) != want.get(n)}
+    return f"types {bad}" if bad else None
+
+
 def main(sf: str, names: list[str]) -> int:
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
@@ -73,11 +96,12 @@ def main(sf: str, names: list[str]) -> int:
     for name in names or queries:
         start = time.time()
         try:
-            got = queries[name](spark, sf_dir).toPandas()
+            result = queries[name](spark, sf_dir)
+            got = result.toPandas()
             took = time.time() - start
             start = time.time()
-            want = con.execute(oracle[name]).df()
-            problem = difference(got, want)
+            relation = con.sql(oracle[name])
+            problem = type_difference(result.dtypes, relation) or difference(got, relation.df())
             print(f"{'ok  ' if problem is None else 'DIFF'} {name} rows={len(got)} spark={took:.2f}s duck={time.time() - start:.2f}s {problem or ''}", flush=True)
         except Exception as e:  # noqa: BLE001
             problem = str(e)
