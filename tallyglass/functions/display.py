@@ -100,10 +100,14 @@ def percent(pct: Column) -> Column:
     return F.concat(_fixed(pct, "0.0"), F.lit("%"))
 
 
-def parse_comma_int(text: Column) -> Column:
+def parse_comma_int_sql(text: str) -> str:
     """``1,346,579,962`` as a bigint; not a number is 0, past the range is the largest bigint."""
-    digits = F.replace(text, F.lit(","), F.lit(""))
-    largest = F.lit(2**63 - 1)
-    return F.when(
-        digits.rlike("^[0-9]+$"), F.coalesce(digits.try_cast("bigint"), largest)
-    ).otherwise(F.lit(0).cast("bigint"))
+    digits = f"replace({text}, ',', '')"
+    return (
+        f"CASE WHEN {digits} RLIKE '^[0-9]+$' "
+        f"THEN coalesce(try_cast({digits} AS BIGINT), {2**63 - 1}L) ELSE 0L END"
+    )
+
+
+def parse_comma_int(column: str) -> Column:
+    return F.expr(parse_comma_int_sql(column))

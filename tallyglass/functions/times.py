@@ -10,6 +10,7 @@ from tallyglass.functions.text import let
 # Duration grammar and unit scales in nanoseconds.
 _NUMBER = r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 _DURATION = rf"^[+-]?P(?:{_NUMBER}D)*(?:T(?:{_NUMBER}[DHMS]|T)*)?$"
+_PLAIN_SECONDS = r"^PT[0-9]+(?:\.[0-9]*)?S$"
 _COMPONENT = rf"({_NUMBER})([DHMS])"
 _NANOS = {"D": 86_400e9, "H": 3_600e9, "M": 60e9, "S": 1e9}
 
@@ -29,8 +30,11 @@ def _iso_nanos(text: str) -> str:
         f"aggregate(zip_with({parts[0]}, {parts[1]}, (n, u) -> {component}), 0L, "
         "(total, x) -> coalesce(try_add(total, x), 0L))"
     )
+    seconds = f"try_cast(substring({text}, 3, length({text}) - 3) AS DOUBLE)"
     return (
-        f"CASE WHEN NOT ({text} RLIKE r'{_DURATION}') THEN 0L "
+        # Nearly every duration is plain seconds; the rest takes the general way.
+        f"CASE WHEN {text} RLIKE r'{_PLAIN_SECONDS}' THEN {_whole(f'({seconds} * {_NANOS["S"]:.0f}D)')} "
+        f"WHEN NOT ({text} RLIKE r'{_DURATION}') THEN 0L "
         f"WHEN startswith({text}, '-') THEN -{total} ELSE {total} END"
     )
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.display import human_count, parse_comma_int, percent
-from tallyglass.functions.text import ellipsize, one_line
+from tallyglass.functions.display import human_count, parse_comma_int_sql, percent
+from tallyglass.functions.text import ELLIPSIS, ellipsize, let, one_line, one_line_sql
 
 # The line patterns of a textual plan.
 _BLANK = r"[\t\f\r ]"
@@ -30,56 +30,63 @@ def operator_name(text: Column) -> Column:
     return ellipsize(one_line(text), OPERATOR_CHARS)
 
 
-def _line_operator(line: Column) -> Column:
-    """Label of an operator line; '' when the line is none (the opening lines of a plan)."""
-    return (
-        F.when(line.rlike(BRANCH_OPERATOR), operator_name(F.regexp_extract(line, BRANCH_OPERATOR, 1)))
-        .when(line.rlike(TOP_OPERATOR), operator_name(F.regexp_extract(line, TOP_OPERATOR, 1)))
-        .otherwise("")
+def _operator_name_sql(text: str) -> str:
+    kept = f"concat(substring(o, 1, {OPERATOR_CHARS - 1}), '{ELLIPSIS}')"
+    return let(
+        one_line_sql(text), "o", f"CASE WHEN char_length(o) <= {OPERATOR_CHARS} THEN o ELSE {kept} END"
     )
 
 
-def _is_operator(line: Column) -> Column:
-    return line.rlike(BRANCH_OPERATOR) | line.rlike(TOP_OPERATOR)
+def _is_operator(line: str) -> str:
+    return f"({line} RLIKE r'{BRANCH_OPERATOR}' OR {line} RLIKE r'{TOP_OPERATOR}')"
 
 
-def _share(operator: Column, line: Column) -> Column:
-    pct = F.coalesce(F.regexp_extract(line, CPU_SHARE, 2).try_cast("double"), F.lit(0.0))
-    return F.struct(
-        operator.alias("operator"),
-        pct.alias("cpu_pct"),
-        one_line(F.regexp_extract(line, CPU_SHARE, 1)).alias("cpu"),
-        parse_comma_int(F.regexp_extract(line, OUTPUT_ROWS, 1)).alias("rows"),
+def _line_operator(line: str) -> str:
+    """Label of an operator line; '' when the line is none (the opening lines of a plan)."""
+    branch = _operator_name_sql(f"regexp_extract({line}, r'{BRANCH_OPERATOR}', 1)")
+    top = _operator_name_sql(f"regexp_extract({line}, r'{TOP_OPERATOR}', 1)")
+    return (
+        f"CASE WHEN {line} RLIKE r'{BRANCH_OPERATOR}' THEN {branch} "
+        f"WHEN {line} RLIKE r'{TOP_OPERATOR}' THEN {top} ELSE '' END"
     )
 
 
-def hotspot_array(plan: Column, top: int = 0) -> Column:
-    """Hotspots of one plan, largest share first, equal shares in text order; ``top=0`` is all."""
+def _share(operator: str, line: str) -> str:
+    rows = f"regexp_extract({line}, r'{OUTPUT_ROWS}', 1)"
+    return (
+        f"named_struct('operator', {operator}, "
+        f"'cpu_pct', coalesce(try_cast(regexp_extract({line}, r'{CPU_SHARE}', 2) AS DOUBLE), 0D), "
+        f"'cpu', {one_line_sql(f"regexp_extract({line}, r'{CPU_SHARE}', 1)")}, "
+        f"'rows', {let(rows, 'r', parse_comma_int_sql('r'))})"
+    )
 
-    def section_shares(section: Column) -> Column:
-        lines = F.split(section, "\n")
-        shares = F.filter(lines, lambda ln: ln.rlike(CPU_SHARE) & ~_is_operator(ln))
-        # The label is worked out only for sections that carry a share.
-        label = F.array(_line_operator(F.element_at(lines, 1)))
-        return F.when(
-            F.size(shares) > 0,
-            F.flatten(F.transform(label, lambda op: F.transform(shares, lambda ln: _share(op, ln)))),
-        )
-
-    sections = F.filter(F.split(plan, _SECTION_START), lambda s: s.contains("CPU:"))
-    in_text_order = F.flatten(F.filter(F.transform(sections, section_shares), lambda x: x.isNotNull()))
-    keyed = F.transform(
-        in_text_order,
-        lambda h, n: F.struct((-h["cpu_pct"]).alias("neg"), n.alias("n"), h.alias("hotspot")),
+
+def hotspot_array(plan: str, top: int = 0) -> Column:
+    """Hotspots of one plan, largest share first, equal shares in text order; ``top=0`` is all."""
+    # Only the first line of a section can be an operator line.
+    is_share = f"contains(ln, 'CPU:') AND ln RLIKE r'{CPU_SHARE}' AND NOT (at = 0 AND {_is_operator('ln')})"
+    labelled = let(_line_operator("lines[0]"), "op", f"transform(shares, ln -> {_share('op', 'ln')})")
+    section = let(
+        "split(section, '\\n')",
+        "lines",
+        let(
+            f"filter(lines, (ln, at) -> {is_share})",
+            "shares",
+            # The label is worked out only for sections that carry a share.
+            f"CASE WHEN size(shares) > 0 THEN {labelled} END",
+        ),
     )
-    ranked = F.transform(F.sort_array(keyed), lambda k: k["hotspot"])
-    return F.slice(ranked, 1, top) if top > 0 else ranked
+    sections = f"filter(split({plan}, r'{_SECTION_START}'), section -> contains(section, 'CPU:'))"
+    in_text_order = f"flatten(filter(transform({sections}, section -> {section}), found -> found IS NOT NULL))"
+    keyed = f"transform({in_text_order}, (h, n) -> named_struct('neg', -h.cpu_pct, 'n', n, 'hotspot', h))"
+    ranked = f"transform(sort_array({keyed}), ranked -> ranked.hotspot)"
+    return F.expr(f"slice({ranked}, 1, {top})" if top > 0 else ranked)
 
 
 def plan_hotspots(rows: DataFrame, keep: list[str] = ["query_id"], top: int = 0) -> DataFrame:
     """One row per hotspot with its rank in the plan."""
     with_plan = rows.where(F.col("plan").contains("CPU:"))
-    exploded = with_plan.select(*keep, F.posexplode(hotspot_array(F.col("plan"), top)).alias("n", "hotspot"))
+    exploded = with_plan.select(*keep, F.posexplode(hotspot_array("plan", top)).alias("n", "hotspot"))
     return exploded.select(
         *keep, (F.col("n") + 1).cast("bigint").alias("hotspot_rank"), "hotspot.*"
     )

@@ -570,7 +570,7 @@ def parse_comma_int(spark, sf_dir):
         "WHEN 3 THEN CAST(i AS STRING) || ',' || lpad(CAST(i % 1000 AS STRING), 3, '0') ELSE CAST(i AS STRING) END"
     )
     rows = _events(spark, sf_dir).select(F.col("i").alias("event_id"), raw.alias("raw"))
-    return rows.withColumn("n", D.parse_comma_int(F.col("raw")))
+    return rows.withColumn("n", D.parse_comma_int("raw"))
 
 
 @query

@@ -70,8 +70,10 @@ def _seen(spark: SparkSession, ledger: str, fingerprint: str, batch_id: int) ->
     return not recent.where(F.col("fingerprint") == fingerprint).isEmpty()
 
 
-def _record(spark: SparkSession, ledger: str, mark: DataFrame, batch_id: int) -> None:
-    entry = mark.select("fingerprint", "n_rows", F.lit(batch_id).cast("bigint").alias("batch_id"))
+def _record(spark: SparkSession, ledger: str, fingerprint: str, n_rows: int, batch_id: int) -> None:
+    entry = spark.createDataFrame(
+        [(fingerprint, n_rows, batch_id)], "fingerprint string, n_rows bigint, batch_id bigint"
+    )
     entry.coalesce(1).write.insertInto(ledger, overwrite=True)
     if batch_id >= REPEAT_WINDOW:
         spark.sql(
@@ -90,14 +92,13 @@ def flush_batch(
     # Fingerprint and append read the same rows, so a micro-batch is decoded once.
     rows = batch_rows(lines, options, observation).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        mark = batch_fingerprint(rows)
-        found = mark.first()
+        n_rows, fingerprint = batch_fingerprint(rows).first()
         counters = dict(observation.get)
-        fresh = found["n_rows"] > 0 and not _seen(spark, ledger, found["fingerprint"], batch_id)
+        fresh = n_rows > 0 and not _seen(spark, ledger, fingerprint, batch_id)
         if fresh:
             append_log(rows, table)
-            _record(spark, ledger, mark, batch_id)
-        counters["rows_flushed"] = found["n_rows"] if fresh else 0
+            _record(spark, ledger, fingerprint, n_rows, batch_id)
+        counters["rows_flushed"] = n_rows if fresh else 0
         counters["batches_flushed"] = int(fresh)
         return counters
     finally:
