@@ -5,12 +5,12 @@ appends, removed by dropping whole days and rewritten by overwriting whole days.
 
 from __future__ import annotations
 
-import re
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyglass.functions.times import partition_id
 from tallyglass.operators.versions import latest_version
 from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, TABLE_SCHEMA
 
@@ -81,20 +81,30 @@ def retained_rows(log: DataFrame, cutoff: datetime) -> DataFrame:
     )
 
 
-def partition_days(spark: SparkSession, table: str) -> list[date]:
-    """Days the catalog lists; one short name per day, so the driver holds no data."""
-    days = []
-    for row in spark.sql(f"SHOW PARTITIONS {table}").toLocalIterator():
-        match = re.fullmatch(rf"{PARTITION_COLUMN}=(\d{{4}}-\d\d-\d\d)", row[0])
-        if not match:
-            raise ValueError(f"unexpected partition {row[0]!r}")
-        days.append(date.fromisoformat(match.group(1)))
-    return sorted(days)
+def list_partitions(spark: SparkSession, table: str, before: date | None = None) -> DataFrame:
+    """Day partitions as (create_date, partition_id), oldest first, optionally those before a day.
+    Answered by the catalog, no file is opened; a name of another form is an error."""
+    names = spark.sql(f"SHOW PARTITIONS {table}")
+    day = F.regexp_extract("partition", rf"^{PARTITION_COLUMN}=(\d{{4}}-\d\d-\d\d)$", 1)
+    days = names.select(
+        F.when(day == "", F.raise_error(F.concat(F.lit("unexpected partition "), "partition")))
+        .otherwise(F.to_date(day))
+        .cast("date")
+        .alias(PARTITION_COLUMN)
+    )
+    if before is not None:
+        days = days.where(F.col(PARTITION_COLUMN) < F.lit(before))
+    return days.withColumn("partition_id", partition_id(F.col(PARTITION_COLUMN))).orderBy("partition_id")
+
+
+def partition_days(spark: SparkSession, table: str, before: date | None = None) -> list[date]:
+    """The same as a list: one value per day, so the driver holds no data."""
+    return [row[0] for row in list_partitions(spark, table, before).collect()]
 
 
 def prune(spark: SparkSession, table: str, cutoff: datetime) -> list[date]:
     """Drop every day before the cutoff's day; a cutoff inside a day keeps that day whole."""
-    old = [d for d in partition_days(spark, table) if d < cutoff.date()]
+    old = partition_days(spark, table, before=cutoff.date())
     if old:
         specs = ", ".join(f"PARTITION ({PARTITION_COLUMN} = DATE '{d}')" for d in old)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")

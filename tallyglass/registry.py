@@ -145,7 +145,8 @@ def scan_latest(spark, sf_dir):
 
 @query
 def list_partitions(spark, sf_dir):
-    return Q.list_partitions(_log(spark, sf_dir), CUTOFF.date())
+    table = T.log_table_name(spark, sf_dir)
+    return TB.list_partitions(spark, table, before=CUTOFF.date()).select("partition_id")
 
 
 # --- table ---------------------------------------------------------------------------------

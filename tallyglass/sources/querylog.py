@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.functions.times import partition_id
 from tallyglass.operators.versions import latest_version
 from tallyglass.schema import (
     LOG_COLUMNS,
@@ -48,13 +47,3 @@ def scan_latest(log: DataFrame, columns: list[str] = LOG_COLUMNS) -> DataFrame:
     needed = list(dict.fromkeys([*columns, *ROW_KEY, *VERSION_COLUMNS]))
     current = latest_version(log.select(*needed))
     return current.select(PARTITION_COLUMN, *[coalesced(c) for c in columns])
-
-
-def list_partitions(log: DataFrame, before_day=None) -> DataFrame:
-    """Distinct day partitions (yyyyMMdd), oldest first, optionally those before a day."""
-    days = log.select(PARTITION_COLUMN)
-    if before_day is not None:
-        days = days.where(F.col(PARTITION_COLUMN) < F.lit(before_day))
-    return days.distinct().select(partition_id(PARTITION_COLUMN).alias("partition_id")).orderBy(
-        "partition_id"
-    )

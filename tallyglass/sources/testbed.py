@@ -361,11 +361,13 @@ def ingest_landing(spark: SparkSession, landing_path: str, table: str) -> str:
     return table
 
 
-def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_table_name(spark: SparkSession, sf_dir: str) -> str:
     """The query-log table of this session, written once through the ingest path."""
     path = landing(spark, sf_dir)
-    name = _once(
+    return _once(
         spark, sf_dir, "log", lambda: ingest_landing(spark, path, new_table_name(spark, "query_log"))
     )
-    return spark.table(name)
 
+
+def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(log_table_name(spark, sf_dir))

@@ -9,7 +9,7 @@ from tallyglass.operators.ingest import ingest_lines
 from tallyglass.schema import SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources import testbed as T
-from tallyglass.sources.querylog import list_partitions, scan_latest
+from tallyglass.sources.querylog import scan_latest
 from tallyglass.streaming import ingest as S
 
 CUTOFFS = [
@@ -98,7 +98,7 @@ def test_prune_drops_whole_days(spark, table):
     assert TB.prune(spark, table, datetime(2024, 6, 3, 12)) == [date(2024, 6, 1), date(2024, 6, 2)]
     assert days(spark, table) == ["2024-06-03", "2024-06-04"]
     assert spark.table(table).count() == 6
-    assert [r.partition_id for r in list_partitions(spark.table(table)).collect()] == ["20240603", "20240604"]
+    assert [r.partition_id for r in TB.list_partitions(spark, table).collect()] == ["20240603", "20240604"]
     exact = TB.retained_rows(spark.table(table), datetime(2024, 6, 3, 0, 0, 1, tzinfo=timezone.utc))
     assert exact.count() == 5
     TB.prune(spark, table, datetime(2030, 1, 1))
