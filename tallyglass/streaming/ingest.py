@@ -71,10 +71,12 @@ def _seen(spark: SparkSession, ledger: str, fingerprint: str, batch_id: int) ->
 
 
 def _record(spark: SparkSession, ledger: str, fingerprint: str, n_rows: int, batch_id: int) -> None:
-    entry = spark.createDataFrame(
-        [(fingerprint, n_rows, batch_id)], "fingerprint string, n_rows bigint, batch_id bigint"
+    entry = spark.range(0, 1, 1, 1).select(
+        F.lit(fingerprint).alias("fingerprint"),
+        F.lit(n_rows).cast("bigint").alias("n_rows"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"),
     )
-    entry.coalesce(1).write.insertInto(ledger, overwrite=True)
+    entry.write.insertInto(ledger, overwrite=True)
     if batch_id >= REPEAT_WINDOW:
         spark.sql(
             f"ALTER TABLE {ledger} DROP IF EXISTS PARTITION (batch_id = {batch_id - REPEAT_WINDOW})"
