@@ -5,22 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyglass.llm import simhash_dedup
+from tallyglass.llm import decontaminate, kd_shards, language_id, poisson_mix, simhash_dedup
 from tallyglass.llm.common import prepare, stored
+from tallyglass.llm.queries import SOURCE_WEIGHTS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A document stays if its language is known with at least this probability.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language with a probability of ``LEAST_SCORE``, go."""
+    prepare(spark)
+    known = language_id.identify(docs, language_id.fit(docs), keep=list(COLUMNS))
+    return known.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id (once, if its row repeats)."""
+    """One document of each near-duplicate group: the one with the smallest id.  Rows that repeat that id
+    are one document and stay; rows without an id stay too."""
     prepare(spark)
     groups = simhash_dedup.near_duplicates(docs, shingle_words=4, max_bits=4)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash_dedup", dedup)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    benchmark = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.clean(docs, benchmark).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks, in a random order."""
+    prepare(spark)
+    return poisson_mix.mix(docs, SOURCE_WEIGHTS).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    prepare(spark)
+    return kd_shards.kd_shards(docs, shards=8)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("simhash_dedup", dedup),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("kd_shards", shard),
+]
 
 # Hashes, sampled fits and sliding windows are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -1,4 +1,4 @@
-"""The registered queries ``opN_<name>`` of this subpackage and their SQL statements."""
+"""The registered queries ``opN_<name>`` of this subpackage."""
 
 from __future__ import annotations
 
@@ -6,21 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import simhash_dedup
-from tallyglass.llm.common import prepare
+from tallyglass.llm import ball_tree, decontaminate, html_render, kd_shards, language_id, poisson_mix, quality, simhash_dedup, url_filter, warc_bundles
+from tallyglass.llm.common import held_out, prepare
+from tallyglass.llm.sql import ORACLE_SQL
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+# Shares of the output's bytes; what they leave is shared by the other sources.
+SOURCE_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.kd_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ball_tree.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024.0)
+
+
+def op4_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.render(_table(spark, sf_dir, "pages"))
+
+
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.mix(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archive(_table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # What a prediction sees: the text, and the fold to be passed through.
+    asked = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return language_id.identify(asked, language_id.fit(docs), keep=["doc_id", "held_out"])
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash_dedup,)}
+    named = (
+        op1_url_filter, op2_kd_shards, op3_ball_tree, op4_html_render, op5_poisson_mix, op6_quality, op7_simhash_dedup,
+        op8_warc_bundles, op9_language_id, op10_decontaminate,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
