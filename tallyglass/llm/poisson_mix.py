@@ -68,12 +68,12 @@ def mix(
     """The columns of ``docs`` with ``copy_no`` (from 1), ``copies`` and ``shuffle_key``, each row as often as drawn,
     in the order of the shuffle key within evenly dealt partitions.
 
-    A row's draw depends on seed, id and the text's bytes and checksum, so repeated rows are repeated
+    A row's draw depends on seed, id and the text's MD5, so repeated rows are repeated
     alike.  NULL and empty texts count one byte.  An empty table gives an empty result.  Columns of
     these names that ``docs`` has already are replaced."""
     rates = mean_rates(docs, weights, epochs, source_column, text_column).select(F.col("source").alias("_source"), F.col("mean").alias("_mean"))
     columns = [c for c in docs.columns if c not in ("copy_no", "copies", "shuffle_key")]
-    key = [F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.crc32(utf8(text_column)).cast("string")]
+    key = [F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(utf8(text_column))]
     drawn = docs.select(*columns).join(rates, F.col(source_column).eqNullSafe(F.col("_source")))
     drawn = drawn.withColumn("copies", poisson_count(F.col("_mean"), *key)).where("copies > 0")
     copies = drawn.select(*columns, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))

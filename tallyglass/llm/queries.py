@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyglass.llm import ball_tree, decontaminate, html_render, kd_shards, language_id, poisson_mix, quality, simhash_dedup, url_filter, warc_bundles
 from tallyglass.llm.common import held_out, prepare
-from tallyglass.llm.sql import ORACLE_SQL
-
-URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-# Shares of the output's bytes; what they leave is shared by the other sources.
-SOURCE_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.02}
+from tallyglass.llm.sql import ORACLE_SQL, SOURCE_WEIGHTS, URL_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

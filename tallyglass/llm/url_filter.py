@@ -23,7 +23,8 @@ SYMBOLS = 26 + 1 + len(MARKS) + 3
 UNIT = 1_000_000
 # Scores are calibrated in steps of 0.05 from -10 to 10.
 STEP, STEPS = 50_000, 200
-CALIBRATION = 4
+# First digits of the hash of a quarter of the URLs.
+CALIBRATION = "048c"
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -103,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_column: str = "page_i
     parsed = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("id", "host", "path", "rest", rule.alias("rule"), verdict.alias("verdict"))
-    calibration = F.crc32(F.col("rest").cast("binary")) % CALIBRATION == 0
+    calibration = F.substring(F.md5(F.col("rest").cast("binary")), 1, 1).isin(*CALIBRATION)
     exploded = parsed.select("verdict", calibration.alias("c"), F.explode(_grams(F.col("rest"))).alias("gram"))
     count = lambda v: F.sum(((F.col("verdict") == v) & ~F.col("c")).cast("long"))
     grams = exploded.groupBy("gram").agg(F.coalesce(count("allow"), F.lit(0)).alias("allow"), F.coalesce(count("block"), F.lit(0)).alias("block"))
