@@ -115,7 +115,7 @@ class _Builder:
         return False
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> None:
-        if tag in ("html", "body") and self.open[tag]:
+        if (tag in ("html", "body") and self.open[tag]) or (tag in TABLE_PARTS and tag != "table" and not self.open["table"]):
             return
         if tag in CLOSES_P:
             self.close(("p",), P_STOPS)
