@@ -71,12 +71,13 @@ def mix(
     A row's draw depends on seed, id and the text's MD5, so repeated rows are repeated
     alike.  NULL and empty texts count one byte.  An empty table gives an empty result.  Columns of
     these names that ``docs`` has already are replaced."""
-    rates = mean_rates(docs, weights, epochs, source_column, text_column).select(F.col("source").alias("_source"), F.col("mean").alias("_mean"))
     columns = [c for c in docs.columns if c not in ("copy_no", "copies", "shuffle_key")]
-    key = [F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(utf8(text_column))]
-    drawn = docs.select(*columns).join(rates, F.col(source_column).eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("copies", poisson_count(F.col("_mean"), *key)).where("copies > 0")
-    copies = drawn.select(*columns, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
-    order = F.md5(F.concat_ws("|", *key, F.col("copy_no").cast("string")))
-    out = copies.select(*columns, "copy_no", "copies", order.alias("shuffle_key"))
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(utf8(text_column)))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(source_column).alias("from"), key.alias("key"))
+    rates = mean_rates(docs, weights, epochs, source_column, text_column).select("source", "mean")
+    drawn = rows.join(rates, F.col("from").eqNullSafe(F.col("source")))
+    drawn = drawn.select("row", "key", poisson_count(F.col("mean"), F.col("key")).alias("copies")).where("copies > 0")
+    copies = drawn.select("row", "key", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    order = F.md5(F.concat_ws("|", "key", F.col("copy_no").cast("string")))
+    out = copies.select("row.*", "copy_no", "copies", order.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
