@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ _NANOS = {"D": 86_400e9, "H": 3_600e9, "M": 60e9, "S": 1e9}
 _RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
 
 
+def utc(t: datetime) -> datetime:
+    """The instant in UTC; a time without a zone is UTC already."""
+    return t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+
+
 def _whole(nanos: str) -> str:
     # Toward zero; out of range counts as zero.
     return f"coalesce(try_cast({nanos} AS BIGINT), 0L)"

@@ -10,23 +10,22 @@ from tallyglass.schema import LOG_COLUMNS, LOG_SCHEMA
 _WORDS = 8
 
 
-def tagged(name: str) -> str:
-    """SQL of a field with its kind and length, so that no two rows share a text and NULL differs
-    from every value."""
-    shown = {
-        "string": f"concat('s', octet_length({name}), ':', {name}, ';')",
-        "bigint": f"concat('i', {name}, ';')",
-        "timestamp": f"concat('t', unix_micros({name}), ';')",
-    }[LOG_SCHEMA[name].dataType.simpleString()]
-    return f"coalesce({shown}, 'n;')"
+def _shown(name: str) -> str:
+    kind = LOG_SCHEMA[name].dataType.simpleString()
+    return f"CAST(unix_micros({name}) AS STRING)" if kind == "timestamp" else f"CAST({name} AS STRING)"
 
 
 def row_hash(columns: list[str] = LOG_COLUMNS) -> Column:
-    return F.expr(f"sha2(concat({', '.join(tagged(c) for c in columns)}), 256)")
+    """Hash of all values behind a list of their lengths in bytes: no two rows share a text, and a NULL (no
+    length) differs from every value."""
+    texts = [_shown(c) for c in columns]
+    lengths = ", ".join(f"coalesce(CAST(octet_length({t}) AS STRING), '')" for t in texts)
+    values = ", ".join(f"coalesce({t}, '')" for t in texts)
+    return F.expr(f"sha2(concat(concat_ws(' ', {lengths}), '\n', {values}), 256)")
 
 
 def batch_fingerprint(
-    rows: DataFrame, by: list[str] | None = None, columns: list[str] = LOG_COLUMNS
+    rows: DataFrame, by: list[str] | None = None, columns: list[str] = LOG_COLUMNS, hashed: Column | None = None
 ) -> DataFrame:
     """64 hex digits per batch.
 
@@ -37,10 +36,15 @@ def batch_fingerprint(
         f"CAST(sum(CAST(conv(substring(_hash, {8 * w + 1}, 8), 16, 10) AS DECIMAL(10,0))) AS STRING)"
         for w in range(_WORDS)
     ]
-    hashed = rows.select(*(by or []), row_hash(columns).alias("_hash"))
-    grouped = hashed.groupBy(*by) if by else hashed.groupBy()
+    marked = rows.select(*(by or []), (row_hash(columns) if hashed is None else hashed).alias("_hash"))
+    grouped = marked.groupBy(*by) if by else marked.groupBy()
     joined = ", ".join(f"coalesce({s}, '')" for s in sums)
     return grouped.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.expr(f"sha2(concat_ws('|', CAST(count(1) AS STRING), {joined}), 256)").alias("fingerprint"),
     )
+
+
+def line_fingerprint(lines: DataFrame) -> DataFrame:
+    """The same for a batch of raw documents, before anything is decoded."""
+    return batch_fingerprint(lines, hashed=F.expr("sha2(value, 256)"))

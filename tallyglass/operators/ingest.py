@@ -30,6 +30,9 @@ class IngestOptions:
     plan_min_wall_ms: int = 10_000
     preview_bytes: int = 200
     max_field_bytes: int = 300_000
+    # Whether an event may say when it was ingested (keys ingestedAt, ingestSeq).  Off, the writer alone decides
+    # which version is newer; on, whoever sends a future time keeps a row as it is.
+    event_versions: bool = False
 
     def __post_init__(self):
         if self.plan_capture not in PLAN_CAPTURE_MODES:
@@ -88,8 +91,15 @@ def failure_fields(failure: str) -> dict[str, str]:
 
 
 def inputs_to_json(inputs: str) -> str:
-    """Only the modelled keys, NULLs kept; no inputs is an empty text."""
-    as_text = f"to_json({inputs}, map('ignoreNullFields', 'false'))"
+    """Only the modelled keys; absent names and types are '', absent figures and column lists NULL; no inputs is
+    an empty text."""
+    column = "named_struct('name', coalesce(c.name, ''), 'type', coalesce(c.type, ''))"
+    names = ", ".join(f"'{n}', coalesce(x.`{n}`, '')" for n in ("catalogName", "schema", "table"))
+    item = (
+        f"named_struct({names}, 'columns', transform(x.columns, c -> {column}), "
+        "'physicalInputBytes', x.physicalInputBytes, 'physicalInputRows', x.physicalInputRows)"
+    )
+    as_text = f"to_json(transform({inputs}, x -> {item}), map('ignoreNullFields', 'false'))"
     return f"CASE WHEN size({inputs}) > 0 THEN {as_text} ELSE '' END"
 
 
@@ -142,13 +152,18 @@ def flatten_event(event: str = "event") -> dict[str, str]:
     return {column: columns[column] for column in LOG_COLUMNS}
 
 
-def to_log_rows(events: DataFrame) -> DataFrame:
-    """Flatten, keeping the arrival columns and adding the version the event carries."""
+# The version an event carries, whatever kind of value its keys hold.
+EVENT_TIME = rfc3339_sql("try_variant_get(event.ingestedAt, '$', 'string')")
+EVENT_SEQ = "try_variant_get(event.ingestSeq, '$', 'bigint')"
+
+
+def to_log_rows(events: DataFrame, event_versions: bool = False) -> DataFrame:
+    """Flatten, keeping the arrival columns and adding the version the event carries, or none."""
     carried = [c for c in events.columns if c not in ("value", "event", "malformed", "status")]
     return events.selectExpr(
         *[f"{sql} AS {column}" for column, sql in flatten_event().items()],
-        f"{rfc3339_sql('event.ingestedAt')} AS ingested_at",
-        "event.ingestSeq AS ingest_seq",
+        f"{EVENT_TIME if event_versions else 'CAST(NULL AS TIMESTAMP)'} AS ingested_at",
+        f"{EVENT_SEQ if event_versions else 'CAST(NULL AS BIGINT)'} AS ingest_seq",
         *carried,
     )
 
@@ -183,7 +198,7 @@ def truncate_fields(rows: DataFrame, max_bytes: int) -> DataFrame:
 def ingest_rows(events: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """Accepted events to finished rows.  The plan policy and the preview see whole texts; fields
     are capped last."""
-    rows = to_log_rows(accepted(events))
+    rows = to_log_rows(accepted(events), options.event_versions)
     rows = apply_plan_policy(rows, options.plan_capture, options.plan_min_wall_ms)
     rows = with_preview(rows, options.preview_bytes)
     rows = truncate_fields(rows, options.max_field_bytes)

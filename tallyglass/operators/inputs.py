@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators.lookup import parse_inputs
 
 
-def explode_inputs(rows: DataFrame, keep: list[str] = ["query_id"]) -> DataFrame:
+def explode_inputs(rows: DataFrame, keep: list[str] = ["query_id", "create_time"]) -> DataFrame:
     """One row per input table; rows without inputs, or with broken ones, give none."""
     exploded = rows.select(*keep, F.posexplode(parse_inputs(F.col("inputs_json"))).alias("n", "input"))
     return exploded.select(
@@ -23,7 +23,7 @@ def explode_inputs(rows: DataFrame, keep: list[str] = ["query_id"]) -> DataFrame
     )
 
 
-def input_columns(inputs: DataFrame, keep: list[str] = ["query_id", "input_no"]) -> DataFrame:
+def input_columns(inputs: DataFrame, keep: list[str] = ["query_id", "create_time", "input_no"]) -> DataFrame:
     """One row per column read."""
     exploded = inputs.select(*keep, F.posexplode("columns").alias("n", "column"))
     return exploded.select(

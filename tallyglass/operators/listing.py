@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.schema import PARTITION_COLUMN, SUMMARY_COLUMNS
+from tallyglass.functions.times import utc
+from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, SUMMARY_COLUMNS
 from tallyglass.sources.querylog import scan_latest
 
 # List limits, paging bounds, named ranges and sort keys.
@@ -37,12 +38,6 @@ SORT_COLUMNS = {
     "rows": "output_rows",
 }
 
-# Past this depth a page is trimmed in two rounds instead of one task merging a full page of
-# rows from every task.
-DEEP_PAGE_ROWS = 2_000
-DEEP_PAGE_GROUPS = 64
-
-
 @dataclass(frozen=True)
 class QueryFilter:
     since: datetime | None = None
@@ -54,10 +49,8 @@ class QueryFilter:
     desc: bool = False
     limit: int = 0
     offset: int = 0
-
-
-def _utc(t: datetime) -> datetime:
-    return t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+    # Continue behind a row: its sort value and its id.
+    after: tuple | None = None
 
 
 # --- filters -------------------------------------------------------------------------------
@@ -68,8 +61,8 @@ def filter_since(df: DataFrame, since: datetime | None) -> DataFrame:
     if since is None:
         return df
     if PARTITION_COLUMN in df.columns:
-        df = df.where(F.col(PARTITION_COLUMN) >= F.lit(_utc(since).date()))
-    return df.where(F.col("create_time") >= F.lit(_utc(since)))
+        df = df.where(F.col(PARTITION_COLUMN) >= F.lit(utc(since).date()))
+    return df.where(F.col("create_time") >= F.lit(utc(since)))
 
 
 def filter_until(df: DataFrame, until: datetime | None) -> DataFrame:
@@ -77,8 +70,8 @@ def filter_until(df: DataFrame, until: datetime | None) -> DataFrame:
     if until is None:
         return df
     if PARTITION_COLUMN in df.columns:
-        df = df.where(F.col(PARTITION_COLUMN) <= F.lit(_utc(until).date()))
-    return df.where(F.col("create_time") < F.lit(_utc(until)))
+        df = df.where(F.col(PARTITION_COLUMN) <= F.lit(utc(until).date()))
+    return df.where(F.col("create_time") < F.lit(utc(until)))
 
 
 def _filter_equal(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -114,9 +107,6 @@ def range_filter(name: str, now: datetime, **fields) -> QueryFilter:
 
 # --- limits --------------------------------------------------------------------------------
 
-_WHOLE_NUMBER = r"^[+-]?[0-9]+$"
-
-
 def store_limit(n: int) -> int:
     """Out of bounds means the default, not the nearest bound."""
     return n if 0 < n <= MAX_LIMIT else DEFAULT_LIMIT
@@ -141,28 +131,6 @@ def api_offset(text: str) -> int:
     return 0 if n is None or n < 0 else min(n, API_MAX_OFFSET)
 
 
-def _whole_number(text: Column) -> Column:
-    return F.when(text.rlike(_WHOLE_NUMBER), text.try_cast("bigint"))
-
-
-def store_limit_column(n: Column) -> Column:
-    return F.when((n > 0) & (n <= MAX_LIMIT), n).otherwise(DEFAULT_LIMIT)
-
-
-def cli_limit_column(n: Column) -> Column:
-    return F.greatest(F.least(F.coalesce(n, F.lit(CLI_DEFAULT_LIMIT)), F.lit(API_MAX_LIMIT)), F.lit(1))
-
-
-def api_limit_column(text: Column) -> Column:
-    n = _whole_number(text)
-    return F.when(n.isNull() | (n < 1), DEFAULT_LIMIT).otherwise(F.least(n, F.lit(API_MAX_LIMIT)))
-
-
-def api_offset_column(text: Column) -> Column:
-    n = _whole_number(text)
-    return F.when(n.isNull() | (n < 0), 0).otherwise(F.least(n, F.lit(API_MAX_OFFSET)))
-
-
 def ui_page(text: str) -> int:
     n = _int64(text)
     return 1 if n is None or n < 1 else min(n, UI_MAX_PAGES)
@@ -178,23 +146,22 @@ def order_columns(sort: str, desc: bool) -> list[Column]:
 
 
 def take_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset .. offset+limit`` of the order.
-
-    A shallow page is one top-k.  For a deep one every task would hand ``limit+offset`` rows to a
-    single merge, so tasks are first trimmed in groups: each group keeps its own best
-    ``limit+offset`` rows, which cannot drop a row of the page."""
-    depth = limit + offset
-    if depth > DEEP_PAGE_ROWS:
-        group = F.pmod(F.spark_partition_id(), F.lit(DEEP_PAGE_GROUPS))
-        columns = df.columns
-        ranked = df.withColumn("_group", group).withColumn(
-            "_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-        )
-        df = ranked.where(F.col("_rank") <= depth).select(*columns)
+    """Rows ``offset .. offset+limit`` of the order: one top-k at any depth.  Its cost grows with the offset; whoever
+    pages deep continues behind a row instead (``QueryFilter.after``), at the cost of a first page."""
     page = df.orderBy(*order)
     return (page.offset(offset) if offset else page).limit(limit)
 
 
+def rows_after(df: DataFrame, sort: str, desc: bool, value, query_id: str) -> DataFrame:
+    """Rows behind (value, query_id) in the order of ``order_columns``; NULLs stand last either way."""
+    column, ids = F.col(SORT_COLUMNS.get(sort, "create_time")), F.col("query_id")
+    behind = ids < F.lit(query_id) if desc else ids > F.lit(query_id)
+    if value is None:
+        return df.where(column.isNull() & behind)
+    beyond = column < F.lit(value) if desc else column > F.lit(value)
+    return df.where(beyond | column.isNull() | ((column == F.lit(value)) & behind))
+
+
 def with_position(page: DataFrame, order: list[Column], offset: int = 0) -> DataFrame:
     """Number the rows of one page (never more than a page, so one task is enough)."""
     return page.withColumn(
@@ -202,21 +169,34 @@ def with_position(page: DataFrame, order: list[Column], offset: int = 0) -> Data
     )
 
 
+def _equal_filters(df: DataFrame, f: QueryFilter) -> DataFrame:
+    return filter_state(filter_catalog(filter_user(df, f.user), f.catalog), f.state)
+
+
 def filtered_summaries(log: DataFrame, f: QueryFilter) -> DataFrame:
-    """Current summaries that pass the filter.  Time bounds go below the version merge (they are
-    part of its key); the others must see the current version only."""
+    """Current summaries that pass the filter.
+
+    Time bounds are part of the version key and go below the merge.  User, catalog and state must hold for
+    the current version, but some stored version has to pass them too: those are found first, by a filter that
+    reaches the scan, and only the versions of their keys are merged."""
     bounded = filter_until(filter_since(log, f.since), f.until)
-    rows = scan_latest(bounded, SUMMARY_COLUMNS)
-    return filter_state(filter_catalog(filter_user(rows, f.user), f.catalog), f.state)
+    if f.user.strip() or f.catalog.strip() or f.state:
+        keys = _equal_filters(bounded, f).select(*ROW_KEY).distinct()
+        bounded = bounded.join(keys, ROW_KEY, "left_semi")
+    return _equal_filters(scan_latest(bounded, SUMMARY_COLUMNS), f)
 
 
 def list_queries(log: DataFrame, f: QueryFilter) -> DataFrame:
     rows = filtered_summaries(log, f).select(*SUMMARY_COLUMNS)
+    if f.after is not None:
+        rows = rows_after(rows, f.sort, f.desc, *f.after)
     return take_page(rows, order_columns(f.sort, f.desc), store_limit(f.limit), f.offset)
 
 
 def list_page(log: DataFrame, f: QueryFilter, page_rows: int, last_page: bool = False) -> DataFrame:
     """One page with its positions and ``has_next``, found by fetching one row more."""
+    if not 0 < page_rows < MAX_LIMIT:
+        raise ValueError(f"a page has 1 to {MAX_LIMIT - 1} rows")
     order = order_columns(f.sort, f.desc)
     rows = list_queries(log, replace(f, limit=page_rows + 1))
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -236,3 +216,24 @@ def ui_list_page(log: DataFrame, f: QueryFilter, page: int) -> DataFrame:
 def top_by(log: DataFrame, key: str, f: QueryFilter = QueryFilter(), limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Heaviest queries of the current filter by wall, cpu, bytes or mem."""
     return list_queries(log, replace(f, sort=key, desc=True, limit=limit, offset=0))
+
+
+def request_filter(params: dict[str, str], now: datetime) -> QueryFilter:
+    """What a list request asks for: a named range up to ``now``, trimmed user and catalog, the state as it is;
+    an unknown sort is by start, descending unless the direction is ``asc``."""
+    sort = params.get("sort", "")
+    return range_filter(
+        params.get("range", ""),
+        now,
+        user=params.get("user", "").strip(),
+        catalog=params.get("catalog", "").strip(),
+        state=params.get("state", ""),
+        sort=sort if sort in SORT_COLUMNS else "start",
+        desc=params.get("dir") != "asc",
+    )
+
+
+def api_list(log: DataFrame, params: dict[str, str], now: datetime) -> DataFrame:
+    """The page a list request gets, with positions and ``has_next``; limit and offset are texts, clamped."""
+    f = replace(request_filter(params, now), offset=api_offset(params.get("offset", "")))
+    return list_page(log, f, api_limit(params.get("limit", "")))

@@ -1,36 +1,36 @@
 """The query-log table: definition, append, retention, compaction.
 
 The table is a day-partitioned Parquet table in the session catalog.  Rows are only ever added by
-appends, removed by dropping whole days and rewritten by overwriting whole days."""
+appends and removed by dropping whole days; compaction replaces files one by one.  Times are UTC, whatever
+zone a bound is given in."""
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.functions.times import partition_id
+from tallyglass.functions.times import partition_id, utc
 from tallyglass.operators.versions import latest_version
 from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, TABLE_SCHEMA
+from tallyglass.session import fresh_path
 
 # Fixed value: files below this size are worth rewriting.
 SMALL_FILE_BYTES = 64 << 20
 TARGET_FILE_BYTES = 256 << 20
 
-_TABLE_OPTIONS = {
+_FILE_OPTIONS = {
     "compression": "zstd",
     # Point lookups skip row groups; sorted files already skip on create_time.
     "parquet.bloom.filter.enabled#query_id": "true",
-    # An INSERT OVERWRITE replaces only the days it writes.
-    "partitionOverwriteMode": "dynamic",
 }
 
 
 def table_ddl(name: str, columns: list[str] | None = None) -> str:
     fields = [f for f in TABLE_SCHEMA if columns is None or f.name in (*columns, PARTITION_COLUMN)]
     body = ",\n  ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in fields)
-    options = ", ".join(f"'{k}' = '{v}'" for k, v in _TABLE_OPTIONS.items())
+    options = ", ".join(f"'{k}' = '{v}'" for k, v in _FILE_OPTIONS.items())
     return (
         f"CREATE TABLE IF NOT EXISTS {name} (\n  {body}\n)\nUSING parquet\n"
         f"OPTIONS ({options})\nPARTITIONED BY ({PARTITION_COLUMN})"
@@ -59,8 +59,7 @@ def append_log(rows: DataFrame, table: str) -> None:
 
 
 def _utc_midnight(now: datetime) -> datetime:
-    now = now.replace(tzinfo=timezone.utc) if now.tzinfo is None else now.astimezone(timezone.utc)
-    return now.replace(hour=0, minute=0, second=0, microsecond=0)
+    return utc(now).replace(hour=0, minute=0, second=0, microsecond=0)
 
 
 def retention_cutoff(now: datetime, days: int) -> datetime:
@@ -70,14 +69,10 @@ def retention_cutoff(now: datetime, days: int) -> datetime:
     return _utc_midnight(now) - timedelta(days=days)
 
 
-def retention_cutoff_column(now: Column, days: Column) -> Column:
-    return F.date_trunc("DAY", now) - F.make_dt_interval(days.cast("int"))
-
-
 def retained_rows(log: DataFrame, cutoff: datetime) -> DataFrame:
     """What row-wise retention keeps; the implied day bound prunes the rest."""
     return log.where(
-        (F.col(PARTITION_COLUMN) >= F.lit(cutoff.date())) & (F.col("create_time") >= F.lit(cutoff))
+        (F.col(PARTITION_COLUMN) >= F.lit(utc(cutoff).date())) & (F.col("create_time") >= F.lit(utc(cutoff)))
     )
 
 
@@ -104,7 +99,7 @@ def partition_days(spark: SparkSession, table: str, before: date | None = None)
 
 def prune(spark: SparkSession, table: str, cutoff: datetime) -> list[date]:
     """Drop every day before the cutoff's day; a cutoff inside a day keeps that day whole."""
-    old = partition_days(spark, table, before=cutoff.date())
+    old = partition_days(spark, table, before=utc(cutoff).date())
     if old:
         specs = ", ".join(f"PARTITION ({PARTITION_COLUMN} = DATE '{d}')" for d in old)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
@@ -119,28 +114,31 @@ def compaction_window(now: datetime, days: int) -> datetime:
     return _utc_midnight(now) - timedelta(days=max(days, 1) - 1)
 
 
-def compaction_window_column(now: Column, days: Column) -> Column:
-    return F.date_trunc("DAY", now) - F.make_dt_interval(
-        (F.greatest(days, F.lit(1)) - 1).cast("int")
-    )
+def _files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Data files of a folder and their bytes, as the file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile()]
+    return sorted((p, n) for p, n in found if not p.rsplit("/", 1)[-1].startswith(("_", ".")))
 
 
-def fragmented_days(log: DataFrame, since: date, small_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """Days from ``since`` on with at least two small files, and the bytes they hold.  Reads file
-    metadata only; no data column is scanned."""
-    files = (
-        log.where(F.col(PARTITION_COLUMN) >= F.lit(since))
-        .select(PARTITION_COLUMN, "_metadata.file_path", "_metadata.file_size")
-        .distinct()
-    )
-    return (
-        files.groupBy(PARTITION_COLUMN)
-        .agg(
-            F.count_if(F.col("file_size") < small_bytes).alias("small_files"),
-            F.sum("file_size").alias("bytes"),
-        )
-        .where(F.col("small_files") >= 2)
-    )
+def _folder(spark: SparkSession, table: str, day: date | None = None) -> str:
+    part = f" PARTITION ({PARTITION_COLUMN} = DATE '{day}')" if day else ""
+    described = spark.sql(f"DESCRIBE FORMATTED {table}{part}")
+    return described.where("col_name = 'Location'").first()["data_type"]
+
+
+def _swap(spark: SparkSession, added: str, folder: str, replaced: list[str]) -> None:
+    """Move finished files into a day, then delete exactly the files they replace.  Between the two a reader may
+    see rows twice, under equal versions; it never misses one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, _ in _files(spark, added):
+        if not store.rename(as_path(name), as_path(target, name.rsplit("/", 1)[-1])):
+            raise RuntimeError(f"could not move {name} to {folder}")
+    for name in replaced:
+        store.delete(as_path(name), False)
 
 
 def compact(
@@ -151,20 +149,32 @@ def compact(
     target_bytes: int = TARGET_FILE_BYTES,
     resolve_versions: bool = False,
 ) -> list[date]:
-    """Rewrite fragmented days into evenly sized files with disjoint time ranges.
-
-    Rows are range-partitioned on (day, time, id), so a heavy day spreads over as many tasks as
-    its bytes call for.  The row multiset stays as it was unless ``resolve_versions`` drops
-    superseded versions."""
-    log = spark.table(table)
-    found = fragmented_days(log, since.date(), small_bytes).collect()  # one short row per day
-    if not found:
-        return []
-    days = sorted(row[PARTITION_COLUMN] for row in found)
-    n_files = sum(-(-row["bytes"] // target_bytes) for row in found)
-    rows = log.where(F.col(PARTITION_COLUMN).isin(days))
-    if resolve_versions:
-        rows = latest_version(rows)
-    laid_out = rows.repartitionByRange(n_files, *ROW_KEY).sortWithinPartitions(*ROW_KEY)
-    laid_out.write.insertInto(table, overwrite=True)
-    return days
+    """Rewrite the small files of each day from ``since`` on that has at least two of them, into evenly sized
+    files with disjoint time ranges.
+
+    Planning lists files and reads no row.  Only the listed files are read and replaced: larger ones keep
+    their place, and files appended meanwhile are neither read nor touched.  The row multiset stays as it was
+    unless ``resolve_versions`` drops superseded versions, which takes all files of such a day."""
+    first, done = utc(since).date(), []
+    for day in partition_days(spark, table):
+        if day < first:
+            continue
+        folder = _folder(spark, table, day)
+        listed = _files(spark, folder)
+        if sum(size < small_bytes for _, size in listed) < 2:
+            continue
+        chosen = listed if resolve_versions else [(p, n) for p, n in listed if n < small_bytes]
+        names = [p for p, _ in chosen]
+        reader = spark.read.schema(spark.table(table).schema).option("basePath", _folder(spark, table))
+        rows = reader.parquet(*names)
+        if resolve_versions:
+            rows = latest_version(rows)
+        n_files = -(-sum(n for _, n in chosen) // target_bytes)
+        laid_out = rows.repartitionByRange(n_files, *ROW_KEY).sortWithinPartitions(*ROW_KEY)
+        staged = fresh_path(spark, "compacted")
+        laid_out.drop(PARTITION_COLUMN).write.options(**_FILE_OPTIONS).parquet(staged)
+        _swap(spark, staged, folder, names)
+        done.append(day)
+    if done:
+        spark.catalog.refreshTable(table)
+    return done

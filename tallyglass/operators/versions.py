@@ -23,6 +23,12 @@ def dedupe_batch(rows: DataFrame, arrival: list[str]) -> DataFrame:
     return _keep_last(rows, ["query_id"], arrival)
 
 
+def dedupe_flush(rows: DataFrame, arrival: list[str]) -> DataFrame:
+    """One row per key of the table: the last to arrive.  Keys, not ids, so that the table does not depend on
+    how the input was cut into flushes."""
+    return _keep_last(rows, ROW_KEY, arrival)
+
+
 def latest_version(rows: DataFrame) -> DataFrame:
     """One row per ``(create_time, query_id)``: the last ingested.  The day is part of the key,
     so versions never merge across partitions and a day filter reaches the scan."""

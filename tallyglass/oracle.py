@@ -5,9 +5,11 @@ every operator is written again in SQL."""
 
 from __future__ import annotations
 
+from datetime import timedelta, timezone
+
 from tallyglass import registry as G
 from tallyglass.operators import listing as L
-from tallyglass.schema import LOG_COLUMNS, SUMMARY_COLUMNS, VERSION_COLUMNS
+from tallyglass.schema import LOG_COLUMNS, STRING_COLUMNS, SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.sources import testbed as T
 
 _FIELDS = T.log_fields(T.DUCKDB)
@@ -138,11 +140,12 @@ def _page(sort: str, desc: bool, limit: int, offset: int = 0, where: str = _IN_W
 
 _INPUTS = f"""{_LOG},
 input AS (
-  SELECT query_id, i, k AS input_no, 'hive' AS catalog_name, 's' || k AS schema_name,
+  SELECT query_id, create_time, i, k AS input_no, CASE WHEN i % 5 = 4 THEN '' ELSE 'hive' END AS catalog_name,
+    CASE WHEN i % 5 = 4 THEN '' ELSE 's' || k END AS schema_name,
     't' || ((i + k) % 11) AS table_name,
     CASE WHEN k = 2 AND i % 2 = 0 THEN NULL ELSE (i * k * 4099) % 5000000 END AS physical_input_bytes,
     CASE WHEN k = 2 AND i % 4 = 0 THEN NULL ELSE (i * k * 31) % 70000 END AS physical_input_rows
-  FROM (SELECT query_id, i, unnest(range(1, i % 3 + 1)) AS k FROM latest)
+  FROM (SELECT query_id, create_time, i, unnest(range(1, i % 3 + 1)) AS k FROM latest)
 )"""
 
 
@@ -233,16 +236,12 @@ ranked AS (
 
 
 def _fingerprint() -> str:
-    def tagged(c: str) -> str:
-        if c in ("create_time", "execution_start_time", "end_time"):
-            shown = f"'t' || epoch_us({c}) || ';'"
-        elif c.endswith(("_ms", "_bytes", "_rows", "_splits")):
-            shown = f"'i' || {c} || ';'"
-        else:
-            shown = f"'s' || strlen({c}) || ':' || {c} || ';'"
-        return f"coalesce({shown}, 'n;')"
-
-    row = " || ".join(tagged(c) for c in LOG_COLUMNS)
+    def shown(c: str) -> str:
+        return f"CAST(epoch_us({c}) AS VARCHAR)" if c in ("create_time", "execution_start_time", "end_time") else f"CAST({c} AS VARCHAR)"
+
+    lengths = ", ".join(f"coalesce(CAST(strlen({shown(c)}) AS VARCHAR), '')" for c in LOG_COLUMNS)
+    values = ", ".join(f"coalesce({shown(c)}, '')" for c in LOG_COLUMNS)
+    row = f"concat(concat_ws(' ', {lengths}), chr(10), {values})"
     sums = " || '|' || ".join(
         f"CAST(sum(CAST('0x' || substr(h, {8 * w + 1}, 8) AS BIGINT)) AS VARCHAR)" for w in range(8)
     )
@@ -317,16 +316,48 @@ def _id_day() -> str:
 
 
 def _limits() -> str:
-    raw = (
-        "CASE i % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN i WHEN 3 THEN -i WHEN 4 THEN 2000000000 "
-        "ELSE (i * 37) % 1200 END"
+    parts = []
+    for text in G.LIMIT_CASES:
+        n = L._int64(text)
+        store = n if n is not None and 0 < n <= 5000 else 100
+        cli = min(max(20 if n is None else n, 1), 500)
+        api = 100 if n is None or n < 1 else min(n, 500)
+        offset = 0 if n is None or n < 0 else min(n, 100_000)
+        parts += [(f"{door}:{text}", k, 0) for door, k in (("store", store), ("cli", cli), ("api", api))] + [(f"offset:{text}", 5000, offset)]
+    rows = ", ".join(f"('{case}', {limit}, {offset})" for case, limit, offset in parts)
+    return log(
+        "SELECT asked, CAST(greatest(least((SELECT count(*) FROM latest WHERE catalog = 'hive') - o, l), 0) AS BIGINT) AS n "
+        f"FROM (VALUES {rows}) x(asked, l, o)"
     )
-    return events(
-        "SELECT event_id, CASE WHEN n > 0 AND n <= 5000 THEN n ELSE 100 END AS store_limit, "
-        "greatest(least(n, 500), 1) AS cli_limit, "
-        "CASE WHEN raw IS NULL OR raw < 1 THEN 100 ELSE least(raw, 500) END AS api_limit, "
-        "CASE WHEN raw IS NULL OR raw < 0 THEN 0 ELSE least(raw, 100000) END AS api_offset "
-        f"FROM (SELECT i AS event_id, (i * 37) % 9001 - 2000 AS n, {raw} AS raw FROM src)"
+
+
+def _upkeep(name: str, back) -> str:
+    parts = []
+    for now, days in G.UPKEEP_CASES:
+        day = (now.astimezone(timezone.utc) if now.tzinfo else now).date() - timedelta(days=back(days))
+        parts.append(f"SELECT '{G._case(now, days)}' AS {name}, count(*) AS n FROM log WHERE create_time >= TIMESTAMP '{day} 00:00:00'")
+    return log(" UNION ALL ".join(parts))
+
+
+_PLAIN = f"""{_DOCS},
+sent AS (
+  SELECT *, unnest(CASE WHEN i % 50 = 0 THEN [CAST(0 AS BIGINT), CAST(2 AS BIGINT)]
+                        WHEN i % 10 = 0 THEN [CAST(0 AS BIGINT), CAST(1 AS BIGINT)] ELSE [CAST(0 AS BIGINT)] END) AS v
+  FROM src
+),
+rows AS (SELECT v, {_columns(G._CURRENT)} FROM sent WHERE status = 'accepted')"""
+
+
+def _plain_current() -> str:
+    return _with(_PLAIN, f"SELECT {', '.join(G._CURRENT)} FROM rows QUALIFY row_number() OVER (PARTITION BY create_time, query_id ORDER BY v DESC) = 1")
+
+
+def _api_list() -> str:
+    hits = f"hits AS (SELECT * FROM latest WHERE catalog = 'hive' AND create_time >= {_ts(G.NOW - timedelta(days=30))} AND create_time < {_ts(G.NOW)})"
+    return _with(
+        f"{_LOG},\n{hits}",
+        f"SELECT *, (SELECT count(*) FROM hits) > 510 AS has_next FROM (SELECT {_SUMMARY}, row_number() OVER (ORDER BY {_order('start', True)}) AS position FROM hits) "
+        "WHERE position BETWEEN 11 AND 510",
     )
 
 
@@ -391,7 +422,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "scan_log": log(f"SELECT {_ALL} FROM log"),
         "scan_summary": log(f"SELECT {_SUMMARY} FROM log"),
-        "scan_coalesced": log(f"SELECT {_ALL} FROM log"),
+        "scan_coalesced": log(
+            "SELECT * REPLACE ('' AS environment, '' AS server_version, CAST(0 AS BIGINT) AS completed_splits, CAST(0 AS BIGINT) AS written_rows) "
+            f"FROM (SELECT {_ALL} FROM log)"
+        ),
         "scan_latest": log(f"SELECT {_ALL} FROM latest"),
         "list_partitions": log(
             f"SELECT DISTINCT strftime(create_date, '%Y%m%d') AS partition_id FROM log WHERE create_date < DATE '{G.CUTOFF:%Y-%m-%d}' ORDER BY 1"
@@ -419,7 +453,9 @@ def oracle_sql() -> dict[str, str]:
         + flat("text")
         + f" AS line FROM documents) SELECT doc_id, {byte_cut('line', '200')} AS preview_200, {byte_cut('line', '33')} AS preview_33 FROM d",
         "truncate_fields": _truncate_fields(),
-        "ingest_row": log(f"SELECT {_ALL}, ingest_seq FROM log"),
+        "ingest_row": log(
+            "SELECT * REPLACE (" + ", ".join(f"{truncated(c, G.CAP_BYTES)} AS {c}" for c in STRING_COLUMNS) + f") FROM (SELECT {_ALL}, ingest_seq FROM log)"
+        ),
         "one_line": f"SELECT doc_id, {flat('text')} AS line FROM documents",
         "ellipsize": "SELECT doc_id, "
         + ", ".join(f"{ellipsized('text', n)} AS at_{n}" for n in (0, 1, 20, 500))
@@ -431,7 +467,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_state": log(f"SELECT {_SUMMARY} FROM latest WHERE query_state = 'CANCELED'"),
         "failed_only": log(f"SELECT {_SUMMARY} FROM latest WHERE {_IN_WINDOW} AND query_state = 'FAILED'"),
         "time_range": _range_counts(),
-        "get_query": log(f"SELECT {_ALL} FROM latest WHERE query_id = (SELECT max(query_id) FROM log)"),
+        "get_query": log(f"SELECT {_ALL} FROM latest WHERE query_id = (SELECT query_id FROM log WHERE i = 1 LIMIT 1)"),
         "query_id_day": _id_day(),
         "lookup_many": log("SELECT query_id, create_time, query_state, wall_ms, user_name FROM latest"),
         "sort_unknown_key": _page("start", False, 50),
@@ -452,16 +488,18 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dedupe_batch": _versions("query_id"),
         "latest_version": _versions("create_time, query_id"),
-        "skip_repeated_batch": log(f"SELECT {_SHORT} FROM log WHERE v = 0"),
+        "skip_repeated_batch": log(f"SELECT {_SHORT} FROM log"),
+        "api_list": _api_list(),
+        "page_after": log(f"SELECT {_SUMMARY} FROM latest WHERE {_IN_WINDOW} ORDER BY {_order('rows', True)} LIMIT 200 OFFSET 200"),
         "explode_inputs": _with(_INPUTS, "SELECT * EXCLUDE (i) FROM input"),
         "input_columns": _with(
             _INPUTS,
-            "SELECT query_id, input_no, n AS column_no, CASE n WHEN 1 THEN 'id' ELSE 'c' || (i % 7) END AS column_name, "
-            "CASE n WHEN 1 THEN 'bigint' ELSE 'varchar' END AS column_type FROM (SELECT *, unnest([CAST(1 AS BIGINT), 2]) AS n FROM input)",
+            "SELECT query_id, create_time, input_no, n AS column_no, CASE n WHEN 1 THEN 'id' ELSE 'c' || (i % 7) END AS column_name, "
+            "CASE WHEN n = 1 THEN 'bigint' WHEN i % 5 = 3 THEN '' ELSE 'varchar' END AS column_type FROM (SELECT *, unnest([CAST(1 AS BIGINT), 2]) AS n FROM input)",
         ),
         "qualified_input_name": _with(
             _INPUTS,
-            "SELECT query_id, input_no, catalog_name || '.' || schema_name || '.' || table_name AS input_table FROM input",
+            "SELECT query_id, create_time, input_no, catalog_name || '.' || schema_name || '.' || table_name AS input_table FROM input",
         ),
         "query_detail": log(
             f"SELECT {_ALL}, i % 3 AS n_inputs, coalesce(array_to_string(list_transform(range(1, i % 3 + 1), lambda k: 't' || ((i + k) % 11)), ','), '') AS input_tables FROM latest"
@@ -469,15 +507,15 @@ def oracle_sql() -> dict[str, str]:
         "detail_without_plans": log(
             f"SELECT {_ALL} FROM (SELECT * REPLACE ('' AS plan, '' AS json_plan) FROM latest)"
         ),
-        "plan_hotspots": _with(_HOTSPOTS, "SELECT query_id, hotspot_rank, operator, cpu_pct, cpu, rows FROM ranked"),
+        "plan_hotspots": _with(_HOTSPOTS, "SELECT query_id, create_time, hotspot_rank, operator, cpu_pct, cpu, rows FROM ranked"),
         "plan_top_n": _with(
-            _HOTSPOTS, "SELECT query_id, hotspot_rank, operator, cpu_pct, cpu, rows FROM ranked WHERE hotspot_rank <= 3"
+            _HOTSPOTS, "SELECT query_id, create_time, hotspot_rank, operator, cpu_pct, cpu, rows FROM ranked WHERE hotspot_rank <= 3"
         ),
         "plan_op_name": f"SELECT doc_id, {ellipsized('line', 60)} AS operator FROM (SELECT doc_id, {flat('text')} AS line FROM documents)",
         "parse_comma_int": _comma_int(),
         "hotspot_report": _with(
             _HOTSPOTS,
-            f"SELECT query_id, hotspot_rank, printf('%.1f', cpu_pct) || '%' AS cpu_share, cpu, {count_shown('rows')} AS rows, operator "
+            f"SELECT query_id, create_time, hotspot_rank, printf('%.1f', cpu_pct) || '%' AS cpu_share, cpu, {count_shown('rows')} AS rows, operator "
             "FROM ranked WHERE hotspot_rank <= 10",
         ),
         "human_bytes_ui": _shown(G.BYTES_CASE, bytes_ui("n")),
@@ -487,7 +525,7 @@ def oracle_sql() -> dict[str, str]:
         "human_count": _shown(G.BYTES_CASE, count_shown("n")),
         "null_placeholder": _with(
             _INPUTS,
-            f"SELECT query_id, input_no, coalesce({bytes_cli('physical_input_bytes')}, '-') AS bytes_cli, coalesce({count_shown('physical_input_rows')}, '-') AS rows_cli, "
+            f"SELECT query_id, create_time, input_no, coalesce({bytes_cli('physical_input_bytes')}, '-') AS bytes_cli, coalesce({count_shown('physical_input_rows')}, '-') AS rows_cli, "
             f"coalesce({bytes_ui('physical_input_bytes')}, '—') AS bytes_ui, coalesce({count_shown('physical_input_rows')}, '—') AS rows_ui FROM input",
         ),
         "format_time": log(
@@ -512,20 +550,32 @@ def oracle_sql() -> dict[str, str]:
         "detail_report": _detail(),
         "inputs_report": _with(
             _INPUTS,
-            f"SELECT query_id, input_no, catalog_name || '.' || schema_name || '.' || table_name AS input_table, "
+            f"SELECT query_id, create_time, input_no, catalog_name || '.' || schema_name || '.' || table_name AS input_table, "
             f"coalesce({count_shown('physical_input_rows')}, '-') AS rows, coalesce({bytes_cli('physical_input_bytes')}, '-') AS bytes FROM input",
         ),
-        "retention_cutoff": events(
-            "SELECT i AS event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(i % 31 AS INTEGER)) AS cutoff FROM src"
-        ),
+        "retention_cutoff": _upkeep("kept_at", lambda days: days),
         "retained_rows": log(f"SELECT {_SHORT} FROM log WHERE create_time >= {_ts(G.CUTOFF)}"),
-        "prune": log(f"SELECT {_SHORT}, create_date FROM log WHERE create_date >= DATE '{G.CUTOFF:%Y-%m-%d}'"),
-        "compaction_window": events(
-            "SELECT i AS event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(greatest(i % 9 - 2, 1) - 1 AS INTEGER)) AS window_start FROM src"
-        ),
+        "prune": log(f"SELECT {_SHORT}, create_date FROM log WHERE create_date >= DATE '2024-01-19'"),
+        "compaction_window": _upkeep("run_at", lambda days: max(days, 1) - 1),
         "compact": log(f"SELECT {_SHORT}, create_date FROM log"),
         "compact_and_resolve": log(f"SELECT {_SHORT}, create_date FROM latest"),
         "stream_ingest": log(f"SELECT {_SUMMARY} FROM latest"),
+        "stream_small_batches": _plain_current(),
+        "stream_one_batch": _plain_current(),
+        "flush_batches": _plain_current(),
+        "late_data": log("SELECT create_date, count(*) AS n, CAST(sum(wall_ms) AS BIGINT) AS wall_ms FROM log WHERE v = 0 GROUP BY create_date"),
+        "flush_counters": _with(
+            _SENT,
+            "SELECT 'events_received' AS counter, count(*) + count(*) FILTER (WHERE v = 0) AS n FROM sent UNION ALL "
+            "SELECT 'events_invalid', count(*) FROM sent WHERE status IN ('malformed', 'invalid') UNION ALL "
+            "SELECT 'events_suppressed', count(*) FROM sent WHERE status = 'suppressed' UNION ALL "
+            "SELECT 'rows_enqueued', count(*) FROM sent WHERE status = 'accepted' UNION ALL "
+            "SELECT 'rows_flushed', count(*) FROM sent WHERE status = 'accepted' UNION ALL SELECT 'batches_flushed', 2 UNION ALL "
+            "SELECT 'events_repeated', count(*) FROM sent WHERE v = 0",
+        ),
+        "stored_rejects": _with(
+            _SENT, "SELECT status, v AS number, count(*) AS n FROM sent WHERE status IN ('malformed', 'invalid') GROUP BY status, v"
+        ),
         "stream_drain": _with(_SENT, _COUNTERS),
         "ingest_counters": _with(_SENT, _COUNTERS),
         "quarantine": _with(

@@ -83,7 +83,7 @@ def hotspot_array(plan: str, top: int = 0) -> Column:
     return F.expr(f"slice({ranked}, 1, {top})" if top > 0 else ranked)
 
 
-def plan_hotspots(rows: DataFrame, keep: list[str] = ["query_id"], top: int = 0) -> DataFrame:
+def plan_hotspots(rows: DataFrame, keep: list[str] = ["query_id", "create_time"], top: int = 0) -> DataFrame:
     """One row per hotspot with its rank in the plan."""
     with_plan = rows.where(F.col("plan").contains("CPU:"))
     exploded = with_plan.select(*keep, F.posexplode(hotspot_array("plan", top)).alias("n", "hotspot"))
@@ -92,7 +92,7 @@ def plan_hotspots(rows: DataFrame, keep: list[str] = ["query_id"], top: int = 0)
     )
 
 
-def hotspot_report(rows: DataFrame, keep: list[str] = ["query_id"], top: int = DEFAULT_TOP) -> DataFrame:
+def hotspot_report(rows: DataFrame, keep: list[str] = ["query_id", "create_time"], top: int = DEFAULT_TOP) -> DataFrame:
     return plan_hotspots(rows, keep, top).select(
         *keep,
         "hotspot_rank",

@@ -82,7 +82,7 @@ def detail_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def inputs_report(inputs: DataFrame, keep: list[str] = ["query_id", "input_no"]) -> DataFrame:
+def inputs_report(inputs: DataFrame, keep: list[str] = ["query_id", "create_time", "input_no"]) -> DataFrame:
     """Input tables of a detail view, missing figures as a dash."""
     from tallyglass.operators.inputs import qualified_name
 

@@ -6,7 +6,9 @@ them (landing), or the query-log table written from those through the ingest pat
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,7 @@ from tallyglass.operators.versions import dedupe_batch, latest_version
 from tallyglass.plans import hotspots as H
 from tallyglass.plans import reports as R
 from tallyglass.schema import (
-    BIGINT_COLUMNS,
     LOG_COLUMNS,
-    STRING_COLUMNS,
     SUMMARY_COLUMNS,
     VERSION_COLUMNS,
 )
@@ -45,6 +45,8 @@ UNTIL = datetime(2024, 1, 22, 6, 30, 0, 1)
 CUTOFF = datetime(2024, 1, 20, 12, 0, 0)
 # The list every sort and page query shows.
 WINDOW = {"since": SINCE, "until": UNTIL}
+# A cap that long statements exceed.
+CAP_BYTES = 3_000
 
 
 def query(fn: Query) -> Query:
@@ -105,7 +107,7 @@ def event_source(spark, sf_dir):
 def decode_event(spark, sf_dir):
     event = F.col("event")
     return decode_events(_lines(spark, sf_dir)).where(~F.col("malformed")).select(
-        event["ingestSeq"].alias("ingest_seq"),
+        F.expr(I.EVENT_SEQ).alias("ingest_seq"),
         event["metadata"]["queryId"].alias("query_id"),
         event["metadata"]["query"].alias("query_text"),
         event["context"]["user"].alias("user_name"),
@@ -127,15 +129,15 @@ def scan_summary(spark, sf_dir):
     return Q.scan_summary(_log(spark, sf_dir))
 
 
+# Columns that a log file from before they existed lacks.
+LATER_COLUMNS = ["environment", "server_version", "completed_splits", "written_rows"]
+
+
 @query
 def scan_coalesced(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    # Rows as a file from before these columns existed would give them.
-    older = log.withColumns(
-        {c: F.nullif(F.col(c), F.lit("")) for c in STRING_COLUMNS}
-        | {c: F.nullif(F.col(c), F.lit(0).cast("bigint")) for c in BIGINT_COLUMNS}
-    )
-    return Q.scan_coalesced(older)
+    older = fresh_path(spark, "older")
+    _log(spark, sf_dir).drop(*LATER_COLUMNS).write.parquet(older)
+    return Q.scan_coalesced(Q.read_log(spark, older))
 
 
 @query
@@ -217,7 +219,7 @@ def validate_events(spark, sf_dir):
 def suppress_source(spark, sf_dir):
     event = F.col("event")
     return _rated(spark, sf_dir).where(F.col("status") == "suppressed").select(
-        event["ingestSeq"].alias("ingest_seq"),
+        F.expr(I.EVENT_SEQ).alias("ingest_seq"),
         event["metadata"]["queryId"].alias("query_id"),
         event["context"]["source"].alias("source"),
     )
@@ -253,12 +255,12 @@ def duration_ms(spark, sf_dir):
 
 @query
 def flatten_event(spark, sf_dir):
-    return I.to_log_rows(_accepted(spark, sf_dir)).select(*LOG_COLUMNS, "ingest_seq")
+    return I.to_log_rows(_accepted(spark, sf_dir), event_versions=True).select(*LOG_COLUMNS, "ingest_seq")
 
 
 def _from_event(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
     return _accepted(spark, sf_dir).selectExpr(
-        "event.ingestSeq AS ingest_seq", *[f"{sql} AS {name}" for name, sql in columns.items()]
+        f"{I.EVENT_SEQ} AS ingest_seq", *[f"{sql} AS {name}" for name, sql in columns.items()]
     )
 
 
@@ -289,13 +291,13 @@ def plan_policy(spark, sf_dir):
         T.versions(_events(spark, sf_dir)),
         ["query_id", "ingest_seq", "error_code", "wall_ms", "plan", "json_plan"],
     )
-    policies = {"all": "all", "none": "none", "slow": "slow_or_failed"}
-    out = ["query_id", "ingest_seq"]
-    for label, capture in policies.items():
-        keep = I.keeps_plans(capture, 10_000)
-        out.append(F.octet_length(F.when(keep, F.col("plan")).otherwise("")).cast("bigint").alias(f"plan_{label}"))
-        out.append(F.when(keep, F.col("json_plan")).otherwise("").alias(f"json_{label}"))
-    return rows.select(*out)
+    rows = rows.select("query_id", "ingest_seq", "error_code", "wall_ms", "plan", "json_plan")
+    for label, capture in {"all": "all", "none": "none", "slow": "slow_or_failed"}.items():
+        kept = I.apply_plan_policy(rows.select("*", F.struct("plan", "json_plan").alias("_whole")), capture, 10_000)
+        rows = kept.withColumns(
+            {f"plan_{label}": F.octet_length("plan").cast("bigint"), f"json_{label}": F.col("json_plan"), "plan": F.col("_whole.plan"), "json_plan": F.col("_whole.json_plan")}
+        ).drop("_whole")
+    return rows.drop("error_code", "wall_ms", "plan", "json_plan")
 
 
 @query
@@ -318,7 +320,8 @@ def truncate_fields(spark, sf_dir):
 
 @query
 def ingest_row(spark, sf_dir):
-    return I.ingest_lines(_lines(spark, sf_dir)).select(*LOG_COLUMNS, "ingest_seq")
+    options = I.IngestOptions(event_versions=True, max_field_bytes=CAP_BYTES)
+    return I.ingest_lines(_lines(spark, sf_dir), options).select(*LOG_COLUMNS, "ingest_seq")
 
 
 @query
@@ -372,9 +375,9 @@ def time_range(spark, sf_dir):
 
 @query
 def get_query(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    newest = log.agg(F.max("query_id")).first()[0]
-    return LK.get_query(log, newest)
+    """The id is worked out from one event; the log is read for three days at most."""
+    one = T.direct_rows(_events(spark, sf_dir).where("i = 1").withColumn("v", F.lit(0).cast("bigint")), ["query_id"])
+    return LK.get_query(_log(spark, sf_dir), one.first().query_id)
 
 
 @query
@@ -419,21 +422,42 @@ _sorted("offset_page", sort="cpu", desc=True, limit=101, offset=300)
 _sorted("deep_page", sort="wall", desc=True, limit=101, offset=2500)
 
 
+LIMIT_CASES = ["", "0", "+7", "501", "5001", "99999999999999999999"]
+
+
+def _counted(parts: list[tuple[str, DataFrame]], name: str, counts: dict[str, Column] | None = None) -> DataFrame:
+    """One row per case: its name and what its rows count to."""
+    counts = counts or {"n": F.count(F.lit(1))}
+    rows = [df.agg(*[c.alias(k) for k, c in counts.items()]).select(F.lit(case).alias(name), *counts) for case, df in parts]
+    return reduce(DataFrame.union, rows)
+
+
 @query
 def limit_clamp(spark, sf_dir):
-    raw = F.expr(
-        "CASE i % 6 WHEN 0 THEN 'x' WHEN 1 THEN '' WHEN 2 THEN CAST(i AS STRING) "
-        "WHEN 3 THEN '-' || CAST(i AS STRING) WHEN 4 THEN '2000000000' ELSE CAST((i * 37) % 1200 AS STRING) END"
-    )
-    n = (F.col("i") * 37) % 9001 - 2000
-    rows = _events(spark, sf_dir).select(F.col("i").alias("event_id"), n.alias("n"), raw.alias("raw"))
-    return rows.select(
-        "event_id",
-        L.store_limit_column(F.col("n")).cast("bigint").alias("store_limit"),
-        L.cli_limit_column(F.col("n")).cast("bigint").alias("cli_limit"),
-        L.api_limit_column(F.col("raw")).cast("bigint").alias("api_limit"),
-        L.api_offset_column(F.col("raw")).cast("bigint").alias("api_offset"),
-    )
+    """How many rows a list shows that is asked for these limits and offsets, by each of its doors."""
+    log = _log(spark, sf_dir).where(F.col("catalog") == "hive")
+    parts = []
+    for text in LIMIT_CASES:
+        n = L._int64(text)
+        asked = {"store": n or 0, "cli": L.cli_limit(n), "api": L.api_limit(text)}
+        parts += [(f"{door}:{text}", L.list_queries(log, L.QueryFilter(limit=k))) for door, k in asked.items()]
+        parts.append((f"offset:{text}", L.list_queries(log, L.QueryFilter(limit=L.MAX_LIMIT, offset=L.api_offset(text)))))
+    return _counted(parts, "asked")
+
+
+@query
+def api_list(spark, sf_dir):
+    request = {"range": "30d", "user": " ", "catalog": " hive ", "sort": "bogus", "limit": "700", "offset": "10"}
+    return L.api_list(_log(spark, sf_dir), request, NOW)
+
+
+@query
+def page_after(spark, sf_dir):
+    """The page behind the last row of another, in an order with many ties."""
+    f = L.QueryFilter(**WINDOW, sort="rows", desc=True, limit=200)
+    last = L.list_queries(_log(spark, sf_dir), f).orderBy(*[c for c in L.order_columns("rows", True)]).tail(1)
+    after = (last[0].output_rows, last[0].query_id) if last else None
+    return L.list_queries(_log(spark, sf_dir), replace(f, after=after))
 
 
 @query
@@ -497,18 +521,15 @@ _register("latest_version", _QUERIES.pop("current_versions"))
 
 @query
 def skip_repeated_batch(spark, sf_dir):
-    table = TB.create_log_table(spark, T.new_table_name(spark, "repeated"))
-    lines = read_events(spark, f"{T.landing(spark, sf_dir)}/v=0")
-    for batch_id in (0, 1):
-        S.flush_batch(lines, batch_id, table)
-    return spark.table(table).select(*_SHORT)
+    """First sendings, resends, first sendings again: the third flush is recognised."""
+    return spark.table(T.flushed_table(spark, sf_dir)).select(*_SHORT)
 
 
 # --- nested data ---------------------------------------------------------------------------
 
 
 def _inputs(spark, sf_dir) -> DataFrame:
-    return IN.explode_inputs(_latest(spark, sf_dir, ["query_id", "inputs_json"]))
+    return IN.explode_inputs(_latest(spark, sf_dir, ["query_id", "create_time", "inputs_json"]))
 
 
 @query
@@ -524,7 +545,7 @@ def input_columns(spark, sf_dir):
 @query
 def qualified_input_name(spark, sf_dir):
     name = IN.qualified_name(F.col("catalog_name"), F.col("schema_name"), F.col("table_name"))
-    return _inputs(spark, sf_dir).select("query_id", "input_no", name.alias("input_table"))
+    return _inputs(spark, sf_dir).select("query_id", "create_time", "input_no", name.alias("input_table"))
 
 
 @query
@@ -546,7 +567,7 @@ def detail_without_plans(spark, sf_dir):
 
 # --- plans ---------------------------------------------------------------------------------
 
-_PLAN_ROWS = ["query_id", "plan"]
+_PLAN_ROWS = ["query_id", "create_time", "plan"]
 
 
 @query
@@ -583,14 +604,14 @@ def hotspot_report(spark, sf_dir):
 
 # Figures of every magnitude, negative and zero included (SQL for both engines).
 BYTES_CASE = (
-    "CASE i % 7 WHEN 0 THEN (i * 15485863) % 100000 - 1000 WHEN 1 THEN ((i * 15485863) % 100000) * 1024 "
-    "WHEN 2 THEN ((i * 15485863) % 100000) * 1048576 WHEN 3 THEN ((i * 15485863) % 100000) * 1073741824 "
-    "WHEN 4 THEN ((i * 15485863) % 100000) * 1099511627776 WHEN 5 THEN 1125899906842624 * (i % 8000) "
+    "CASE i % 7 WHEN 0 THEN (i * 9161453) % 100000 - 1000 WHEN 1 THEN ((i * 9161453) % 100000) * 1024 "
+    "WHEN 2 THEN ((i * 9161453) % 100000) * 1048576 WHEN 3 THEN ((i * 9161453) % 100000) * 1073741824 "
+    "WHEN 4 THEN ((i * 9161453) % 100000) * 1099511627776 WHEN 5 THEN 1125899906842624 * (i % 8000) "
     "ELSE i % 2000 END"
 )
 MS_CASE = (
-    "CASE i % 5 WHEN 0 THEN (i * 7919) % 2000 - 100 WHEN 1 THEN (i * 7919) % 61000 WHEN 2 THEN (i * 7919) % 3700000 "
-    "WHEN 3 THEN (i * 104729) % 400000000 ELSE i % 100000 END"
+    "CASE i % 5 WHEN 0 THEN (i * 6133) % 2000 - 100 WHEN 1 THEN (i * 6133) % 61000 WHEN 2 THEN (i * 6133) % 3700000 "
+    "WHEN 3 THEN (i * 86243) % 400000000 ELSE i % 100000 END"
 )
 
 
@@ -614,6 +635,7 @@ def null_placeholder(spark, sf_dir):
     size, n = F.col("physical_input_bytes"), F.col("physical_input_rows")
     return _inputs(spark, sf_dir).select(
         "query_id",
+        "create_time",
         "input_no",
         D.or_placeholder(D.human_bytes_cli(size), "-").alias("bytes_cli"),
         D.or_placeholder(D.human_count(n), "-").alias("rows_cli"),
@@ -671,12 +693,26 @@ def inputs_report(spark, sf_dir):
 # --- upkeep --------------------------------------------------------------------------------
 
 
+# Times of three zones and the days to keep or to compact before them.
+_EAST, _WEST = timezone(timedelta(hours=9)), timezone(timedelta(hours=-7))
+UPKEEP_CASES = [
+    (datetime(2024, 1, 22, 0, 30), 3),
+    (datetime(2024, 1, 22, 0, 30, tzinfo=_EAST), 3),
+    (datetime(2024, 1, 21, 20, 15, tzinfo=_WEST), 3),
+    (datetime(2024, 1, 15, 23, 59, 59), 0),
+    (datetime(2024, 1, 30), 14),
+]
+
+
+def _case(now: datetime, days: int) -> str:
+    return f"{now.isoformat()} {days}"
+
+
 @query
 def retention_cutoff(spark, sf_dir):
-    days = F.col("i") % 31
-    return _events(spark, sf_dir).select(
-        F.col("i").alias("event_id"), TB.retention_cutoff_column(F.col("ts"), days).alias("cutoff")
-    )
+    """What retention keeps at each of these times."""
+    log = _log(spark, sf_dir)
+    return _counted([(_case(*c), TB.retained_rows(log, TB.retention_cutoff(*c))) for c in UPKEEP_CASES], "kept_at")
 
 
 @query
@@ -688,16 +724,16 @@ def retained_rows(spark, sf_dir):
 @query
 def prune(spark, sf_dir):
     table = _narrow_table(spark, sf_dir, "pruned")
-    TB.prune(spark, table, CUTOFF)
+    # Still the 19th in UTC.
+    TB.prune(spark, table, datetime(2024, 1, 20, 3, 0, tzinfo=_EAST))
     return spark.table(table).select(*_SHORT, "create_date")
 
 
 @query
 def compaction_window(spark, sf_dir):
-    days = F.col("i") % 9 - 2
-    return _events(spark, sf_dir).select(
-        F.col("i").alias("event_id"), TB.compaction_window_column(F.col("ts"), days).alias("window_start")
-    )
+    """The rows of the days that a compaction run at these times looks at."""
+    log = _log(spark, sf_dir)
+    return _counted([(_case(*c), L.filter_since(log, TB.compaction_window(*c))) for c in UPKEEP_CASES], "run_at")
 
 
 @query
@@ -717,25 +753,76 @@ def compact_and_resolve(spark, sf_dir):
 # --- streaming -----------------------------------------------------------------------------
 
 
+_CURRENT = ["query_id", "create_time", "query_state", "wall_ms", "cpu_ms", "error_code"]
+
+
 @query
 def stream_ingest(spark, sf_dir):
     table = TB.create_log_table(spark, T.new_table_name(spark, "streamed"))
-    S.drain(spark, T.landing(spark, sf_dir), table, fresh_path(spark, "stream"), max_files=8)
+    S.drain(spark, T.landing(spark, sf_dir), table, fresh_path(spark, "stream"), options=T.OPTIONS, max_files=8)
     return Q.scan_latest(spark.table(table), SUMMARY_COLUMNS).select(*SUMMARY_COLUMNS)
 
 
+def _two_streams(spark, sf_dir, max_files: int) -> DataFrame:
+    """Resends come by a second stream, in files older than those of the first; events carry no version."""
+    table = TB.create_log_table(spark, T.new_table_name(spark, "streams"))
+    for part in ("first", "later"):
+        S.drain(spark, f"{T.plain_landing(spark, sf_dir)}/{part}", table, fresh_path(spark, "stream"), max_files=max_files)
+    return Q.scan_latest(spark.table(table), _CURRENT).select(*_CURRENT)
+
+
+@query
+def stream_small_batches(spark, sf_dir):
+    return _two_streams(spark, sf_dir, max_files=1)
+
+
+@query
+def stream_one_batch(spark, sf_dir):
+    return _two_streams(spark, sf_dir, max_files=1000)
+
+
+@query
+def flush_batches(spark, sf_dir):
+    table = TB.create_log_table(spark, T.new_table_name(spark, "batches"))
+    for part in ("first", "later"):
+        S.flush_batch(read_events(spark, f"{T.plain_landing(spark, sf_dir)}/{part}"), table)
+    return Q.scan_latest(spark.table(table), _CURRENT).select(*_CURRENT)
+
+
+@query
+def late_data(spark, sf_dir):
+    """Events of past days, flushed after newer ones, land in their own days."""
+    table = TB.create_log_table(spark, T.new_table_name(spark, "late"))
+    lines = read_events(spark, f"{T.landing(spark, sf_dir)}/v=0")
+    is_late = F.coalesce(F.get_json_object("value", "$.createTime") < "2024-01-15", F.lit(False))
+    for part in (~is_late, is_late):
+        S.flush_batch(lines.where(part), table, T.OPTIONS)
+    return spark.table(table).groupBy("create_date").agg(F.count(F.lit(1)).alias("n"), F.sum("wall_ms").alias("wall_ms"))
+
+
 @query
 def stream_drain(spark, sf_dir):
     table = TB.create_log_table(spark, T.new_table_name(spark, "drained"))
     checkpoint = fresh_path(spark, "drain")
     seen: list[dict] = []
     for _ in range(2):  # the second run finds nothing new
-        S.drain(spark, T.landing(spark, sf_dir), table, checkpoint, on_batch=seen.append)
+        S.drain(spark, T.landing(spark, sf_dir), table, checkpoint, options=T.OPTIONS, on_batch=seen.append)
     names = ["events_received", "events_invalid", "events_suppressed", "rows_enqueued"]
     totals = [(n, sum(c[n] for c in seen)) for n in names]
     return spark.createDataFrame(totals, "counter string, n bigint")
 
 
+@query
+def flush_counters(spark, sf_dir):
+    return spark.table(f"{T.flushed_table(spark, sf_dir)}_counters")
+
+
+@query
+def stored_rejects(spark, sf_dir):
+    rejects = spark.table(S.rejects_name(T.flushed_table(spark, sf_dir)))
+    return rejects.groupBy("status", "number").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def ingest_counters(spark, sf_dir):
     counted = I.ingest_counters(_rated(spark, sf_dir))

@@ -48,17 +48,19 @@ SUMMARY_COLUMNS = [
     "peak_user_memory_bytes", "output_rows", "processed_input_rows", "error_code",
 ]
 
-# Payload columns that may be large; every other string is a name, tag or identifier.
+# Payload columns that may be large; every other string is a name, tag or identifier.
 LARGE_COLUMNS = ["plan", "json_plan", "query_text", "error_message", "inputs_json"]
 SMALL_COLUMNS = [c for c in STRING_COLUMNS if c not in LARGE_COLUMNS]
 
+# Keys and types of an input table.
 INPUTS_TYPE = (
     "array<struct<catalogName: string, `schema`: string, `table`: string, "
     "columns: array<struct<name: string, type: string>>, "
     "physicalInputBytes: bigint, physicalInputRows: bigint>>"
 )
 
-# Durations are VARIANT because a JSON string and a JSON number mean different things.
+# Keys and types of an event.  Durations are VARIANT because a JSON string and a JSON number
+# mean different things; so are the keys of our own, which must never make an event malformed.
 EVENT_SCHEMA = """
     metadata struct<queryId: string, transactionId: string, query: string, updateType: string,
                     preparedQuery: string, queryState: string, uri: string, plan: string,
@@ -76,9 +78,9 @@ EVENT_SCHEMA = """
     ioMetadata struct<inputs: array<struct<catalogName: string, `schema`: string, `table`: string,
                       columns: array<struct<name: string, type: string>>,
                       physicalInputBytes: bigint, physicalInputRows: bigint>>>,
-    failureInfo struct<errorCode: struct<code: int, name: string, type: string>,
+    failureInfo struct<errorCode: struct<code: bigint, name: string, type: string>,
                        failureType: string, failureMessage: string>,
     createTime string, executionStartTime string, endTime string,
-    ingestedAt string, ingestSeq bigint,
+    ingestedAt variant, ingestSeq variant,
     _corrupt_record string
 """

@@ -15,7 +15,7 @@ from tallyglass.operators.ingest import IngestOptions
 from tallyglass.operators.table import append_log, create_log_table
 from tallyglass.session import configure, fresh_path
 from tallyglass.sources.events import read_events
-from tallyglass.streaming.ingest import batch_rows
+from tallyglass.streaming.ingest import batch_rows, flush_batch
 
 OWN_SOURCE = IngestOptions().own_source
 # The events span January 2024; "now" lies inside the last day.
@@ -72,37 +72,41 @@ def plan_text(d: Dialect) -> str:
     i, k = _text("i"), _text("k")
     operator = (
         "CASE (i + k) % 4 "
-        f"WHEN 0 THEN '    Output[columnNames = [c' || {k} || ']]' "
-        f"WHEN 1 THEN '    └─ ScanFilterProject[table = hive:sales.orders_' || {k} || ', filterPredicate = (\"amount\" > ' || {i} || ') AND (\"region\"   = \"emea\")]' "
-        "WHEN 2 THEN '    ├─ Aggregate(FINAL)[user_id, order_date]' "
-        "ELSE '    │   Layout: [x:bigint]' END"
+        f"WHEN 0 THEN '  Collect[keys = [l_suppkey, g' || {k} || ']]' "
+        f"WHEN 1 THEN '  └─ ReadTable[lineitem_' || {k} || ', pushed = (l_quantity   < ' || {i} || ')]' "
+        "WHEN 2 THEN '  ├─ MergeJoin(INNER)[l_orderkey = o_orderkey]' "
+        f"ELSE '  │ Partitioning: p' || {k} END"
     )
     output = (
-        f"CASE WHEN k % 5 = 4 THEN '' WHEN k % 3 = 0 THEN ', Output: 1,346,579,96' || {_text('k % 10')} || ' rows (1GB)' "
-        f"ELSE ', Output: ' || {_text('(i * k) % 5000')} || ' row (9B)' END"
+        f"CASE WHEN k % 5 = 3 THEN '' WHEN k % 4 = 0 THEN ', Output: 60,175,31' || {_text('k % 10')} || ' rows (5MB)' "
+        f"ELSE ', Output: ' || {_text('(i * k) % 7001')} || ' row (8B)' END"
     )
     share = (
-        f"'       │   CPU: ' || {_text('(i * k) % 97')} || '.' || lpad({_text('(k * 7) % 100')}, 2, '0') || 'h (' || "
-        f"{_text('(i * 31 + k * 17) % 7')} || '.' || {_text('(i + k) % 4')} || '%), Scheduled: 20h' || {output}"
+        f"'  │ CPU: ' || {_text('(i * k) % 89')} || '.' || lpad({_text('(k * 13) % 100')}, 2, '0') || 'ms (' || "
+        f"{_text('(i * 19 + k * 23) % 11')} || '.' || {_text('(i + k) % 8')} || '%), Waiting: 4ms' || {output}"
     )
-    body = d.each("(1 + i % 9)", f"{operator} || chr(10) || {share}", "chr(10)")
+    body = d.each("(1 + i % 7)", f"{operator} || chr(10) || {share}", "chr(10)")
     head = (
-        f"CASE WHEN i % 6 = 0 THEN '    CPU: ' || {_text('i % 50')} || '.5m (' || {_text('i % 100')} || '.25%), Output: ' || {i} || ' rows' || chr(10) ELSE '' END"
+        f"CASE WHEN i % 5 = 0 THEN '  CPU: ' || {_text('i % 40')} || '.25s (' || {_text('i % 90')} || '.5%), Output: ' || {i} || ' rows' || chr(10) ELSE '' END"
     )
     return (
-        f"({head} || 'Fragment ' || {_text('i % 5')} || ' [HASH]' || chr(10) || "
-        f"'    CPU: 2.59m, Scheduled: 3.68m, Input: 24721792 rows' || chr(10) || {body})"
+        f"({head} || 'Stage ' || {_text('i % 4')} || ': lineitem by l_shipdate' || chr(10) || "
+        f"'  CPU: 17ms, Waiting: 1ms, Input: 60175 rows' || chr(10) || {body})"
     )
 
 
 def inputs_list(d: Dialect, landed: bool) -> str:
-    """The inputs array as JSON text; the landed form has a key the log does not model."""
+    """The inputs array as JSON text.  The landed form has a key the log does not model, and leaves out names
+    and types that the log keeps as empty texts."""
     k = _text("k")
     connector = '"connectorName":"iceberg",' if landed else ""
+    unnamed = "''" if landed else "'\"catalogName\":\"\",\"schema\":\"\",'"
+    untyped = "'null'" if landed else "'\"\"'"
     item = (
-        f"'{{{connector}\"catalogName\":\"hive\",\"schema\":\"s' || {k} || '\",\"table\":\"t' || {_text('(i + k) % 11')} || "
-        "'\",\"columns\":[{\"name\":\"id\",\"type\":\"bigint\"},{\"name\":\"c' || "
-        f"{_text('i % 7')} || '\",\"type\":\"varchar\"}}],\"physicalInputBytes\":' || "
+        f"'{{{connector}' || CASE WHEN i % 5 = 4 THEN {unnamed} ELSE '\"catalogName\":\"hive\",\"schema\":\"s' || {k} || '\",' END || "
+        f"'\"table\":\"t' || {_text('(i + k) % 11')} || "
+        f"'\",\"columns\":[{{\"name\":\"id\",\"type\":\"bigint\"}},{{\"name\":\"c' || {_text('i % 7')} || '\",\"type\":' || "
+        f"CASE WHEN i % 5 = 3 THEN {untyped} ELSE '\"varchar\"' END || '}}],\"physicalInputBytes\":' || "
         f"CASE WHEN k = 2 AND i % 2 = 0 THEN 'null' ELSE {_text('(i * k * 4099) % 5000000')} END || ',\"physicalInputRows\":' || "
         f"CASE WHEN k = 2 AND i % 4 = 0 THEN 'null' ELSE {_text('(i * k * 31) % 70000')} END || '}}'"
     )
@@ -112,7 +116,7 @@ def inputs_list(d: Dialect, landed: bool) -> str:
 def log_fields(d: Dialect) -> dict[str, str]:
     """Query-log columns before plan policy and preview, as SQL over
     (i, ts, user_id, event_type, doc_text, v); v numbers the versions of a row."""
-    wall = "(((i * 7919 + CASE WHEN v = 1 THEN 4001 ELSE 0 END) % 160) * 125)"
+    wall = "(((i * 6133 + CASE WHEN v = 1 THEN 4001 ELSE 0 END) % 160) * 125)"
     create = d.plus_ms("ts", "CASE WHEN v = 2 THEN 1000 ELSE 0 END")
     failed = "event_type = 'error'"
     inputs = inputs_list(d, landed=False)
@@ -140,21 +144,21 @@ def log_fields(d: Dialect) -> dict[str, str]:
         "planning_ms": count("(i % 24) * 125"),
         "execution_ms": count("(i % 1000) * 61000"),
         "wall_ms": count(wall),
-        "cpu_ms": count("CASE WHEN i % 13 IN (4, 5) THEN 0 ELSE ((i * 104729) % 80) * 125 END"),
-        "peak_user_memory_bytes": count("(i * 32452843) % 100000"),
-        "peak_total_memory_bytes": count("((i * 32452843) % 100000) * 2"),
-        "physical_input_bytes": count("(i * 15485863) % 100000"),
+        "cpu_ms": count("CASE WHEN i % 13 IN (4, 5) THEN 0 ELSE ((i * 86243) % 80) * 125 END"),
+        "peak_user_memory_bytes": count("(i * 22801763) % 100000"),
+        "peak_total_memory_bytes": count("((i * 22801763) % 100000) * 2"),
+        "physical_input_bytes": count("(i * 9161453) % 100000"),
         "physical_input_rows": count("(i * 31) % 5000"),
-        "processed_input_bytes": count("(i * 15485863) % 100000 + 1"),
+        "processed_input_bytes": count("(i * 9161453) % 100000 + 1"),
         "processed_input_rows": count("(i * 17) % 3000"),
         "output_bytes": count("(i * 13) % 70000"),
-        "output_rows": count("(i * 49979687) % 1000"),
+        "output_rows": count("(i * 37139213) % 1000"),
         "written_bytes": count("CASE WHEN i % 7 = 1 THEN (i * 11) % 9000 ELSE 0 END"),
         "written_rows": count("CASE WHEN i % 7 = 1 THEN (i * 3) % 900 ELSE 0 END"),
         "completed_splits": count("i % 64"),
-        "error_code": f"CASE WHEN {failed} THEN CASE WHEN i % 2 = 0 THEN 'TABLE_NOT_FOUND' ELSE 'EXCEEDED_TIME_LIMIT' END ELSE '' END",
+        "error_code": f"CASE WHEN {failed} THEN CASE WHEN i % 2 = 0 THEN 'COLUMN_NOT_FOUND' ELSE 'EXCEEDED_CPU_LIMIT' END ELSE '' END",
         "error_type": f"CASE WHEN {failed} THEN CASE WHEN i % 3 = 0 THEN 'java.lang.RuntimeException' ELSE 'USER_ERROR' END ELSE '' END",
-        "error_message": f"CASE WHEN {failed} THEN 'line 1:' || {_text('i')} || ':' || chr(10) || chr(9) || ' Table  not found' ELSE '' END",
+        "error_message": f"CASE WHEN {failed} THEN 'line 1:' || {_text('i')} || ':' || chr(10) || chr(9) || ' Column  is not there' ELSE '' END",
         "plan": plan_text(d),
         "json_plan": f"('{{\"id\":' || {_text('i')} || '}}')",
         "inputs_json": f"CASE WHEN i % 3 = 0 THEN '' ELSE '[' || {inputs} || ']' END",
@@ -170,7 +174,7 @@ def log_fields(d: Dialect) -> dict[str, str]:
 def spread(rows: DataFrame) -> DataFrame:
     """A one-file table arrives as one task; hand its rows to all cores before they are widened.  A table of many files stays as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def source_rows(spark: SparkSession, sf_dir: str, documents: bool = True) -> DataFrame:
@@ -184,7 +188,7 @@ def source_rows(spark: SparkSession, sf_dir: str, documents: bool = True) -> Dat
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", F.col("text").alias("doc_text")
     )
-    n_docs = docs.count()  # answered from file footers
+    n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # answered from file footers
     return events.join(docs, F.col("i") % F.lit(n_docs) == F.col("doc_id")).drop("doc_id")
 
 
@@ -213,8 +217,9 @@ def direct_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("i", *[F.expr(fields[c]).alias(c) for c in columns])
 
 
-def landing_lines(versioned: DataFrame) -> DataFrame:
-    """The event documents as JSON lines, some of them broken, incomplete or our own."""
+def landing_lines(versioned: DataFrame, own_keys: bool = True) -> DataFrame:
+    """The event documents as JSON lines, some of them broken, incomplete or our own.  Without ``own_keys`` no
+    event says when it was ingested; some have keys of that name that mean something else."""
     f = log_fields(SPARK)
 
     def opt(expr: str) -> str:
@@ -234,7 +239,7 @@ def landing_lines(versioned: DataFrame) -> DataFrame:
         f"'environment', {opt(f['environment'])})"
     )
     failure = (
-        f"named_struct('errorCode', named_struct('code', 7, 'name', {f['error_code']}, "
+        f"named_struct('errorCode', named_struct('code', CASE WHEN i % 2 = 0 THEN 3000000000L ELSE 7L END, 'name', {f['error_code']}, "
         "'type', CASE WHEN i % 3 = 0 THEN '' ELSE 'USER_ERROR' END), "
         f"'failureType', 'java.lang.RuntimeException', 'failureMessage', {f['error_message']})"
     )
@@ -303,7 +308,9 @@ def landing_lines(versioned: DataFrame) -> DataFrame:
             f"',\"warnings\":[],\"createTime\":' || {created}",
             f"',\"executionStartTime\":' || {optional_time('execution_start_time')}",
             f"',\"endTime\":' || {optional_time('end_time')}",
-            f"',\"ingestedAt\":\"2024-02-01T0' || v || ':00:00Z\",\"ingestSeq\":' || {version_fields()['ingest_seq']} || '}}'",
+            f"',\"ingestedAt\":\"2024-02-01T0' || v || ':00:00Z\",\"ingestSeq\":' || {version_fields()['ingest_seq']} || '}}'"
+            if own_keys
+            else "CASE WHEN i % 4 = 0 THEN ',\"ingestedAt\":[1],\"ingestSeq\":\"abc\"}' ELSE '}' END",
             "CASE WHEN i % 97 = 11 THEN ' {\"second\":true}' ELSE '' END",
         ]
     )
@@ -336,6 +343,25 @@ def landing(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "landing", build)
 
 
+def plain_landing(spark: SparkSession, sf_dir: str) -> str:
+    """Documents without keys of ours: first sendings below ``first``; below ``later``, resends with another
+    wall time and ids that come again a second later, in files that claim to be older."""
+
+    def build() -> str:
+        path = fresh_path(spark, "plain")
+        rows = versions(source_rows(spark, sf_dir), moved=True)
+        for name, part, files in (("first", "v = 0", 4), ("later", "v > 0", 2)):
+            landing_lines(rows.where(part), own_keys=False).repartition(files).write.text(f"{path}/{name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/later")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in store.listStatus(folder):
+            store.setTimes(f.getPath(), 1_000_000_000_000, -1)
+        return path
+
+    configure(spark)
+    return _once(spark, sf_dir, "plain", build)
+
+
 def database(spark: SparkSession) -> str:
     """A database whose managed tables lie in the shared folder."""
 
@@ -352,15 +378,33 @@ def new_table_name(spark: SparkSession, label: str) -> str:
     return f"{database(spark)}.{label}_{fresh_path(spark, label)[-12:]}"
 
 
+# The documents of ``landing`` say when they were ingested, so that a log of them is known in advance.
+OPTIONS = IngestOptions(event_versions=True)
+
+
 def ingest_landing(spark: SparkSession, landing_path: str, table: str) -> str:
     """Two flushes: first sendings, then resends."""
     create_log_table(spark, table)
     for v in (0, 1):
         lines = read_events(spark, f"{landing_path}/v={v}")
-        append_log(batch_rows(lines, IngestOptions()), table)
+        append_log(batch_rows(lines, OPTIONS), table)
     return table
 
 
+def flushed_table(spark: SparkSession, sf_dir: str) -> str:
+    """A log of three flushes through the ledger: first sendings, resends, first sendings again."""
+
+    def build() -> str:
+        table = create_log_table(spark, new_table_name(spark, "flushed"))
+        path = landing(spark, sf_dir)
+        counters = [flush_batch(read_events(spark, f"{path}/v={v}"), table, OPTIONS) for v in (0, 1, 0)]
+        totals = [(name, sum(c[name] for c in counters)) for name in counters[0]]
+        spark.createDataFrame(totals, "counter string, n bigint").write.saveAsTable(f"{table}_counters")
+        return table
+
+    return _once(spark, sf_dir, "flushed", build)
+
+
 def log_table_name(spark: SparkSession, sf_dir: str) -> str:
     """The query-log table of this session, written once through the ingest path."""
     path = landing(spark, sf_dir)

@@ -1,110 +1,149 @@
-"""Streaming ingest: landing files to the query-log table in micro-batches.
+"""Ingest of landed documents into the query-log table, in batches or as a stream.
 
-The stream is stateless: every event is accepted however late and lands in its own day, so there
-is no watermark.  A replayed micro-batch is recognised by its fingerprint; one that slips through
-(a crash between append and ledger) repeats versions that every current read merges away."""
+Every flush gets a number from the table's ledger, and its rows that number and the flush time as their
+version: of two rows of one key the one flushed later is current, and within a flush the one that arrived
+last.  So the table does not depend on how the input was cut, and neither a new checkpoint nor a second
+stream starts again below what is stored.  A batch whose documents were flushed before is recognised by
+its fingerprint and skipped; one that slips through (a crash between append and ledger) repeats rows that
+every current read merges away.
+
+The stream is stateless: every event is accepted however late and lands in its own day, so there is no
+watermark.  Rejected documents go to a table of their own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyglass.operators.fingerprint import batch_fingerprint
+from tallyglass.operators.fingerprint import line_fingerprint
 from tallyglass.operators.ingest import (
     IngestOptions,
     counter_columns,
     decode_and_rate,
     ingest_rows,
+    quarantine,
 )
 from tallyglass.operators.table import append_log
-from tallyglass.operators.versions import dedupe_batch
+from tallyglass.operators.versions import dedupe_flush
+from tallyglass.schema import VERSION_COLUMNS
 from tallyglass.sources.events import ARRIVAL_COLUMNS, stream_events
 
 # Fixed value: how many past batches an identical resend is recognised in.
 REPEAT_WINDOW = 1000
+# Files of one micro-batch, unless told otherwise: a backlog is worked off in bounded flushes.
+MAX_FILES = 256
+
+ARRIVAL_ORDER = [*VERSION_COLUMNS, *ARRIVAL_COLUMNS, "line_order"]
+
 
+def batch_rows(
+    lines: DataFrame, options: IngestOptions = IngestOptions(), observation: Observation | None = None
+) -> DataFrame:
+    """The rows one flush writes: decoded, shaped, one per key.  Their version is what the event carries, if the
+    options allow that, else NULL until the flush stamps it."""
+    rated = decode_and_rate(lines, options)
+    if observation is not None:
+        rated = rated.observe(observation, *counter_columns())
+    rows = ingest_rows(rated, options).withColumn("line_order", F.monotonically_increasing_id())
+    return dedupe_flush(rows, ARRIVAL_ORDER).drop(*ARRIVAL_COLUMNS, "line_order")
 
-def order_arrivals(rows: DataFrame) -> DataFrame:
-    """Complete the version columns from the landing files where events carry none, and add the
-    line order inside a file."""
+
+def stamped(rows: DataFrame, at: datetime, number: int) -> DataFrame:
+    """The version of a flush, where rows carry none of their own."""
     return rows.withColumns(
         {
-            "ingested_at": F.coalesce("ingested_at", "file_time"),
-            "ingest_seq": F.coalesce("ingest_seq", F.lit(0).cast("bigint")),
-            "line_order": F.monotonically_increasing_id(),
+            "ingested_at": F.coalesce("ingested_at", F.lit(at)),
+            "ingest_seq": F.coalesce("ingest_seq", F.lit(number).cast("bigint")),
         }
     )
 
 
-ARRIVAL_ORDER = ["ingested_at", "ingest_seq", *ARRIVAL_COLUMNS, "line_order"]
-
-
-def batch_rows(lines: DataFrame, options: IngestOptions, observation: Observation | None = None) -> DataFrame:
-    """The rows one flush writes: decoded, shaped, one per query id."""
-    rated = decode_and_rate(lines, options)
-    if observation is not None:
-        rated = rated.observe(observation, *counter_columns())
-    rows = dedupe_batch(order_arrivals(ingest_rows(rated, options)), ARRIVAL_ORDER)
-    return rows.drop(*ARRIVAL_COLUMNS, "line_order")
+# --- ledger and rejects --------------------------------------------------------------------
 
 
 def ledger_name(table: str) -> str:
     return f"{table}_batches"
 
 
+def rejects_name(table: str) -> str:
+    return f"{table}_rejects"
+
+
 def create_ledger(spark: SparkSession, table: str) -> str:
+    """One row per flush, only ever appended; ``span`` holds as many flushes as are looked back."""
     name = ledger_name(table)
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (fingerprint STRING, n_rows BIGINT, batch_id BIGINT) "
-        "USING parquet OPTIONS ('partitionOverwriteMode' = 'dynamic') PARTITIONED BY (batch_id)"
+        f"CREATE TABLE IF NOT EXISTS {name} (stream STRING, number BIGINT, fingerprint STRING, n_events BIGINT, "
+        "flushed_at TIMESTAMP, span BIGINT) USING parquet PARTITIONED BY (span)"
     )
     return name
 
 
-def _seen(spark: SparkSession, ledger: str, fingerprint: str, batch_id: int) -> bool:
-    recent = spark.table(ledger).where(F.col("batch_id") > batch_id - REPEAT_WINDOW)
+def create_rejects(spark: SparkSession, table: str) -> str:
+    name = rejects_name(table)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (value STRING, status STRING, number BIGINT) USING parquet")
+    return name
+
+
+def next_flush(spark: SparkSession, ledger: str, now: datetime | None = None) -> tuple[int, datetime]:
+    """Number and time of the next flush; neither is ever below an earlier one."""
+    last = spark.table(ledger).agg(F.max("number").alias("n"), F.expr("unix_micros(max(flushed_at))").alias("t")).first()
+    now = now or datetime.now(timezone.utc)
+    if last.n is None:
+        return 0, now
+    after = datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last.t + 1)
+    return last.n + 1, max(now, after)
+
+
+def _seen(spark: SparkSession, ledger: str, fingerprint: str, number: int) -> bool:
+    spans = F.col("span") >= (number - REPEAT_WINDOW) // REPEAT_WINDOW
+    recent = spark.table(ledger).where(spans & (F.col("number") >= number - REPEAT_WINDOW))
     return not recent.where(F.col("fingerprint") == fingerprint).isEmpty()
 
 
-def _record(spark: SparkSession, ledger: str, fingerprint: str, n_rows: int, batch_id: int) -> None:
+def _record(spark: SparkSession, ledger: str, stream: str, number: int, fingerprint: str, n_events: int, at: datetime) -> None:
     entry = spark.range(0, 1, 1, 1).select(
+        F.lit(stream).alias("stream"),
+        F.lit(number).cast("bigint").alias("number"),
         F.lit(fingerprint).alias("fingerprint"),
-        F.lit(n_rows).cast("bigint").alias("n_rows"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        F.lit(n_events).cast("bigint").alias("n_events"),
+        F.lit(at).alias("flushed_at"),
+        F.lit(number // REPEAT_WINDOW).cast("bigint").alias("span"),
     )
-    entry.write.insertInto(ledger, overwrite=True)
-    if batch_id >= REPEAT_WINDOW:
-        spark.sql(
-            f"ALTER TABLE {ledger} DROP IF EXISTS PARTITION (batch_id = {batch_id - REPEAT_WINDOW})"
-        )
+    entry.write.insertInto(ledger)
+    if number % REPEAT_WINDOW == 0 and number > REPEAT_WINDOW:
+        spark.sql(f"ALTER TABLE {ledger} DROP IF EXISTS PARTITION (span < {number // REPEAT_WINDOW - 1})")
 
 
 def flush_batch(
-    lines: DataFrame, batch_id: int, table: str, options: IngestOptions = IngestOptions()
+    lines: DataFrame, table: str, options: IngestOptions = IngestOptions(), stream: str = "batch", now: datetime | None = None
 ) -> dict[str, int]:
-    """Write one batch of raw lines unless an identical one was written before; returns the
-    counters of the batch."""
+    """Write one batch of raw lines unless its documents were flushed before; returns the counters of the batch.
+
+    The documents are fingerprinted before anything is decoded, so a resend costs one pass over the text; a
+    fresh batch is decoded once, straight into the append.  Rejects are few and are decoded again."""
     spark = lines.sparkSession
     ledger = create_ledger(spark, table)
-    observation = Observation(f"ingest-{batch_id}")
-    # Fingerprint and append read the same rows, so a micro-batch is decoded once.
-    rows = batch_rows(lines, options, observation).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_rows, fingerprint = batch_fingerprint(rows).first()
-        counters = dict(observation.get)
-        fresh = n_rows > 0 and not _seen(spark, ledger, fingerprint, batch_id)
-        if fresh:
-            append_log(rows, table)
-            _record(spark, ledger, fingerprint, n_rows, batch_id)
-        counters["rows_flushed"] = n_rows if fresh else 0
-        counters["batches_flushed"] = int(fresh)
-        return counters
-    finally:
-        rows.unpersist()
+    n_events, fingerprint = line_fingerprint(lines).first()
+    counters = dict.fromkeys(
+        ("events_received", "events_invalid", "events_suppressed", "rows_enqueued", "rows_flushed", "batches_flushed"), 0
+    )
+    number, at = next_flush(spark, ledger, now)
+    if n_events == 0 or _seen(spark, ledger, fingerprint, number):
+        return counters | {"events_received": n_events, "events_repeated": n_events}
+    rated, written = Observation(), Observation()
+    rows = stamped(batch_rows(lines, options, rated), at, number)
+    append_log(rows.observe(written, F.count(F.lit(1)).alias("n")), table)
+    counters |= dict(rated.get)
+    if counters["events_invalid"]:
+        rejects = quarantine(decode_and_rate(lines, options)).withColumn("number", F.lit(number).cast("bigint"))
+        rejects.write.insertInto(create_rejects(spark, table))
+    _record(spark, ledger, stream, number, fingerprint, n_events, at)
+    return counters | {"rows_flushed": written.get["n"], "batches_flushed": 1, "events_repeated": 0}
 
 
 def stream_ingest(
@@ -114,14 +153,17 @@ def stream_ingest(
     checkpoint: str,
     options: IngestOptions = IngestOptions(),
     interval: str | None = None,
-    max_files: int | None = None,
+    max_files: int = MAX_FILES,
     on_batch: Callable[[dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the stream.  With an ``interval`` it runs on; without one it drains what has landed
-    and stops.  The checkpoint must lie in a folder all executors share."""
+    and stops.  A micro-batch takes ``max_files`` files at most, whatever has piled up.  The checkpoint must
+    lie in a folder all executors share."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        counters = flush_batch(lines, batch_id, table, options)
+        # The id is kept in the checkpoint, so it survives restarts.
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        counters = flush_batch(lines, table, options, stream)
         if on_batch is not None:
             on_batch(counters)
 
