@@ -128,7 +128,8 @@ def fit(
     the driver."""
     rows = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column), F.lit(9)).alias("h"))
-    sizes = rows.groupBy("lang").count().withColumnRenamed("count", "n")
+    # Written first: Spark then knows how small it is, and the texts need not move to be joined.
+    sizes = stored(rows.groupBy("lang").count().withColumnRenamed("count", "n"), "languages")
     bound = F.lit(1 << 40) * docs_per_language / F.col("n")
     sample = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 40)) < bound).select("lang", "text")
     counts = stored(_counted(sample), "words")
