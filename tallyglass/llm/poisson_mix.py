@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import utf8
+from tallyglass.llm.common import stored, utf8
 
 # A draw has a mean of at most this; its inversion takes this many terms, beyond which less than 1e-16 is left.
 DRAW_MEAN = 8.0
@@ -74,7 +74,8 @@ def mix(
     columns = [c for c in docs.columns if c not in ("copy_no", "copies", "shuffle_key")]
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(utf8(text_column)))
     rows = docs.select(F.struct(*columns).alias("row"), F.col(source_column).alias("from"), key.alias("key"))
-    rates = mean_rates(docs, weights, epochs, source_column, text_column).select("source", "mean")
+    # Written first: Spark then knows how small it is, and the texts need not move to be joined.
+    rates = stored(mean_rates(docs, weights, epochs, source_column, text_column).select("source", "mean"), "rates")
     drawn = rows.join(rates, F.col("from").eqNullSafe(F.col("source")))
     drawn = drawn.select("row", "key", poisson_count(F.col("mean"), F.col("key")).alias("copies")).where("copies > 0")
     copies = drawn.select("row", "key", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
