@@ -26,16 +26,15 @@ def _with_arrival(lines: DataFrame) -> DataFrame:
 def read_events(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """One JSON document per line, with the arrival order the files give; or one per file, however it is laid
     out in lines."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    return _with_arrival(reader.option("wholetext", str(whole_files).lower()).text(path))
+    return _with_arrival(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole_files))
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None, whole_files: bool = False) -> DataFrame:
     """The same documents as a stream; new files are picked up as they land."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", str(whole_files).lower())
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _with_arrival(reader.text(path))
+    return _with_arrival(reader.text(path, wholetext=whole_files))
 
 
 def decode_events(lines: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ def _record(spark: SparkSession, ledger: str, stream: str, number: int, fingerpr
         F.lit(number // REPEAT_WINDOW).cast("bigint").alias("span"),
     )
     entry.write.insertInto(ledger)
-    if number % REPEAT_WINDOW == 0 and number > REPEAT_WINDOW:
-        spark.sql(f"ALTER TABLE {ledger} DROP IF EXISTS PARTITION (span < {number // REPEAT_WINDOW - 1})")
+    if number % REPEAT_WINDOW == 0:
+        spark.sql(f"ALTER TABLE {ledger} DROP IF EXISTS PARTITION (span = {number // REPEAT_WINDOW - 2})")
 
 
 def flush_batch(

@@ -1,25 +1,31 @@
 import json
+import os
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.operators import table as TB
-from tallyglass.operators.ingest import ingest_lines
+from tallyglass.operators.ingest import IngestOptions, ingest_lines
 from tallyglass.schema import SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources import testbed as T
+from tallyglass.sources.events import read_events
 from tallyglass.sources.querylog import scan_latest
 from tallyglass.streaming import ingest as S
 
+EAST, WEST = timezone(timedelta(hours=9)), timezone(timedelta(hours=-8))
 CUTOFFS = [
-    (datetime(2026, 6, 30, 0, 0), 7, datetime(2026, 6, 23)),
-    (datetime(2026, 6, 30, 3, 0), 7, datetime(2026, 6, 23)),
-    (datetime(2026, 6, 30, 23, 59, 59, 999999), 7, datetime(2026, 6, 23)),
-    (datetime(2026, 6, 30, 3, 0), 2, datetime(2026, 6, 28)),
-    (datetime(2026, 6, 30, 3, 0), 0, datetime(2026, 6, 30)),
-    (datetime(2026, 7, 1, 5, 30), 7, datetime(2026, 6, 24)),
-    (datetime(2026, 6, 30, 2, 0, tzinfo=timezone(timedelta(hours=3))), 7, datetime(2026, 6, 22)),
+    # midnight, in the day, its last microsecond, over a leap day and over a new year
+    (datetime(2027, 3, 12), 5, datetime(2027, 3, 7)),
+    (datetime(2027, 3, 12, 16, 45), 5, datetime(2027, 3, 7)),
+    (datetime(2027, 3, 12, 23, 59, 59, 999999), 5, datetime(2027, 3, 7)),
+    (datetime(2028, 3, 1, 9), 1, datetime(2028, 2, 29)),
+    (datetime(2028, 1, 2, 9), 4, datetime(2027, 12, 29)),
+    (datetime(2027, 3, 12, 9), 0, datetime(2027, 3, 12)),
+    # the day of another zone is not the day of UTC
+    (datetime(2027, 3, 12, 4, tzinfo=EAST), 5, datetime(2027, 3, 6)),
+    (datetime(2027, 3, 12, 20, tzinfo=WEST), 5, datetime(2027, 3, 8)),
 ]
 
 
@@ -28,20 +34,22 @@ def test_retention_cutoff(now, days, want):
     assert TB.retention_cutoff(now, days) == want.replace(tzinfo=timezone.utc)
 
 
-def test_retention_sweep():
+def test_retention_keeps_whole_days():
     with pytest.raises(ValueError):
-        TB.retention_cutoff(datetime(2026, 6, 30), -1)
-    for days in (0, 1, 2, 7, 30):
-        for hour in range(24):
-            now = datetime(2026, 6, 30, hour, 17, tzinfo=timezone.utc)
-            exact = now - timedelta(days=days)
-            assert exact - timedelta(days=1) < TB.retention_cutoff(now, days) <= exact
+        TB.retention_cutoff(datetime(2027, 3, 12), -1)
+    for minutes in range(0, 3000, 97):
+        now = datetime(2027, 3, 11, tzinfo=timezone.utc) + timedelta(minutes=minutes)
+        for days in (0, 1, 10, 45):
+            cutoff = TB.retention_cutoff(now, days)
+            assert timedelta(0) <= now - timedelta(days=days) - cutoff < timedelta(days=1)
+            assert (cutoff.hour, cutoff.minute, cutoff.second) == (0, 0, 0)
 
 
 def test_compaction_window():
-    now = datetime(2026, 6, 30, 13, 5)
-    for days, want in ((0, 30), (-3, 30), (1, 30), (2, 29), (7, 24)):
-        assert TB.compaction_window(now, days) == datetime(2026, 6, want, tzinfo=timezone.utc)
+    now = datetime(2027, 5, 20, 7, 40)
+    for days, want in ((-1, 20), (0, 20), (1, 20), (3, 18), (10, 11)):
+        assert TB.compaction_window(now, days) == datetime(2027, 5, want, tzinfo=timezone.utc)
+    assert TB.compaction_window(datetime(2027, 5, 20, 7, tzinfo=EAST), 1).day == 19
 
 
 def event(i: int, day: int, wall: int = 1, **extra) -> str:
@@ -105,6 +113,55 @@ def test_prune_drops_whole_days(spark, table):
     assert spark.table(table).count() == 0 and days(spark, table) == []
 
 
+@pytest.mark.parametrize(
+    "cutoff, left",
+    [
+        (datetime(2024, 6, 3, 0, 30, tzinfo=EAST), ["2024-06-02", "2024-06-03", "2024-06-04"]),
+        (datetime(2024, 6, 2, 23, tzinfo=WEST), ["2024-06-03", "2024-06-04"]),
+    ],
+)
+def test_prune_goes_by_the_day_of_utc(spark, table, cutoff, left):
+    append(spark, table, [event(i, d) for d in (1, 2, 3, 4) for i in range(3)])
+    assert TB.retained_rows(spark.table(table), cutoff).count() <= 3 * len(left)
+    exact = cutoff.astimezone(timezone.utc)
+    want = [r for r in spark.table(table).select("create_time").collect() if r.create_time.replace(tzinfo=timezone.utc) >= exact]
+    assert TB.retained_rows(spark.table(table), cutoff).count() == len(want)
+    TB.prune(spark, table, cutoff)
+    assert days(spark, table) == left
+
+
+def paths(spark, table):
+    spark.catalog.refreshTable(table)
+    return {r.file_path for r in spark.table(table).select("_metadata.file_path").distinct().collect()}
+
+
+def test_rows_appended_during_compaction_stay(spark, table, monkeypatch):
+    for flush in range(2):
+        append(spark, table, [event(i, 1) for i in range(5)], seq=flush)
+    swap = TB._swap
+
+    def late(*args):
+        append(spark, table, [event(100 + i, 1) for i in range(3)], seq=9)
+        swap(*args)
+
+    monkeypatch.setattr(TB, "_swap", late)
+    assert TB.compact(spark, table, datetime(2024, 6, 1)) == [date(2024, 6, 1)]
+    assert len(paths(spark, table)) == 2 and spark.table(table).count() == 13
+
+
+def test_only_small_files_are_rewritten(spark, table):
+    append(spark, table, [event(i, 1) for i in range(2000)])
+    (large,) = paths(spark, table)
+    for flush in (1, 2):
+        append(spark, table, [event(i, 1) for i in range(3)], seq=flush)
+    size = dict(TB._files(spark, TB._folder(spark, table, date(2024, 6, 1))))
+    limit = max(size.values()) - 1
+    TB.compact(spark, table, datetime(2024, 6, 1), small_bytes=limit)
+    after = paths(spark, table)
+    assert large in after and len(after) == 2 and spark.table(table).count() == 2006
+    assert TB.compact(spark, table, datetime(2024, 6, 1), small_bytes=limit) == []
+
+
 def files(spark, table):
     return spark.table(table).select("create_date", "_metadata.file_path").distinct().groupBy("create_date").count().collect()
 
@@ -142,10 +199,10 @@ def test_identical_resend_is_skipped(spark, table):
     landed = lines(spark, batch).selectExpr(
         "value", "timestamp'2024-07-01' AS file_time", "'f' AS file_path", "0L AS file_offset"
     )
-    first = S.flush_batch(landed, 0, table)
-    again = S.flush_batch(landed, 1, table)
+    first = S.flush_batch(landed, table)
+    again = S.flush_batch(landed, table)
     assert (first["rows_flushed"], first["batches_flushed"], again["rows_flushed"]) == (5, 1, 0)
-    S.flush_batch(landed.where("value NOT LIKE '%00004_x%'"), 2, table)
+    S.flush_batch(landed.where("value NOT LIKE '%00004_x%'"), table)
     assert spark.table(table).count() == 9
     assert scan_latest(spark.table(table)).count() == 5
 
@@ -178,7 +235,8 @@ def test_stream_by_file_arrives_in_order(spark, table, tmp_path):
     stamp = "2024-07-01T00:00:00Z"
     land(folder, "a.json", [event(1, 1, wall=2, ingestedAt=stamp, ingestSeq=2), event(1, 1, wall=1, ingestedAt=stamp, ingestSeq=1)])
     land(folder, "b.json", [event(1, 1, wall=5, ingestedAt=stamp, ingestSeq=0)])
-    S.drain(spark, str(folder), table, fresh_path(spark, "checkpoint"), max_files=1)
+    options = IngestOptions(event_versions=True)
+    S.drain(spark, str(folder), table, fresh_path(spark, "checkpoint"), options=options, max_files=1)
     (row,) = scan_latest(spark.table(table)).collect()
     assert row.wall_ms == 2000
 
@@ -187,3 +245,65 @@ def test_narrow_tables_share_the_code(spark):
     name = TB.create_log_table(spark, T.new_table_name(spark, "narrow"), [*SUMMARY_COLUMNS, *VERSION_COLUMNS])
     append(spark, name, [event(1, 1)])
     assert set(spark.table(name).columns) == {*SUMMARY_COLUMNS, *VERSION_COLUMNS, "create_date"}
+
+
+def as_lines(spark, texts):
+    return lines(spark, texts).selectExpr("value", "timestamp'2024-07-01' AS file_time", "'f' AS file_path", "0L AS file_offset")
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_the_table_does_not_depend_on_the_size_of_a_batch(spark, table, tmp_path, max_files):
+    """One id under two create times, in two files; and a later sending of one of the two."""
+    folder = tmp_path / "landing"
+    moved = event(1, 1, wall=3, createTime="2024-06-01T00:00:59Z")
+    for n, text in enumerate([event(1, 1, wall=2), moved, event(1, 1, wall=5)]):
+        land(folder, f"{n}.json", [text])
+        os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    S.drain(spark, str(folder), table, fresh_path(spark, "checkpoint"), max_files=max_files)
+    assert sorted(r.wall_ms for r in scan_latest(spark.table(table)).collect()) == [3000, 5000]
+
+
+def test_the_last_flush_wins_whatever_files_and_events_claim(spark, table, tmp_path):
+    future = {"ingestedAt": "2099-01-01T00:00:00Z", "ingestSeq": 10**12}
+    land(tmp_path / "a", "a.json", [event(1, 1, wall=1, **future)])
+    land(tmp_path / "b", "b.json", [event(1, 1, wall=2)])
+    os.utime(tmp_path / "b" / "b.json", (1_000_000_000, 1_000_000_000))
+    # Two streams, each with a checkpoint of its own.
+    for name in ("a", "b"):
+        S.drain(spark, str(tmp_path / name), table, fresh_path(spark, "checkpoint"))
+    (row,) = scan_latest(spark.table(table)).collect()
+    assert row.wall_ms == 2000
+    ledger = spark.table(S.ledger_name(table)).orderBy("number").collect()
+    assert [r.number for r in ledger] == [0, 1] and ledger[0].stream != ledger[1].stream
+    # A new checkpoint over the same files finds every document flushed before.
+    S.drain(spark, str(tmp_path / "a"), table, fresh_path(spark, "checkpoint"))
+    assert spark.table(table).count() == 2
+
+
+def test_flush_versions_rise_even_if_the_clock_does_not(spark, table):
+    for wall, hour in ((1, 12), (2, 3)):
+        S.flush_batch(as_lines(spark, [event(1, 1, wall=wall)]), table, now=datetime(2024, 7, 1, hour, tzinfo=timezone.utc))
+    (row,) = scan_latest(spark.table(table)).collect()
+    assert row.wall_ms == 2000
+
+
+def test_repeats_are_known_after_many_flushes(spark, table, monkeypatch):
+    monkeypatch.setattr(S, "REPEAT_WINDOW", 3)
+    done = [S.flush_batch(as_lines(spark, [event(i, 1)]), table)["batches_flushed"] for i in (0, 1, 2, 3, 4, 5, 6, 7, 7, 5, 1)]
+    assert done == [1] * 8 + [0, 0, 1]
+    assert spark.table(S.ledger_name(table)).agg(F.min("span")).first()[0] > 0
+
+
+def test_rejects_are_kept(spark, table):
+    counters = S.flush_batch(as_lines(spark, [event(1, 1), "{broken", "{}"]), table)
+    assert (counters["events_invalid"], counters["rows_flushed"]) == (2, 1)
+    kept = spark.table(S.rejects_name(table)).orderBy("value").collect()
+    assert [(r.value, r.status, r.number) for r in kept] == [("{broken", "malformed", 0), ("{}", "invalid", 0)]
+
+
+def test_an_event_may_take_many_lines(spark, table, tmp_path):
+    folder = tmp_path / "pretty"
+    for i in range(3):
+        land(folder, f"{i}.json", [json.dumps(json.loads(event(i, 1)), indent=2)])
+    S.flush_batch(read_events(spark, str(folder), whole_files=True), table)
+    assert spark.table(table).count() == 3
