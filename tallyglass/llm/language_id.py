@@ -21,9 +21,10 @@ from tallyglass.llm.common import held_out, stored
 
 UNKNOWN = "und"
 LONGEST = 5
-# Bounds of the fitted model: documents and words for each language, n-grams for each length.
+# Bounds of the fitted model: documents and words for each language, words of all languages, n-grams for each
+# length.
 DOCS_PER_LANGUAGE = 5_000
-WORDS_PER_LANGUAGE = 30_000
+WORDS_PER_LANGUAGE, WORDS = 30_000, 240_000
 GRAMS_PER_LENGTH = 20_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,7 +56,7 @@ class Model:
             mine = lengths == n
             part = counts[mine] + 0.5
             counts[mine] = np.log(part / part.sum(axis=0))
-        self.weights = counts
+        self.weights = counts.astype(np.float32)
         self.words = {text: i for (n, text), i in rows.items() if not n}
         self.grams = {text: i for (n, text), i in rows.items() if n}
 
@@ -133,12 +134,13 @@ def fit(
     bound = F.lit(1 << 40) * docs_per_language / F.col("n")
     sample = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 40)) < bound).select("lang", "text")
     counts = stored(_counted(sample), "words")
+    languages = [r.lang for r in sizes.select("lang").orderBy("lang").collect()]
+    words_per_language = min(words_per_language, WORDS // max(len(languages), 1))
     kept = _most(counts.where("c > 1").select("lang", F.col("word").alias("t"), "c"), "lang", words_per_language).select("t").distinct()
     words = counts.withColumnRenamed("word", "t").join(kept, "t").select(F.lit(0).alias("n"), "t", "lang", "c")
     grams = stored(_grams(counts), "grams")
     top = _most(grams.groupBy("n", "t").agg(F.sum("c").alias("c")), "n", grams_per_length).select("n", "t")
     entries = [tuple(r) for r in words.union(grams.join(top, ["n", "t"]).select("n", "t", "lang", "c")).orderBy("n", "t", "lang").collect()]
-    languages = [r.lang for r in sizes.select("lang").orderBy("lang").collect()]
     return Model(languages, entries)
 
 

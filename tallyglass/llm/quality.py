@@ -22,13 +22,15 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-6
 
 
 def features(data: bytes, bits: int = BUCKET_BITS, ngrams: int = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text: dampened counts of its n-grams, of length one together.  Words, and
-    runs of other visible characters, are the units.  Bucket 0 is the constant term."""
+    """Buckets and values of a text: dampened counts of its n-grams, scaled to unit length.  Words, and runs of
+    other visible characters, are the units; a unit said again at once is an n-gram of one kind, whichever it
+    is.  Bucket 0 is the constant term."""
     h = word_hashes(tokens(data))
     grams = [h]
     for n in range(2, ngrams + 1):
         last = grams[-1]
-        grams.append((last[: len(last) - 1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[n - 1 :] if len(last) else last)
+        joined = (last[: max(len(last) - 1, 0)] * np.uint64(0x9E3779B97F4A7C15)) ^ h[n - 1 :]
+        grams.append(np.where(h[n - 2 : len(h) - 1] == h[n - 1 :], np.uint64(n), joined))
     slots = np.concatenate([((g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64) for g in grams])
     slots, counts = np.unique(np.maximum(slots, 1), return_counts=True)
     values = np.log1p(counts)
