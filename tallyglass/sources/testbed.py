@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.operators.ingest import IngestOptions
-from tallyglass.operators.table import append_log, create_log_table
+from tallyglass.operators.table import create_log_table
 from tallyglass.session import configure, fresh_path
 from tallyglass.sources.events import read_events
-from tallyglass.streaming.ingest import batch_rows, flush_batch
+from tallyglass.streaming.ingest import flush_batch
 
 OWN_SOURCE = IngestOptions().own_source
 # The events span January 2024; "now" lies inside the last day.
@@ -386,8 +386,7 @@ def ingest_landing(spark: SparkSession, landing_path: str, table: str) -> str:
     """Two flushes: first sendings, then resends."""
     create_log_table(spark, table)
     for v in (0, 1):
-        lines = read_events(spark, f"{landing_path}/v={v}")
-        append_log(batch_rows(lines, OPTIONS), table)
+        flush_batch(read_events(spark, f"{landing_path}/v={v}"), table, OPTIONS)
     return table
 
 

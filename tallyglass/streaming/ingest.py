@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyglass.functions.times import rfc3339
 from tallyglass.operators.fingerprint import line_fingerprint
 from tallyglass.operators.ingest import (
     IngestOptions,
@@ -40,15 +41,27 @@ MAX_FILES = 256
 ARRIVAL_ORDER = [*VERSION_COLUMNS, *ARRIVAL_COLUMNS, "line_order"]
 
 
+def has_repeats(lines: DataFrame) -> bool:
+    """Whether a key occurs twice in a batch.  Parses nothing but the two fields of the key."""
+    fields = F.from_json("value", "metadata struct<queryId: string>, createTime string")
+    keys = lines.select(fields.alias("e")).select(F.col("e.metadata.queryId").alias("id"), rfc3339("e.createTime").alias("at"))
+    keys = keys.where("id IS NOT NULL AND at IS NOT NULL").groupBy("id", "at").agg(F.count(F.lit(1)).alias("n"))
+    return not keys.where("n > 1").isEmpty()
+
+
 def batch_rows(
-    lines: DataFrame, options: IngestOptions = IngestOptions(), observation: Observation | None = None
+    lines: DataFrame, options: IngestOptions = IngestOptions(), observation: Observation | None = None, repeats: bool = True
 ) -> DataFrame:
     """The rows one flush writes: decoded, shaped, one per key.  Their version is what the event carries, if the
-    options allow that, else NULL until the flush stamps it."""
+    options allow that, else NULL until the flush stamps it.  A batch known to be without ``repeats`` needs no
+    shuffle here."""
     rated = decode_and_rate(lines, options)
     if observation is not None:
         rated = rated.observe(observation, *counter_columns())
-    rows = ingest_rows(rated, options).withColumn("line_order", F.monotonically_increasing_id())
+    rows = ingest_rows(rated, options)
+    if not repeats:
+        return rows.drop(*ARRIVAL_COLUMNS)
+    rows = rows.withColumn("line_order", F.monotonically_increasing_id())
     return dedupe_flush(rows, ARRIVAL_ORDER).drop(*ARRIVAL_COLUMNS, "line_order")
 
 
@@ -124,8 +137,9 @@ def flush_batch(
 ) -> dict[str, int]:
     """Write one batch of raw lines unless its documents were flushed before; returns the counters of the batch.
 
-    The documents are fingerprinted before anything is decoded, so a resend costs one pass over the text; a
-    fresh batch is decoded once, straight into the append.  Rejects are few and are decoded again."""
+    The documents are fingerprinted before anything is decoded, so a resend costs one pass over the text.  A
+    fresh batch is decoded once, straight into the append; only if some key occurs twice in it do whole rows move
+    to be deduplicated.  Rejects are few and are decoded again."""
     spark = lines.sparkSession
     ledger = create_ledger(spark, table)
     n_events, fingerprint = line_fingerprint(lines).first()
@@ -136,7 +150,7 @@ def flush_batch(
     if n_events == 0 or _seen(spark, ledger, fingerprint, number):
         return counters | {"events_received": n_events, "events_repeated": n_events}
     rated, written = Observation(), Observation()
-    rows = stamped(batch_rows(lines, options, rated), at, number)
+    rows = stamped(batch_rows(lines, options, rated, has_repeats(lines)), at, number)
     append_log(rows.observe(written, F.count(F.lit(1)).alias("n")), table)
     counters |= dict(rated.get)
     if counters["events_invalid"]:

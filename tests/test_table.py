@@ -307,3 +307,13 @@ def test_an_event_may_take_many_lines(spark, table, tmp_path):
         land(folder, f"{i}.json", [json.dumps(json.loads(event(i, 1)), indent=2)])
     S.flush_batch(read_events(spark, str(folder), whole_files=True), table)
     assert spark.table(table).count() == 3
+
+
+def test_one_exchange_carries_the_rows_of_a_batch_without_repeats(spark, table):
+    fresh, again = as_lines(spark, [event(1, 1), event(2, 1)]), as_lines(spark, [event(1, 1), event(1, 1, wall=2)])
+    other = as_lines(spark, [event(1, 1), event(1, 1, createTime="2024-06-01T02:00:01+02:00")])
+    assert [S.has_repeats(x) for x in (fresh, again, other, fresh.limit(0))] == [False, True, True, False]
+    rows = TB.clustered(S.batch_rows(fresh, repeats=S.has_repeats(fresh)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "max_by" not in plan
+    assert S.flush_batch(again, table)["rows_flushed"] == 1
