@@ -6,6 +6,7 @@ zone a bound is given in."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tallyglass.session import fresh_path
 # Fixed value: files below this size are worth rewriting.
 SMALL_FILE_BYTES = 64 << 20
 TARGET_FILE_BYTES = 256 << 20
+DAYS_AT_ONCE = 8
 
 _FILE_OPTIONS = {
     "compression": "zstd",
@@ -155,18 +157,17 @@ def compact(
     Planning lists files and reads no row.  Only the listed files are read and replaced: larger ones keep
     their place, and files appended meanwhile are neither read nor touched.  The row multiset stays as it was
     unless ``resolve_versions`` drops superseded versions, which takes all files of such a day."""
-    first, done = utc(since).date(), []
-    for day in partition_days(spark, table):
-        if day < first:
-            continue
+    first, root = utc(since).date(), _folder(spark, table)
+    schema = spark.table(table).schema
+
+    def rewrite(day: date) -> date | None:
         folder = _folder(spark, table, day)
         listed = _files(spark, folder)
         if sum(size < small_bytes for _, size in listed) < 2:
-            continue
-        chosen = listed if resolve_versions else [(p, n) for p, n in listed if n < small_bytes]
+            return None
+        chosen = [(p, n) for p, n in listed if resolve_versions or n < small_bytes]
         names = [p for p, _ in chosen]
-        reader = spark.read.schema(spark.table(table).schema).option("basePath", _folder(spark, table))
-        rows = reader.parquet(*names)
+        rows = spark.read.schema(schema).option("basePath", root).parquet(*names)
         if resolve_versions:
             rows = latest_version(rows)
         n_files = -(-sum(n for _, n in chosen) // target_bytes)
@@ -174,7 +175,11 @@ def compact(
         staged = fresh_path(spark, "compacted")
         laid_out.drop(PARTITION_COLUMN).write.options(**_FILE_OPTIONS).parquet(staged)
         _swap(spark, staged, folder, names)
-        done.append(day)
+        return day
+
+    days = [day for day in partition_days(spark, table) if day >= first]
+    with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:  # a day is a job of its own
+        done = [day for day in pool.map(rewrite, days) if day]
     if done:
         spark.catalog.refreshTable(table)
     return done
