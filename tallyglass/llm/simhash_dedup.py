@@ -32,6 +32,8 @@ SEED = 42
 # A bucket of more fingerprints than this is compared in blocks by many tasks.
 BUCKET_ROWS = 4096
 BLOCK_ROWS = 2048
+# Rows of sorted keys that a task gathers before it works on their buckets.
+HELD_ROWS = 1 << 17
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -204,20 +206,29 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f, held, a, b = [], [], 0, [], []
+        large = None  # key of a bucket that is passed on as it comes
 
         def late_batch(keys, fp):
             return pa.record_batch([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(keys)], names=["a", "b", "key"])
 
         def work(last: bool):
-            nonlocal held_k, held_f, held, a, b
+            nonlocal held_k, held_f, held, a, b, large
             keys, fp = np.concatenate(held_k), np.concatenate(held_f)
-            end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+            if large is not None and (more := int(np.searchsorted(keys, large, "right"))):
+                yield late_batch(keys[:more], fp[:more])
+                keys, fp = keys[more:], fp[more:]
+            end = len(keys) if last or not len(keys) else int(np.searchsorted(keys, keys[-1]))
             if end:
                 more_a, more_b, late = _links_of(keys[:end], fp[:end], max_bits)
                 a, b = [*a, *more_a], [*b, *more_b]
                 for rows in late:
                     yield late_batch(keys[rows], fp[rows])
-            held_k, held_f, held = [keys[end:]], [fp[end:]], len(keys) - end
+            keys, fp = keys[end:], fp[end:]
+            if len(keys) > BUCKET_ROWS:  # one bucket that goes on: no task holds it whole
+                large = keys[-1]
+                yield late_batch(keys, fp)
+                keys, fp = keys[:0], fp[:0]
+            held_k, held_f, held = [keys], [fp], len(keys)
             if sum(map(len, a)) > 500_000:
                 pairs = _pairs(a, b)
                 a, b = [pairs[:, 0]], [pairs[:, 1]]
@@ -225,14 +236,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     yield _edge_batch(pairs)
                     a, b = [], []
 
-        limit = 1 << 17
         for batch in batches:
             held_k.append(np.asarray(batch.column(0)))
             held_f.append(np.asarray(batch.column(1)))
             held += batch.num_rows
-            if held >= limit:
+            if held >= HELD_ROWS:
                 yield from work(False)
-                limit = max(1 << 17, 2 * held)
         if held:
             yield from work(True)
         yield _edge_batch(_pairs(a, b))

@@ -107,6 +107,24 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(map(sorted, roots.values())) == sorted(sorted(c) for c in classes.values() if len(c) > 1)
 
 
+def test_buckets_beyond_what_a_task_holds(monkeypatch, spark):
+    # Fingerprints that differ in one segment only share whole keys, so buckets outgrow these limits.
+    for name, value in (("HELD_ROWS", 256), ("BUCKET_ROWS", 64), ("BLOCK_ROWS", 32)):
+        monkeypatch.setattr(simhash_dedup, name, value)
+    pick = random.Random(8)
+    fps = {0, *(1 << 50 | pick.randrange(1 << 22) for _ in range(20))}
+    while len(fps) < 500:
+        fps.add(pick.choice(sorted(fps)) ^ (1 << pick.randrange(22)) ^ (1 << pick.randrange(22)))
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long").coalesce(1)
+    got = {}
+    for r in connected_components(simhash_dedup.links(rows)).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    want = {}
+    for (i, _), c in plain_components(sorted(fps), sorted(fps)).items():
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
 @pytest.mark.parametrize("n", [1, 12])
 def test_components_of_a_path(spark, n):
     order = list(range(n + 1))
