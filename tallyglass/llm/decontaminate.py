@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 MAX_BITS = 23
 # Items are sent to the tasks in blocks of about this many bytes of text; each block is one pass.
 BLOCK_BYTES = 8 << 20
+# Windows times items that are looked up at once.
+PROBED_AT_ONCE = 1 << 20
 
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
@@ -56,7 +58,7 @@ class _Size:
     def __init__(self, count: int, items: list[tuple[int, list[bytes]]], shingle_words: int, max_bits: int):
         self.words, self.k, self.max_bits = count, min(shingle_words, count), max_bits
         self.ids = [i for i, _ in items]
-        self.exact = [_shingles(found, shingle_words) for _, found in items]
+        self.found = [found for _, found in items]
         self.hashes = [shingle_hashes(word_hashes(found), shingle_words) for _, found in items]
         self.sorted = [np.unique(h) for h in self.hashes]
         self.all = np.unique(np.concatenate(self.hashes))
@@ -67,13 +69,18 @@ class _Size:
 
     def candidates(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window, item and distance of all fingerprints at most ``max_bits`` apart."""
-        hit = np.zeros((len(fps), len(self.ids)), bool)
-        for b in range(8):
-            hit |= self.probe[b, fps[:, b]]
-        window, item = np.nonzero(hit)
-        apart = np.bitwise_count(fps[window] ^ self.fps[item]).sum(axis=1, dtype=np.int64)
-        near = apart <= self.max_bits
-        return window[near], item[near], apart[near]
+        step = max(1, PROBED_AT_ONCE // len(self.ids))
+        parts = []
+        for first in range(0, len(fps), step):
+            some = fps[first : first + step]
+            hit = np.zeros((len(some), len(self.ids)), bool)
+            for b in range(8):
+                hit |= self.probe[b, some[:, b]]
+            window, item = np.nonzero(hit)
+            apart = np.bitwise_count(some[window] ^ self.fps[item]).sum(axis=1, dtype=np.int64)
+            near = apart <= self.max_bits
+            parts.append((window[near] + first, item[near], apart[near]))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 class Benchmark:
@@ -127,8 +134,9 @@ class Benchmark:
                 starts, bits = window[mine], apart[mine]
                 # A similarity of s needs more than s times the item's shingles in common.
                 enough = shared[starts + length] - shared[starts] >= need
+                exact = _shingles(size.found[i], self.shingle_words) if enough.any() else None
                 for start, distance in zip((starts[enough] + first).tolist(), bits[enough].tolist(), strict=True):
-                    value = weighted_similarity(_shingles(found[start : start + span], self.shingle_words), size.exact[i])
+                    value = weighted_similarity(_shingles(found[start : start + span], self.shingle_words), exact)
                     row = (start, span, value, distance)
                     if value >= self.similarity and (size.ids[i] not in best or value > best[size.ids[i]][2]):
                         best[size.ids[i]] = row
