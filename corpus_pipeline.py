@@ -24,12 +24,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.  Rows that repeat that id
-    are one document and stay; rows without an id stay too."""
+    """One row of each near-duplicate group: the one with the smallest id, of several texts under that id the one
+    with the smallest hash, of repeated rows any.  A row without an id stays only if its group has no id."""
     prepare(spark)
-    groups = simhash_dedup.near_duplicates(docs, shingle_words=4, max_bits=4)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h": F.xxhash64("text")}
+    keyed = docs.select(*COLUMNS, *[c.alias(n) for n, c in key.items()])
+    rows = keyed.select(F.struct(*key).alias("key"), "text")
+    groups = simhash_dedup.near_duplicates(rows, shingle_words=4, max_bits=4, id_column="key")
+    marks = stored(groups.groupBy("key", "component_id").agg(F.count("*").alias("n")), "groups")
+    kept = keyed.join(marks.where("key <> component_id").select("key.*"), list(key), "left_anti")
+    repeated = marks.where("key = component_id AND n > 1").select("key.*")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, list(key), "left_semi").dropDuplicates(list(key))
+        kept = kept.join(repeated, list(key), "left_anti").unionByName(once)
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,4 +84,15 @@ def test_stages_on_empty_and_repeated_rows(spark, folder):
     row = (5, "the house and the tree " * 9, "en", "src0", 1, 0, 0)
     twice = spark.createDataFrame([row, row, (6, *row[1:]), (None, *row[1:])], SCHEMA)
     kept = corpus_pipeline.dedup(spark, twice, folder).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["5", "5", "None"]
+    assert [r.doc_id for r in kept] == [5]
+
+
+def test_dedup_keeps_one_row_of_each_group(spark, folder):
+    def row(i, text):
+        return (i, text, "en", "src0", 1, 0, 0)
+
+    a, b, c = ("one house by the water " * 9, "nobody saw seven grey stones fall " * 9, "it was a light too far away to be of use " * 9)
+    # One id under two texts, one of which has a smaller id elsewhere; a group without an id; repeated rows.
+    docs = spark.createDataFrame([row(7, a), row(7, b), row(3, b), row(3, b), row(None, a), row(None, c), row(None, c)], SCHEMA)
+    kept = corpus_pipeline.dedup(spark, docs, folder).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("7", a), ("3", b), ("None", c)])
