@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.times import utc
 from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, SUMMARY_COLUMNS
-from tallyglass.sources.querylog import scan_latest
+from tallyglass.sources.querylog import scan_latest, shown, split_resolved
 
 # List limits, paging bounds, named ranges and sort keys.
 DEFAULT_LIMIT = 100
@@ -51,6 +51,8 @@ class QueryFilter:
     offset: int = 0
     # Continue behind a row: its sort value and its id.
     after: tuple | None = None
+    # Days with one version of every row (``table.resolved_days``): not merged.
+    resolved: tuple[date, ...] = ()
 
 
 # --- filters -------------------------------------------------------------------------------
@@ -178,8 +180,12 @@ def filtered_summaries(log: DataFrame, f: QueryFilter) -> DataFrame:
 
     Time bounds are part of the version key and go below the merge.  User, catalog and state must hold for
     the current version, but some stored version has to pass them too: those are found first, by a filter that
-    reaches the scan, and only the versions of their keys are merged."""
+    reaches the scan, and only the versions of their keys are merged.  In resolved days the filter is all."""
     bounded = filter_until(filter_since(log, f.since), f.until)
+    if f.resolved:
+        settled, rest = split_resolved(bounded, f.resolved)
+        merged = filtered_summaries(rest, replace(f, resolved=()))
+        return shown(_equal_filters(settled, f), SUMMARY_COLUMNS).unionByName(merged)
     if f.user.strip() or f.catalog.strip() or f.state:
         keys = _equal_filters(bounded, f).select(*ROW_KEY).distinct()
         bounded = bounded.join(keys, ROW_KEY, "left_semi")

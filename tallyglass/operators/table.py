@@ -6,6 +6,9 @@ zone a bound is given in."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
@@ -21,6 +24,8 @@ from tallyglass.session import fresh_path
 SMALL_FILE_BYTES = 64 << 20
 TARGET_FILE_BYTES = 256 << 20
 DAYS_AT_ONCE = 8
+# Files that together hold one version of every row of a day are named so, with a mark they share.
+RESOLVED = re.compile(r"resolved-([0-9a-f]{32})-")
 
 _FILE_OPTIONS = {
     "compression": "zstd",
@@ -130,56 +135,94 @@ def _folder(spark: SparkSession, table: str, day: date | None = None) -> str:
     return described.where("col_name = 'Location'").first()["data_type"]
 
 
-def _swap(spark: SparkSession, added: str, folder: str, replaced: list[str]) -> None:
+def _swap(spark: SparkSession, added: str, folder: str, replaced: list[str], prefix: str = "") -> None:
     """Move finished files into a day, then delete exactly the files they replace.  Between the two a reader may
     see rows twice, under equal versions; it never misses one."""
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     as_path = spark._jvm.org.apache.hadoop.fs.Path
     for name, _ in _files(spark, added):
-        if not store.rename(as_path(name), as_path(target, name.rsplit("/", 1)[-1])):
+        if not store.rename(as_path(name), as_path(target, prefix + name.rsplit("/", 1)[-1])):
             raise RuntimeError(f"could not move {name} to {folder}")
     for name in replaced:
         store.delete(as_path(name), False)
 
 
-def compact(
-    spark: SparkSession,
-    table: str,
-    since: datetime,
-    small_bytes: int = SMALL_FILE_BYTES,
-    target_bytes: int = TARGET_FILE_BYTES,
-    resolve_versions: bool = False,
-) -> list[date]:
-    """Rewrite the small files of each day from ``since`` on that has at least two of them, into evenly sized
-    files with disjoint time ranges.
+def _mark(path: str) -> str | None:
+    found = RESOLVED.match(path.rsplit("/", 1)[-1])
+    return found and found[1]
+
+
+def resolved_days(spark: SparkSession, table: str, since: datetime | None = None) -> list[date]:
+    """Days all of whose files come from one run that resolved versions.  Lists files and reads no row.  After an append,
+    or a rewrite that was broken off, a day has other files too and is not among them; so ask again for each read."""
+    log = spark.table(table)
+    if since is not None:
+        log = log.where(F.col(PARTITION_COLUMN) >= F.lit(utc(since).date()))
+    marks: dict[date, set] = {}
+    for path in log.inputFiles():
+        day = date.fromisoformat(path.rsplit(f"{PARTITION_COLUMN}=", 1)[1].split("/", 1)[0])
+        marks.setdefault(day, set()).add(_mark(path))
+    return sorted(day for day, found in marks.items() if len(found) == 1 and None not in found)
 
-    Planning lists files and reads no row.  Only the listed files are read and replaced: larger ones keep
-    their place, and files appended meanwhile are neither read nor touched.  The row multiset stays as it was
-    unless ``resolve_versions`` drops superseded versions, which takes all files of such a day."""
-    first, root = utc(since).date(), _folder(spark, table)
-    schema = spark.table(table).schema
 
-    def rewrite(day: date) -> date | None:
+def _rewrite(spark: SparkSession, table: str, days: list[date], choose: Callable, resolve: bool, target_bytes: int) -> list[date]:
+    """Replace of each day the files that ``choose`` picks of its list of names and sizes."""
+    root, schema = _folder(spark, table), spark.table(table).schema
+
+    def one(day: date) -> date | None:
         folder = _folder(spark, table, day)
-        listed = _files(spark, folder)
-        if sum(size < small_bytes for _, size in listed) < 2:
+        chosen = choose(_files(spark, folder))
+        if not chosen:
             return None
-        chosen = [(p, n) for p, n in listed if resolve_versions or n < small_bytes]
         names = [p for p, _ in chosen]
         rows = spark.read.schema(schema).option("basePath", root).parquet(*names)
-        if resolve_versions:
+        if resolve:
             rows = latest_version(rows)
         n_files = -(-sum(n for _, n in chosen) // target_bytes)
         laid_out = rows.repartitionByRange(n_files, *ROW_KEY).sortWithinPartitions(*ROW_KEY)
         staged = fresh_path(spark, "compacted")
         laid_out.drop(PARTITION_COLUMN).write.options(**_FILE_OPTIONS).parquet(staged)
-        _swap(spark, staged, folder, names)
+        _swap(spark, staged, folder, names, f"resolved-{uuid.uuid4().hex}-" if resolve else "")
         return day
 
-    days = [day for day in partition_days(spark, table) if day >= first]
     with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:  # a day is a job of its own
-        done = [day for day in pool.map(rewrite, days) if day]
+        done = [day for day in pool.map(one, days) if day]
     if done:
         spark.catalog.refreshTable(table)
     return done
+
+
+def compact(
+    spark: SparkSession,
+    table: str,
+    since: datetime,
+    small_bytes: int = SMALL_FILE_BYTES,
+    target_bytes: int = TARGET_FILE_BYTES,
+    resolve_versions: bool = False,
+) -> list[date]:
+    """Rewrite the small files of each day from ``since`` on that has at least two of them, into evenly sized
+    files with disjoint time ranges.
+
+    Planning lists files and reads no row.  Only the listed files are read and replaced: larger ones keep
+    their place, and files appended meanwhile are neither read nor touched.  The row multiset stays as it was
+    unless ``resolve_versions`` drops superseded versions, which takes all files of such a day."""
+    first = utc(since).date()
+
+    def choose(listed: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        small = [(p, n) for p, n in listed if n < small_bytes]
+        return [] if len(small) < 2 else listed if resolve_versions else small
+
+    days = [day for day in partition_days(spark, table) if day >= first]
+    return _rewrite(spark, table, days, choose, resolve_versions, target_bytes)
+
+
+def resolve_days(
+    spark: SparkSession, table: str, since: datetime, before: datetime, target_bytes: int = TARGET_FILE_BYTES
+) -> list[date]:
+    """Drop superseded versions from each day from ``since`` on and before the day of ``before`` that is not resolved yet.
+    Meant for days that are over: reads of a resolved day merge nothing, until rows are appended to it again."""
+    first = utc(since).date()
+    known = set(resolved_days(spark, table, since))
+    days = [day for day in partition_days(spark, table, utc(before).date()) if day >= first and day not in known]
+    return _rewrite(spark, table, days, lambda listed: listed, True, target_bytes)

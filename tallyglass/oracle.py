@@ -558,6 +558,7 @@ def oracle_sql() -> dict[str, str]:
         "prune": log(f"SELECT {_SHORT}, create_date FROM log WHERE create_date >= DATE '2024-01-19'"),
         "compaction_window": _upkeep("run_at", lambda days: max(days, 1) - 1),
         "compact": log(f"SELECT {_SHORT}, create_date FROM log"),
+        "scan_resolved": log(f"SELECT {_SUMMARY} FROM latest"),
         "compact_and_resolve": log(f"SELECT {_SHORT}, create_date FROM latest"),
         "stream_ingest": log(f"SELECT {_SUMMARY} FROM latest"),
         "stream_small_batches": _plain_current(),

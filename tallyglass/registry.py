@@ -750,6 +750,14 @@ def compact_and_resolve(spark, sf_dir):
     return spark.table(table).select(*_SHORT, "create_date")
 
 
+@query
+def scan_resolved(spark, sf_dir):
+    """Current rows of a log whose later days are resolved, so that only the earlier ones are merged."""
+    table = _narrow_table(spark, sf_dir, "half_resolved", flushes=2)
+    TB.resolve_days(spark, table, datetime(2024, 1, 5), datetime(2024, 1, 24))
+    return Q.scan_latest(spark.table(table), SUMMARY_COLUMNS, TB.resolved_days(spark, table)).select(*SUMMARY_COLUMNS)
+
+
 # --- streaming -----------------------------------------------------------------------------
 
 

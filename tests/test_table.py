@@ -1,5 +1,6 @@
 import json
 import os
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import table as TB
 from tallyglass.operators.ingest import IngestOptions, ingest_lines
+from tallyglass.operators.listing import QueryFilter, list_queries
 from tallyglass.schema import SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources import testbed as T
 from tallyglass.sources.events import read_events
-from tallyglass.sources.querylog import scan_latest
+from tallyglass.sources.querylog import scan_latest, shown, split_resolved
 from tallyglass.streaming import ingest as S
 
 EAST, WEST = timezone(timedelta(hours=9)), timezone(timedelta(hours=-8))
@@ -185,6 +187,44 @@ def test_compaction_keeps_the_rows(spark, table):
     assert TB.compact(spark, table, datetime(2024, 6, 1)) == []
 
 
+def test_reads_of_resolved_days_merge_nothing(spark, table):
+    for flush in range(3):
+        append(spark, table, [event(i, d, wall=flush) for d in (1, 2, 3) for i in range(10)], seq=flush)
+    assert TB.resolved_days(spark, table) == []
+    assert TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 3, 5)) == [date(2024, 6, 1), date(2024, 6, 2)]
+    assert TB.resolved_days(spark, table) == [date(2024, 6, 1), date(2024, 6, 2)]
+    assert TB.resolved_days(spark, table, since=datetime(2024, 6, 2)) == [date(2024, 6, 2)]
+    assert TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 3)) == []
+    assert spark.table(table).count() == 50
+
+    # Appended rows open their day again, resolving it takes all its files.
+    append(spark, table, [event(4, 1, wall=8), event(77, 1, wall=8)], seq=9)
+    assert TB.resolved_days(spark, table) == [date(2024, 6, 2)]
+    log, done = spark.table(table), TB.resolved_days(spark, table)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(scan_latest(log, SUMMARY_COLUMNS, done), scan_latest(log, SUMMARY_COLUMNS))
+    assert scan_latest(log, SUMMARY_COLUMNS, done).count() == 31
+    settled = log.where("create_date = DATE'2024-06-02'")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    split = split_resolved(settled, done)
+    assert "Aggregate" in plan(scan_latest(settled, SUMMARY_COLUMNS))
+    assert "Aggregate" not in plan(shown(split[0], SUMMARY_COLUMNS)) and split[1].count() == 0
+    for f in (QueryFilter(state="FINISHED", limit=50), QueryFilter(user="u", sort="wall", desc=True), QueryFilter(user="nobody")):
+        assert same(list_queries(log, replace(f, resolved=tuple(done))), list_queries(log, f))
+    # A run that resolves a day anew and is broken off leaves files of two marks.
+    TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 2))
+    assert TB.resolved_days(spark, table) == [date(2024, 6, 1), date(2024, 6, 2)]
+    folder = TB._folder(spark, table, date(2024, 6, 1))
+    ((name, _),) = TB._files(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    other = f"{folder}/resolved-{'0' * 32}-{name.rsplit('/', 1)[-1].split('-', 2)[2]}"
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, path(name), store, path(other), False, spark._jsc.hadoopConfiguration())
+    spark.catalog.refreshTable(table)
+    assert TB.resolved_days(spark, table) == [date(2024, 6, 2)]
+    assert scan_latest(spark.table(table), SUMMARY_COLUMNS, TB.resolved_days(spark, table)).count() == 31
+
+
 def test_a_heavy_day_spreads_over_several_files(spark, table):
     for flush in range(2):
         append(spark, table, [event(i, 5) for i in range(500)], seq=flush)
