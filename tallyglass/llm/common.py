@@ -14,9 +14,10 @@ from tallyglass.session import fresh_path
 # Rows handed to Python at once.  Texts may be long, so a batch stays a few MB.
 ARROW_ROWS = "2048"
 
-# A word: letters and digits of ASCII and every character beyond it (as UTF-8).
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-# The same, or a run of other visible characters.
+# A word: letters and digits, of every script; in ASCII texts as bytes.
+_WORD = re.compile(r"[^\W_]+")
+_ASCII_WORD = re.compile(rb"[0-9a-z]+")
+# Letters and digits of ASCII and every character beyond it (as UTF-8), or a run of other visible characters.
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 
 
@@ -57,7 +58,12 @@ def lowered(data: bytes) -> bytes:
 
 
 def words(data: bytes) -> list[bytes]:
-    return _WORD.findall(lowered(data))
+    """Runs of letters and digits, in lower case."""
+    if data.isascii():
+        return _ASCII_WORD.findall(data.lower())
+    # Cut before the case changes: a dotted capital I becomes a letter and a mark.
+    found = _WORD.findall(data.decode("utf-8", "replace"))
+    return "\n".join(found).lower().encode().split(b"\n") if found else []
 
 
 def tokens(data: bytes) -> list[bytes]:

@@ -71,6 +71,37 @@ def test_nulls_empty_tables_and_repeated_rows(spark):
         assert hits.count() == 0 and rest.count() == len(d) and hits.columns[:2] == ["doc_id", "item_id"]
 
 
+def test_words_are_letters_and_digits_of_every_script():
+    cases = {
+        "\u201cCaf\u00e9\u201d \u2014 it\u2019s\u2026": ["caf\u00e9", "it", "s"],
+        "a\u00a0b\u3000c\u2014d_e": ["a", "b", "c", "d", "e"],
+        "\u00abSTRA\u00dfE\u00bb 12\u00a0000\u20ac": ["stra\u00dfe", "12", "000"],
+        "\u4f60\u597d\uff0c\u4e16\u754c\u3002": ["\u4f60\u597d", "\u4e16\u754c"],
+        "\u0130zmir \u041c\u0418\u0420": ["i\u0307zmir", "\u043c\u0438\u0440"],
+        "\u2026\u2014\u201d": [],
+        "ASCII only_2": ["ascii", "only", "2"],
+    }
+    for text, want in cases.items():
+        assert words(text.encode()) == [w.encode() for w in want]
+    assert words(b"cut \xe2\x80 off") == [b"cut", b"off"]
+
+
+def test_passages_in_typographic_quotes_and_with_other_spaces(spark):
+    passage = "What is the largest lake in the world by surface area and by volume"  # 14 words
+    short = "name three rivers of Europe"
+    docs = [
+        (1, f"as asked \u201c{passage}\u201d by many"),
+        (2, "before " + passage.replace(" ", "\u00a0") + " after"),
+        (3, f"list\u2014{short}\u2026"),
+        (4, f"\u00ab\u00a0{passage}\u00a0\u00bb\u3000{short}"),
+        (5, "\u201cnothing of the kind\u201d \u2014 a clean text\u2026"),
+    ]
+    hits, rest = found(spark, docs, [(1, passage), (2, short)])
+    got = {(r.doc_id, r.item_id, r.word_start, r.window_words, r.similarity) for r in hits.collect()}
+    assert got == {(1, 1, 2, 14, 1.0), (2, 1, 1, 14, 1.0), (3, 2, 1, 5, 1.0), (4, 1, 0, 14, 1.0), (4, 2, 14, 5, 1.0)}
+    assert [r.doc_id for r in rest.collect()] == [5]
+
+
 def test_blocks_of_items_are_all_searched(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 300)
     items = [(i, " ".join(f"i{i}w{k}" for k in range(8))) for i in range(20)]
