@@ -7,6 +7,9 @@ median is exact however many points coincide, and copies of a text stay together
 with the smallest language and source among them.  Only a text whose copies hold over a twentieth of a
 shard's bytes, or over a 64th of all rows, is dealt into pieces, so that no shard and no task takes it whole.
 
+Rows of one id and text are told apart by nothing in the result, so they travel as one row with their number
+``n``, which is split where they are dealt, and become rows again when they get their slots.
+
 The medians come from sums over prefixes of the order key, refined sixteen bits at a time.  Nodes and cuts
 (one per shard) are all that reaches the driver.
 """
@@ -27,8 +30,9 @@ PIECES = 1024
 # Order keys below 2**63: coordinate, then tie-break.
 COORDINATE_BITS, TIE_BITS = 20, 43
 STEP_BITS = 16
-# Rows of a shard that one task numbers.
+# Rows of a shard that one task numbers, and repeated rows that stay together when they are numbered.
 SLOT_ROWS = 1 << 20
+RUN_ROWS = 1 << 10
 
 
 def _coordinate(name: str) -> Column:
@@ -45,21 +49,32 @@ def _narrow(docs: DataFrame, id_column: str, text_column: str, names: list[str])
         F.xxhash64(data).alias("h"),
         *[_coordinate(n).alias(f"x{i}") for i, n in enumerate(names, 1)],
     ]
-    return docs.select(*columns)
+    rows = docs.select(*columns)
+    return rows.groupBy("id", "size", "crc", "h").agg(F.count("*").alias("n"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(1, len(names) + 1)])
+
+
+def _dealt(n: str, parts: Column) -> tuple[Column, Column]:
+    """The numbers from 0 of the non-empty ones of ``parts`` equal parts of ``n``, exploded; and the rows in part ``j``."""
+    share = F.floor(F.col(n) / parts) + (F.col("j") < F.col(n) % parts).cast("long")
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col(n), parts) - 1)), share
 
 
 def _points(rows: DataFrame, shards: int, dimensions: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their point ``(h, piece)``, and the points with weight, coordinates and tie-break."""
-    total = rows.agg(F.sum("size"), F.count("*")).first()
-    texts = rows.groupBy("h").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
+    weight = F.sum(F.col("size") * F.col("n"))
+    total = rows.agg(weight, F.sum("n")).first()
+    texts = rows.groupBy("h").agg(weight.alias("w"), F.sum("n").alias("c"))
     # The condition itself bounds the rows: HEAVY_BYTES * shards + HEAVY_ROWS.
-    heavy = stored(texts.where((F.col("w") * HEAVY_BYTES * shards > (total[0] or 0)) | (F.col("c") * HEAVY_ROWS > total[1])).select("h"), "heavy")
-    piece = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "h"), F.lit(PIECES)).cast("int")).otherwise(F.lit(0))
-    rows = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "h", "left").withColumn("piece", piece).drop("heavy")
+    heavy = stored(texts.where((F.col("w") * HEAVY_BYTES * shards > (total[0] or 0)) | (F.col("c") * HEAVY_ROWS > (total[1] or 0))).select("h"), "heavy")
+    rows = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "h", "left")
+    # Rows of one id and text go to pieces in turn, from one that their hash names.
+    numbers, share = _dealt("n", F.when(F.col("heavy"), F.lit(PIECES).cast("long")).otherwise(F.lit(1).cast("long")))
+    piece = F.when(F.col("heavy"), F.pmod(F.pmod(F.xxhash64("id", "h"), F.lit(PIECES)) + F.col("j"), F.lit(PIECES)).cast("int")).otherwise(F.lit(0))
+    rows = rows.withColumn("j", numbers).withColumn("n", share).withColumn("piece", piece).drop("heavy", "j")
     largest = F.log2(F.max("size").cast("double"))
     x0 = F.least(F.floor(largest / 40 * (1 << COORDINATE_BITS)), F.lit((1 << COORDINATE_BITS) - 1))
     points = rows.groupBy("h", "piece").agg(
-        F.sum("size").alias("w"), x0.cast("long").alias("x0"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(1, dimensions)]
+        weight.alias("w"), x0.cast("long").alias("x0"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(1, dimensions)]
     )
     tie = F.shiftrightunsigned(F.xxhash64("h", "piece"), 64 - TIE_BITS)
     return rows, points.withColumn("tie", tie)
@@ -137,14 +152,14 @@ def kd_shards(
     shards stay empty.  Other columns are ignored."""
     rows = stored(_narrow(docs, id_column, text_column, list(dimensions)), "narrow")
     if shards is None:
-        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
+        shards = max(1, -(-(rows.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0) // target_bytes))
     dims = 1 + len(dimensions)
     rows, points = _points(rows, shards, dims)
     points, levels = _tree(stored(points, "points"), shards, dims)
     leaf = _leaf_numbers(shards)
     number = F.element_at(F.create_map(*[F.lit(x) for pair in leaf.items() for x in pair]), F.col("node").cast("int"))
     placed = rows.join(points.select("h", "piece", number.alias("shard")), ["h", "piece"])
-    return _slots(stored(placed.select("id", "size", "crc", "shard"), "placed")).select(
+    return _slots(stored(placed.select("id", "size", "crc", "n", "shard"), "placed")).select(
         F.col("id").alias(id_column), "size", F.col("crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
@@ -163,12 +178,17 @@ def _leaf_numbers(shards: int) -> dict[int, int]:
 
 
 def _slots(placed: DataFrame) -> DataFrame:
-    """Numbers within each shard, dealt out over parts of about ``SLOT_ROWS`` rows at most."""
-    largest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    """A row for each of the ``n``, numbered within its shard.  Runs of at most ``RUN_ROWS`` equal rows are dealt
+    out over parts of about ``SLOT_ROWS`` rows at most."""
+    largest = placed.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = max(8, 2 * largest // SLOT_ROWS)
-    rows = placed.withColumn("part", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(parts)).cast("int"))
+    numbers, share = _dealt("n", F.ceil(F.col("n") / RUN_ROWS))
+    rows = placed.withColumn("j", numbers).withColumn("n", share)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "crc", "size", "j"), F.lit(parts)).cast("int")).drop("j")
     # At most shards * parts rows.
-    sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "size")) - 1
-    return rows.withColumn("at", within).join(before, ["shard", "part"]).withColumn("slot", F.col("first") + F.col("at"))
+    sizes = rows.groupBy("shard", "part").agg(F.sum("n").alias("m"))
+    before = sizes.withColumn("first", F.sum("m").over(Window.partitionBy("shard").orderBy("part")) - F.col("m")).drop("m")
+    order = Window.partitionBy("shard", "part").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.sum("n").over(order) - F.col("n")).join(before, ["shard", "part"])
+    start = F.col("first") + F.col("at")
+    return rows.withColumn("slot", F.explode(F.sequence(start, start + F.col("n") - 1)))

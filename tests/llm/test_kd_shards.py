@@ -54,6 +54,33 @@ def test_a_third_of_all_rows_is_one_text(spark):
     assert len(size) == 8 and max(size.values()) < 1.1 * min(size.values())
 
 
+@pytest.mark.parametrize("repeated", [9, None])
+def test_a_third_of_all_rows_is_one_row(spark, monkeypatch, repeated):
+    monkeypatch.setattr(kd_shards, "RUN_ROWS", 16)
+    rows = [doc(repeated, "the same row over and again", ("en", "de")[i % 2]) if i % 3 == 0 else doc(i, f"text number {i} " * 2) for i in range(6000)]
+    out = shards(spark, rows, shards=8)
+    check(rows, out, 8)
+    size, held = defaultdict(int), defaultdict(int)
+    for r in out:
+        size[r.shard] += r.size
+        held[r.shard] += r.doc_id == repeated
+    assert len(size) == 8 and max(size.values()) < 1.1 * min(size.values())
+    assert sum(held.values()) == 2000 and max(held.values()) < 1000
+
+
+def test_equal_rows_are_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(kd_shards, "SLOT_ROWS", 200)
+    monkeypatch.setattr(kd_shards, "RUN_ROWS", 10)
+    rows = spark.createDataFrame([(1, 5, 9, 2000, 0), (2, 6, 8, 1, 0), (2, 6, 8, 3, 1)], "id long, size long, crc long, n long, shard int")
+    out = kd_shards._slots(rows).collect()
+    assert sorted(r.slot for r in out if r.shard == 0) == list(range(2001))
+    assert sorted(r.slot for r in out if r.shard == 1) == [0, 1, 2]
+    held = defaultdict(int)
+    for r in out:
+        held[r.part] += 1
+    assert len(held) > 10 and max(held.values()) <= 400
+
+
 def test_nulls_ties_and_small_tables(spark):
     rows = [doc(1, None, None, None), doc(1, None, None, None), doc(None, ""), doc(2, "x" * 300_000), doc(3, "é")]
     out = shards(spark, rows, shards=8)
