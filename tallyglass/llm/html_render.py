@@ -1,21 +1,24 @@
 """The visible text of HTML pages, laid out: block spacing, lists, aligned table cells.
 
-A page becomes a tree first (with the end tags that authors leave out), then text.  Work is linear in
-the page; elements nested deeper than ``MAX_DEPTH`` become siblings, as in browsers.
+A page becomes a tree first (with the end tags that authors leave out), then text.  Elements may be nested
+to any depth: no step recurses or searches the open elements.  Only layout ends somewhere, as the white space
+would grow with the square of the page: below ``MAX_LEVELS`` lists and quotes indent no further, below
+``MAX_TABLES`` tables each cell has lines of its own.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 150
+MAX_LEVELS = 150
+MAX_TABLES = 50
 # A cell is padded to its column's width, up to this many characters.
 MAX_PAD = 60
 
@@ -95,23 +98,23 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
 class _Builder:
     def __init__(self):
         self.root = Node("#root")
-        self.stack, self.open = [self.root], Counter()
+        # The open elements, and their places by tag.
+        self.stack, self.open = [self.root], defaultdict(list)
 
     def pop(self, to: int) -> None:
         for node in self.stack[to:]:
-            self.open[node.tag] -= 1
+            self.open[node.tag].pop()
         del self.stack[to:]
 
+    def innermost(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
     def close(self, tags, stops) -> bool:
         """Ends the innermost open element of ``tags`` above the first of ``stops``."""
-        if any(self.open[t] for t in tags):
-            for i in range(len(self.stack) - 1, 0, -1):
-                tag = self.stack[i].tag
-                if tag in tags:
-                    self.pop(i)
-                    return True
-                if tag in stops:
-                    break
+        at = self.innermost(tags)
+        if at and at >= self.innermost(stops):
+            self.pop(at)
+            return True
         return False
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> None:
@@ -131,9 +134,9 @@ class _Builder:
             self.close(("head",), ())
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
-        if not empty and tag not in VOID and len(self.stack) < MAX_DEPTH:
+        if not empty and tag not in VOID:
+            self.open[tag].append(len(self.stack))
             self.stack.append(node)
-            self.open[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -188,7 +191,9 @@ def parse(page: str) -> Node:
 class _Page:
     """Lines of text under way: one that is being filled, and the blank line that may be due before it."""
 
-    def __init__(self):
+    def __init__(self, tables: int = 0):
+        # Tables and levels of indentation around what is being written.
+        self.tables, self.levels = tables, 0
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = False
@@ -213,7 +218,7 @@ class _Page:
             self.gap = False
             self.lines.append((self.indent + self.marker + text).rstrip(" ") if text else "")
             if text:
-                self.indent, self.marker = self.indent + " " * len(self.marker), ""
+                self.indent, self.marker = self.indent + " " * len(self.marker) * (self.levels <= MAX_LEVELS), ""
 
     def block(self, spaced: bool) -> None:
         self.line()
@@ -238,7 +243,24 @@ def _number(text: str | None, default: int, most: int) -> int:
     return max(-most, min(most, int(m[1]))) if m else default
 
 
-def _render(node: Node, page: _Page, shown: bool, pre: bool) -> None:
+# What lays out elements yields the layout of the elements inside and is sent its result.
+Layout = Generator["Layout", list[str] | None, list[str] | None]
+
+
+def _run(layout: Layout) -> None:
+    stack, result = [layout], None
+    while stack:
+        try:
+            inner = stack[-1].send(result)
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+        else:
+            stack.append(inner)
+            result = None
+
+
+def _render(node: Node, page: _Page, shown: bool, pre: bool) -> Layout:
     number = _number(node.attrs.get("start"), 1, 10**9)
     closed = node.tag == "details" and "open" not in node.attrs
     seen_summary = False
@@ -268,16 +290,16 @@ def _render(node: Node, page: _Page, shown: bool, pre: bool) -> None:
         elif tag == "input":
             if show and child.attrs.get("type", "text").lower() in ("text", "search", "url", "email", "tel", "number", "submit", "reset", "button"):
                 page.write(entities.unescape(child.attrs.get("value", "")))
-        elif tag == "table":
+        elif tag == "table" and page.tables < MAX_TABLES:
             page.block(True)
-            _table(child, page, show)
+            yield _table(child, page, show)
             page.block(True)
         elif tag == "select":
             options = [o for o in _walk(child, "option") if _visible(o, show)[0]]
             chosen = [o for o in options if "selected" in o.attrs] or options[:1]
             for o in chosen if "multiple" not in child.attrs else options:
                 page.write(" ")
-                _render(o, page, show, False)
+                yield _render(o, page, show, False)
             page.write(" ")
         elif tag == "li":
             page.block(False)
@@ -285,28 +307,30 @@ def _render(node: Node, page: _Page, shown: bool, pre: bool) -> None:
             if node.tag == "ol":
                 number = _number(child.attrs.get("value"), number, 10**9)
                 marker, number = f"{number}. ", number + (-1 if "reversed" in node.attrs else 1)
-            _indented(child, page, show, marker)
+            yield _indented(child, page, show, marker)
         elif tag in BLOCK or tag == "textarea":
             nested = tag in LISTS and node.tag in ("li", *LISTS)
             spaced = tag in SPACED and not nested
             page.block(spaced)
             if tag in ("dd", "blockquote"):
-                _indented(child, page, show, "    " if tag == "dd" else "  ", blank=True)
+                yield _indented(child, page, show, "    " if tag == "dd" else "  ", blank=True)
             else:
-                _render(child, page, show, pre or tag in ("pre", "textarea", "listing", "xmp"))
+                yield _render(child, page, show, pre or tag in ("pre", "textarea", "listing", "xmp"))
             page.block(spaced)
         else:
-            _render(child, page, show, pre)
+            yield _render(child, page, show, pre)
 
 
-def _indented(node: Node, page: _Page, shown: bool, marker: str, blank: bool = False) -> None:
+def _indented(node: Node, page: _Page, shown: bool, marker: str, blank: bool = False) -> Layout:
     indent, outer = page.indent, page.marker
-    if blank:
+    page.levels += 1
+    if not blank:
+        page.marker = outer + marker if page.levels <= MAX_LEVELS else outer or marker
+    elif page.levels <= MAX_LEVELS:
         page.indent += marker
-    else:
-        page.indent, page.marker = indent, outer + marker
-    _render(node, page, shown, False)
+    yield _render(node, page, shown, False)
     page.block(False)
+    page.levels -= 1
     page.indent = indent
     page.marker = outer if page.marker and not blank else ""
 
@@ -320,14 +344,14 @@ def _walk(node: Node, tag: str) -> Iterator[Node]:
                 yield from _walk(child, tag)
 
 
-def _cell(node: Node, shown: bool) -> list[str]:
-    page = _Page()
-    _render(node, page, shown, False)
+def _cell(node: Node, shown: bool, tables: int) -> Layout:
+    page = _Page(tables)
+    yield _render(node, page, shown, False)
     page.line()
     return page.lines
 
 
-def _table(table: Node, page: _Page, shown: bool) -> None:
+def _table(table: Node, page: _Page, shown: bool) -> Layout:
     """Captions and stray content first, then the rows: head, bodies, foot."""
     parts: dict[str, list] = {"thead": [], "tbody": [], "tfoot": []}
     for child in table.children:
@@ -350,7 +374,7 @@ def _table(table: Node, page: _Page, shown: bool) -> None:
                     page.write(entities.unescape(row))
         else:
             page.block(False)
-            _render(child if child.tag == "caption" else _wrap(child), page, show, False)
+            yield _render(child if child.tag == "caption" else _wrap(child), page, show, False)
             page.block(False)
     page.line()
     rows, widths, taken = [], Counter(), {}
@@ -369,7 +393,7 @@ def _table(table: Node, page: _Page, shown: bool) -> None:
             while taken.get(column, 0) > 0:
                 taken[column] -= 1
                 column += 1
-            lines = _cell(child if child.tag in ("td", "th") else _wrap(child), cell_show)
+            lines = yield _cell(child if child.tag in ("td", "th") else _wrap(child), cell_show, page.tables + 1)
             span = max(1, _number(child.attrs.get("colspan"), 1, 1000))
             deep = max(1, _number(child.attrs.get("rowspan"), 1, 65534))
             cells.append((column, span, lines))
@@ -410,7 +434,7 @@ def page_text(page: str | None) -> str:
     if not page:
         return ""
     out = _Page()
-    _render(parse(page.replace("\x00", "")), out, True, False)
+    _run(_render(parse(page.replace("\x00", "")), out, True, False))
     out.line()
     while out.lines and not out.lines[-1]:
         out.lines.pop()

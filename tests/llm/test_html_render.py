@@ -51,6 +51,31 @@ def test_odd_and_long_pages_take_linear_time(page):
     assert len(text) <= len(page) + 100_000
 
 
+@pytest.mark.parametrize("around", ["<b>" * 200, "<a name=x>" * 5_000, "<div>" * 200, "<span><font>" * 20_000])
+def test_depth_changes_nothing(around):
+    for page, text in [
+        ("<script>var s</script>a<style>p{}</style><textarea>t</textarea>", "a\nt"),
+        ("<p hidden>x</p><div style='display:none'>y<i>z</i></div>a<i hidden>w</i>", "a"),
+        ("<div style='visibility:hidden'>x<b style='visibility:visible'>b</b></div>", "b"),
+        ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d"),
+        ("<ol><li>a<li>b<ul><li>c</ul></ol>", "1. a\n2. b\n   - c"),
+        ("<pre>a\n  b</pre>", "a\n  b"),
+    ]:
+        assert page_text(around + page) == text
+    # End tags of inner elements end those, not the ones around.
+    assert page_text("<p hidden>" + around.replace("div", "u") + "<b>x</b><b>y</b>z</p>seen") == "seen"
+    assert page_text("<section hidden>" + around + "<section>x</section>y</section>seen") == "seen"
+
+
+@pytest.mark.parametrize("opening", ["<blockquote>", "<ul><li>", "<dl><dd>", "<table><tr><td>", "<i><table><tr><td><b>", "<select><option>", "<details open><summary>"])
+def test_no_depth_loses_words_or_takes_long(opening):
+    words = [f"w{i}" for i in range(2_000)]
+    page = "".join(f"{opening}{w} " for w in words) + "</i>" * 5_000
+    text = page_text(page)
+    assert [w for w in text.split() if w != "-"] == words
+    assert len(text) < 1_000 * len(words)
+
+
 def test_no_word_of_a_visible_page_is_lost():
     words = [f"w{i}" for i in range(400)]
     tags = ["<p>", "<div>", "<li>", "<td>", "<tr>", "<h2>", "<ul>", "</ul>", "</div>", "<table>", "</table>", "<b>", "</p>", "<dd>", "<pre>", "</pre>", "</td>"]
