@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import shingle_hashes, utf8, word_hashes, words
+from tallyglass.llm.common import shingle_hashes, stored, utf8, word_hashes, words
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -164,6 +164,8 @@ def _stretches(at: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str):
     """Broadcasts of at most about ``BLOCK_BYTES`` of item text each."""
     items = benchmark.select(F.col(id_column).alias("i"), utf8(text_column).alias("t")).where("i IS NOT NULL")
+    # An item counts once: copies of its row would share a block.
+    items = stored(items.distinct(), "items")
     total = items.agg(F.sum(F.length("t") + 16)).first()[0] or 0
     count = -(-total // BLOCK_BYTES)
     for block in range(count):

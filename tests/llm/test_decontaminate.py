@@ -110,6 +110,17 @@ def test_blocks_of_items_are_all_searched(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in hits.collect()} == {(i, i) for i in range(20)} and rest.count() == 0
 
 
+def test_repeated_items_count_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
+    same, other = " ".join(f"s{k}" for k in range(8)), " ".join(f"o{k}" for k in range(8))
+    items = [(1, same)] * 200 + [(2, other), (3, same)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    blocks = [block.value for block in D._blocks(b, "item_id", "text")]
+    assert sorted(row for block in blocks for row in block) == [(1, same.encode()), (2, other.encode()), (3, same.encode())]
+    hits, rest = found(spark, [(1, f"x {same}"), (2, other), (3, "clean")], items)
+    assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(1, 1), (1, 3), (2, 2)] and [r.doc_id for r in rest.collect()] == [3]
+
+
 def test_blocks_of_bits_miss_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(4)
     items = [(i, [f"a{i}b{k}".encode() for k in range(30)]) for i in range(50)]
