@@ -129,9 +129,20 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
        CASE WHEN page_id < kept THEN kept END AS refers_to
 FROM r"""
 
+_EXACT_DEDUP = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _url_filter(),
     "op3_ball_tree": _BALL_TREE,
     "op5_poisson_mix": _poisson_mix(),
     "op8_warc_bundles": _WARC_BUNDLES,
+    "op12_exact_dedup": _EXACT_DEDUP,
 }
