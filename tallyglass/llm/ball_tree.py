@@ -50,6 +50,8 @@ class BallTree:
                 order[a:b] = order[a:b][np.argsort(rows @ (q - p), kind="stable")]
                 todo += [(a, (a + b) // 2, node), ((a + b) // 2, b, node)]
         self.centres, self.radii = np.array(centres), np.array(radii)
+        # No coordinate sum of a node's rows, centre or radius is rounded by more than a few units in its last place.
+        self.reach = np.sqrt((self.centres**2).sum(axis=1)) + self.radii
         self.order, self.points, self.ids = order, points[order], ids[order]
         self.floats = self.points.astype(float)
         self.largest = np.abs(self.points.astype(object)).max() if self.points.size else 0
@@ -57,8 +59,10 @@ class BallTree:
     def search(self, queries: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """``(query id, vector id, score)`` of the k best (or all that can still be among them), own id aside."""
         q = queries.astype(float)
-        bounds = q @ self.centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * self.radii[None, :]
-        bounds += np.abs(bounds) * 1e-9 + 1e-3  # rounding must not hide a node
+        length = np.sqrt((q * q).sum(axis=1))[:, None]
+        bounds = q @ self.centres.T + length * self.radii[None, :]
+        # Rounding must not hide a node.  It goes by the terms of the sum, which may cancel, not by the sum.
+        bounds += (self.points.shape[1] + 8) * 2.0**-49 * length * self.reach[None, :]
         exact = int(np.abs(queries.astype(object)).max(initial=0)) * int(self.largest) * self.points.shape[1] < 1 << 53
         out = []
         for row, (query, own, floor) in enumerate(zip(queries, ids.tolist(), floors.tolist(), strict=True)):

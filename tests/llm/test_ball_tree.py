@@ -64,3 +64,17 @@ def test_search_stops_early():
     found = tree.search(points[:1], np.array([0]), np.array([ball_tree.NO_FLOOR]), 5)
     want = sorted(((-int(points[0] @ p), i) for i, p in enumerate(points) if i))[:5]
     assert sorted((-s, i) for _, i, s in found) == want
+
+
+def test_bounds_hold_where_large_terms_cancel():
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        groups = rng.integers(-9e8, 9e8, (8, 2))
+        groups[1::2] = groups[::2] + rng.integers(-2, 3, (4, 2))  # close to each other, far from the origin
+        query = np.array([-groups[0, 1], groups[0, 0]])  # nearly at right angles: what is left is small
+        points = np.repeat(groups, 200, axis=0)
+        ids = rng.permutation(len(points))
+        found = ball_tree.BallTree(points, ids).search(query[None, :], np.array([-1]), np.array([ball_tree.NO_FLOOR]), 10)
+        scores = points.astype(object) @ query.astype(object)
+        want = sorted(zip((-scores).tolist(), ids.tolist()))[:10]
+        assert sorted((-s, i) for _, i, s in found) == want
