@@ -97,11 +97,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
 # ---------------------------------------------------------------- bundles
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the place in it.  Hadoop's names of the S3 store mean Arrow's; other stores
+    have to be among those that Arrow knows (file, hdfs, s3, gs, abfs)."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
 class BundleWriter:
     """One file: frames as they fill, the seek table at the end."""
 
     def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         name = f"{uuid.uuid4().hex}.warc.zst"
         store.create_dir(root, recursive=True)
         self.path, self.name, self.frame_bytes = f"{folder.rstrip('/')}/{name}", name, frame_bytes
@@ -201,25 +207,45 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
     return records.sparkSession.read.schema(INDEX).parquet(path)
 
 
+def seek_tables(bundles: DataFrame) -> DataFrame:
+    """``path, frame_offset, frame_bytes`` of every frame of the bundles ``path``, from the ends of the files."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, place = store_of(path)
+                with store.open_input_file(place) as source:
+                    found = frames_of(source, source.size())
+                columns = [pa.array([path] * len(found), pa.string()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))]
+                yield pa.record_batch(columns, names=["path", "frame_offset", "frame_bytes"])
+
+    return bundles.select("path").distinct().mapInArrow(work, "path string, frame_offset long, frame_bytes long")
+
+
 def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, read frame by frame by their seek tables."""
+    """All records of the bundles that an index names, read frame by frame by their seek tables.
+
+    A row of work is a frame, not a bundle, and frames are dealt to a number of tasks that does not shrink because a
+    frame's name has few bytes: the tasks of the session, or one for each frame if there are fewer."""
+    spark = index.sparkSession
+    frames = stored(seek_tables(index), "frames")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
+            for path, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, place = store_of(path)
                 with store.open_input_file(place) as source:
-                    for at, packed, plain in frames_of(source, source.size()):
-                        source.seek(at)
-                        data = unpack.decompress(source.read(packed), max_output_size=plain)
-                        rows, offset = [], 0
-                        while offset < len(data):
-                            record, offset = parse_record(data, offset)
-                            rows.append([record[f.name] for f in _RECORD_ARROW])
-                        yield _batch(rows, _RECORD_ARROW)
+                    source.seek(at)
+                    data = unpack.decompress(source.read(packed))
+                rows, offset = [], 0
+                while offset < len(data):
+                    record, offset = parse_record(data, offset)
+                    rows.append([record[f.name] for f in _RECORD_ARROW])
+                yield _batch(rows, _RECORD_ARROW)
 
-    return index.select("path").distinct().repartition("path").mapInArrow(work, RECORD)
+    return frames.repartition(max(1, min(frames.count(), tasks)), "path", "frame_offset").mapInArrow(work, RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -231,7 +257,7 @@ def fetch(index: DataFrame) -> DataFrame:
             frames: dict[tuple, bytes] = {}
             for path, at, packed, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (path, at) not in frames:
-                    store, place = fs.FileSystem.from_uri(path)
+                    store, place = store_of(path)
                     with store.open_input_file(place) as source:
                         source.seek(at)
                         frames = {(path, at): unpack.decompress(source.read(packed))}

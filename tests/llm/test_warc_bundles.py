@@ -4,6 +4,7 @@ import io
 
 import pyarrow as pa
 import zstandard
+from pyspark.sql import functions as F
 
 from tallyglass.llm import warc_bundles as W
 from tallyglass.session import fresh_path
@@ -59,6 +60,25 @@ def test_bundles_are_plain_zstandard_and_seekable(spark):
     assert len(found) == 400 and all(found[r.record_id].page == r.page for r in index.collect())
 
 
+def test_a_bundle_is_read_by_many_tasks(spark):
+    """Also with adaptive execution, which would put frames' names into one partition."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 40) for i in range(600)]
+    index = W.write_bundles(W.with_revisits(frame(spark, rows).coalesce(1)), fresh_path(spark, "bundle-test"), frame_bytes=2000)
+    assert index.select("path").distinct().count() == 1
+    read = W.read_bundles(index).withColumn("task", F.spark_partition_id())
+    counts = {r.task: r["count"] for r in read.groupBy("task").count().collect()}
+    assert sum(counts.values()) == 600 and len(counts) == spark.sparkContext.defaultParallelism and max(counts.values()) < 300
+    spans = {(r.path, r.frame_offset, r.frame_bytes) for r in index.collect()}
+    assert {tuple(r) for r in W.seek_tables(index).collect()} == spans
+
+
+def test_names_of_stores(monkeypatch):
+    for path, want in (("s3a://b/x", "s3://b/x"), ("s3n://b/x", "s3://b/x"), ("/tmp/s3a://x", "/tmp/s3a://x")):
+        monkeypatch.setattr(W, "fs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(lambda p: p)})}))
+        assert W.store_of(path) == want
+
+
 def test_damage_is_noticed():
     data = W.record_bytes("<urn:x>", "1", "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     record, end = W.parse_record(data)
