@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,64 +22,85 @@ from tallyglass.llm.common import held_out, stored
 
 UNKNOWN = "und"
 LONGEST = 5
-# Bounds of the fitted model: documents and words for each language, words of all languages, n-grams for each
-# length.
+# Bounds of the fitted model, each for one language: documents learned from, words, and n-grams of each length.  A language
+# keeps its share whatever the others are; about 45,000 entries, a few MB, are added by each.
 DOCS_PER_LANGUAGE = 5_000
-WORDS_PER_LANGUAGE, WORDS = 30_000, 240_000
-GRAMS_PER_LENGTH = 20_000
+WORDS_PER_LANGUAGE = 20_000
+GRAMS_PER_LENGTH = 5_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# A word is a run of letters with the marks that combine with them.
+_ASCII_LETTERS = re.compile(r"[a-z]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(_LETTERS.findall(text.lower())) if text else Counter()
+    if not text:
+        return Counter()
+    lower = text.lower()
+    return Counter((_ASCII_LETTERS if lower.isascii() else _LETTERS).findall(lower))
 
 
-def grams_of(word: str, n: int) -> list[str]:
+def grams_of(word: str, n: int) -> Iterator[str]:
+    """Character n-grams of a marked word, one at a time: a word may be as long as a text."""
     marked = f"_{word}_"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
 class Model:
-    """``words`` and ``grams`` map to rows of ``weights`` (log frequencies, a column per language)."""
+    """``words`` and ``grams`` map to entries; an entry lists the languages that have it (``at``, from ``starts`` on) and how
+    far its log frequency there is above that of an entry never seen (``above``); ``floors`` are those, by length and language."""
 
-    def __init__(self, languages: list[str], entries: list[tuple[int, str, str, int]]):
-        """``entries``: length (0: a word), text, language and count."""
+    def __init__(self, languages: list[str], entries: pa.Table | list[tuple[int, str, str, int]]):
+        """``entries``: length (0: a word), text, language and count; sorted by length and text."""
         self.languages = languages
-        at = {lang: i for i, lang in enumerate(languages)}
-        keys = list(dict.fromkeys((n, text) for n, text, _, _ in entries))
-        rows = {key: i for i, key in enumerate(keys)}
-        counts = np.zeros((len(keys), len(languages)))
-        for n, text, lang, count in entries:
-            counts[rows[n, text], at[lang]] += count
-        lengths = np.array([n for n, _ in keys], np.int64)
-        for n in set(lengths.tolist()):
+        if not isinstance(entries, pa.Table):
+            kinds = [("n", pa.int32()), ("t", pa.string()), ("lang", pa.string()), ("c", pa.int64())]
+            entries = pa.Table.from_pylist([dict(zip("n t lang c".split(), e, strict=True)) for e in sorted(entries)], pa.schema(kinds))
+        code = {lang: i for i, lang in enumerate(languages)}
+        lengths = entries.column("n").to_numpy()
+        self.at = np.array([code[x] for x in entries.column("lang").to_pylist()], np.int32)
+        counts = entries.column("c").to_numpy().astype(float) + 0.5
+        texts = entries.column("t").to_pylist()
+        fresh = [i for i in range(len(texts)) if not i or texts[i] != texts[i - 1] or lengths[i] != lengths[i - 1]]
+        self.starts = np.array([*fresh, len(texts)], np.int64)
+        self.floors = np.zeros((LONGEST + 1, len(languages)))
+        kinds = np.array([lengths[i] for i in fresh], np.int64)
+        above = np.zeros(len(texts))
+        for n in range(LONGEST + 1):
             mine = lengths == n
-            part = counts[mine] + 0.5
-            counts[mine] = np.log(part / part.sum(axis=0))
-        self.weights = counts.astype(np.float32)
-        self.words = {text: i for (n, text), i in rows.items() if not n}
-        self.grams = {text: i for (n, text), i in rows.items() if n}
-
-    def fallback(self, word: str) -> list[int]:
+            total = np.bincount(self.at[mine], counts[mine] - 0.5, len(languages)) + 0.5 * (kinds == n).sum()
+            if mine.any():
+                self.floors[n] = np.log(0.5 / total)
+                above[mine] = np.log(counts[mine] / 0.5)
+        self.above = above.astype(np.float32)
+        self.kinds = kinds.astype(np.int8)
+        self.words = {texts[i]: k for k, i in enumerate(fresh) if not lengths[i]}
+        self.grams = {texts[i]: k for k, i in enumerate(fresh) if lengths[i]}
+
+    def fallback(self, word: str) -> Counter:
+        """The longest n-grams of a word that are known, and how often it has them."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if found := [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]:
+            if found := Counter(i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None):
                 return found
-        return []
+        return Counter()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text)
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        rows, shares = [], []
+        shares: dict[int, float] = {}
         for word, count in counts.items():
-            if (row := self.words.get(word)) is not None:
-                rows.append(row)
-                shares.append(count)
+            if (entry := self.words.get(word)) is not None:
+                shares[entry] = shares.get(entry, 0.0) + count
             elif found := self.fallback(word):
-                rows += found
-                shares += [count / len(found)] * len(found)
-        total = np.array(shares) @ self.weights[rows] if rows else np.zeros(len(self.languages))
+                each = count / found.total()
+                for entry, times in found.items():
+                    shares[entry] = shares.get(entry, 0.0) + each * times
+        entries, weights = np.fromiter(shares, np.int64, len(shares)), np.fromiter(shares.values(), float, len(shares))
+        total = np.bincount(self.kinds[entries], weights, LONGEST + 1) @ self.floors if len(shares) else np.zeros(len(self.languages))
+        first, sizes = self.starts[entries], self.starts[entries + 1] - self.starts[entries]
+        places = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        total = total + np.bincount(self.at[places], self.above[places] * np.repeat(weights, sizes), len(self.languages))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
@@ -104,20 +126,26 @@ def _grams(counts: DataFrame) -> DataFrame:
         for batch in batches:
             sums = Counter()
             for lang, word, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if len(word) <= 40:
-                    for n in range(1, LONGEST + 1):
-                        for g in grams_of(word, n):
-                            sums[n, g, lang] += c
+                for n in range(1, LONGEST + 1):
+                    for g in grams_of(word, n):
+                        sums[n, g, lang] += c
             n, gram, lang = zip(*sums, strict=True) if sums else ([], [], [])
             yield pa.record_batch([pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(lang, pa.string()), pa.array(list(sums.values()), pa.int64())], names=["n", "t", "lang", "c"])
 
-    return counts.select("lang", "word", "c").mapInArrow(work, "n int, t string, lang string, c long").groupBy("n", "t", "lang").agg(F.sum("c").alias("c"))
+    return counts.select("lang", "t", "c").mapInArrow(work, "n int, t string, lang string, c long").groupBy("n", "t", "lang").agg(F.sum("c").alias("c"))
+
 
+def _most(counts: DataFrame, limit: int) -> DataFrame:
+    """``n, t`` of the texts that are among the ``limit`` most frequent of their length in some language.
 
-def _most(counts: DataFrame, by: str, limit: int) -> DataFrame:
-    """The texts ``t`` with the largest counts for each value of ``by``."""
-    order = Window.partitionBy(by).orderBy(F.desc("c"), "t")
-    return counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
+    Counts are counted first, so that the least frequency that is kept is known without sorting any text; of those
+    with just this frequency a hash takes the share that still fits."""
+    levels = counts.groupBy("lang", "n", "c").agg(F.count("*").alias("m"))
+    down = Window.partitionBy("lang", "n").orderBy(F.desc("c"))
+    filled = levels.withColumn("before", F.coalesce(F.sum("m").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = filled.where(F.col("before") < limit).select("lang", "n", "c", F.least(F.lit(1.0), (limit - F.col("before")) / F.col("m")).alias("share"))
+    fits = F.pmod(F.xxhash64("t", F.lit(4)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    return counts.join(F.broadcast(stored(kept, "levels")), ["lang", "n", "c"]).where(fits).select("n", "t").distinct()
 
 
 def fit(
@@ -125,23 +153,20 @@ def fit(
     id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
 ) -> Model:
     """Learns from rows outside the held-out fold with a language, about ``docs_per_language`` of each
-    (all, if fewer), chosen by a hash of the id.  Only the bounded tables of words and n-grams come to
-    the driver."""
+    (all, if fewer), chosen by a hash of the id.  Of each language about ``words_per_language`` words and, for each
+    length, ``grams_per_length`` n-grams are kept, the most frequent; with them their counts in the other languages.  Only
+    these tables come to the driver."""
     rows = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column), F.lit(9)).alias("h"))
     # Written first: Spark then knows how small it is, and the texts need not move to be joined.
     sizes = stored(rows.groupBy("lang").count().withColumnRenamed("count", "n"), "languages")
     bound = F.lit(1 << 40) * docs_per_language / F.col("n")
     sample = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 40)) < bound).select("lang", "text")
-    counts = stored(_counted(sample), "words")
+    words = stored(_counted(sample).select(F.lit(0).alias("n"), F.col("word").alias("t"), "lang", "c"), "words")
+    grams = stored(_grams(words), "grams")
     languages = [r.lang for r in sizes.select("lang").orderBy("lang").collect()]
-    words_per_language = min(words_per_language, WORDS // max(len(languages), 1))
-    kept = _most(counts.where("c > 1").select("lang", F.col("word").alias("t"), "c"), "lang", words_per_language).select("t").distinct()
-    words = counts.withColumnRenamed("word", "t").join(kept, "t").select(F.lit(0).alias("n"), "t", "lang", "c")
-    grams = stored(_grams(counts), "grams")
-    top = _most(grams.groupBy("n", "t").agg(F.sum("c").alias("c")), "n", grams_per_length).select("n", "t")
-    entries = [tuple(r) for r in words.union(grams.join(top, ["n", "t"]).select("n", "t", "lang", "c")).orderBy("n", "t", "lang").collect()]
-    return Model(languages, entries)
+    kept = [counts.join(_most(counts, limit), ["n", "t"]).select("n", "t", "lang", "c") for counts, limit in ((words, words_per_language), (grams, grams_per_length))]
+    return Model(languages, kept[0].union(kept[1]).orderBy("n", "t", "lang").toArrow())
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:

@@ -1,4 +1,7 @@
+import math
 import os
+import random
+import re
 
 import pytest
 
@@ -33,11 +36,11 @@ def test_words_first_then_shorter_and_shorter_grams(model):
     assert longest("houses") == {"_hous", "house"}
     assert longest("xhou") == {"hou"}
     assert longest("zsz") == {"_", "s"}
-    assert model.fallback("qq") == [model.grams["_"]] * 2
+    assert model.fallback("qq") == {model.grams["_"]: 2}
     assert model.predict("houses")[0] == "en"
 
 
-@pytest.mark.parametrize("text", [None, "", " 12 3.4 _ !", "１２"])
+@pytest.mark.parametrize("text", [None, "", " 12 3.4 _ !", "１２", "½ ²³", "Ⅷ ①", "\u0301 \u093f"])
 def test_no_letter_is_undetermined(model, text):
     assert model.predict(text) == ("und", 0.0)
 
@@ -67,3 +70,76 @@ def test_held_out_rows_teach_nothing(spark):
     rows = [(i, "alpha beta" if held_out_fold(i) else "gamma delta", "xx" if held_out_fold(i) else "yy") for i in range(60)]
     model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["yy"] and "alpha" not in model.words and "gamma" in model.words
+
+
+def test_marks_stay_in_their_words():
+    assert L.words_of("हिन्दी भाषा") == {"हिन्दी": 1, "भाषा": 1}
+    assert L.words_of("Étude e\u0301tude x²y") == {"étude": 1, "e\u0301tude": 1, "x": 1, "y": 1}
+
+
+class Plain:
+    """Counting and backing off with dictionaries alone, without any bound."""
+
+    def __init__(self, rows):
+        self.langs = sorted({lang for _, lang in rows})
+        self.counts = {}
+        for text, lang in rows:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                marked = f"_{word}_"
+                for n in range(6):
+                    for t in [word] if n == 0 else [marked[i : i + n] for i in range(len(marked) - n + 1)]:
+                        self.counts.setdefault(n, {}).setdefault(t, dict.fromkeys(self.langs, 0))[lang] += 1
+
+    def log(self, n, t):
+        table = self.counts[n]
+        return [math.log((table[t][x] + 0.5) / (sum(v[x] for v in table.values()) + 0.5 * len(table))) for x in self.langs]
+
+    def predict(self, text):
+        total = [0.0] * len(self.langs)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            found = [(0, word)] if word in self.counts[0] else []
+            for n in range(5, 0, -1):
+                marked = f"_{word}_"
+                if not found:
+                    found = [(n, g) for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in self.counts[n]]
+            for n, t in found:
+                total = [a + b / len(found) for a, b in zip(total, self.log(n, t))]
+        odds = [math.exp(x - max(total)) for x in total]
+        best = odds.index(max(odds))
+        return self.langs[best], odds[best] / sum(odds)
+
+
+def test_against_a_plain_model(spark):
+    pick = random.Random(6)
+    parts = {"aa": ["the", "ing", "house", "zz"], "bb": ["das", "ung", "haus", "zz"], "cc": ["le", "tion", "maison", "é"]}
+    rows = []
+    for i in range(90):
+        lang = pick.choice(list(parts))
+        rows.append((i, " ".join("".join(pick.choices(parts[lang], k=pick.randint(1, 3))) for _ in range(8)), lang))
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = Plain([(t, lang) for i, t, lang in rows if not held_out_fold(i)])
+    asked = [t for _, t, _ in rows] + ["thehaus xyz", "houseung", "qqq", "maisons dasing 1"]
+    for text in asked:
+        lang, score = model.predict(text)
+        want = plain.predict(text)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-4)
+
+
+def test_a_small_language_keeps_its_entries_among_large_ones(spark):
+    pick = random.Random(7)
+    word = lambda letters: "".join(pick.choices(letters, k=6))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(30)), "big") for i in range(400)] + [(1000 + i, " ".join(word("abklmno") for _ in range(30)), "small") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, words_per_language=50, grams_per_length=200)
+    own = [g for g, entry in model.grams.items() if set(g) & set("klmno") and len(g) == 5]
+    assert 100 <= len(own) <= 260
+    assert len(model.words) <= 2 * 60  # about as many as asked for, of each language
+    assert all(model.predict(" ".join(word("abklmno") for _ in range(5)))[0] == "small" for _ in range(50))
+    assert model.predict(word("abcdefgh") + " " + word("cdefgh"))[0] == "big"
+
+
+def test_a_word_as_long_as_a_text(spark):
+    rows = [(i, "abcde" * 40_000, "aa") for i in range(4)] + [(10 + i, "vwxyz" * 10, "bb") for i in range(4)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"abcde", "eabcd"} <= set(model.grams)
+    assert model.predict("vw" + "abcde" * 100_000)[0] == "aa" and model.predict("xvwxyzv")[0] == "bb"
