@@ -1,4 +1,6 @@
-"""A corpus run, stage by stage: each stage works on the Parquet files that the one before it wrote."""
+"""A corpus run, stage by stage: each stage works on the Parquet files that the one before it wrote.
+
+Only the columns of ``documents`` (``COLUMNS``) go from stage to stage; others that the table may have are left behind."""
 
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id, of several texts under that id the one
-    with the smallest hash, of repeated rows any.  A row without an id stays only if its group has no id."""
+    with the smallest hash, of repeated rows the one whose other columns come first.  A row without an id stays only if its group has no id."""
     prepare(spark)
     key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h": F.xxhash64("text")}
     keyed = docs.select(*COLUMNS, *[c.alias(n) for n, c in key.items()])
@@ -35,8 +37,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keyed.join(marks.where("key <> component_id").select("key.*"), list(key), "left_anti")
     repeated = marks.where("key = component_id AND n > 1").select("key.*")
     if not repeated.isEmpty():
-        once = kept.join(repeated, list(key), "left_semi").dropDuplicates(list(key))
-        kept = kept.join(repeated, list(key), "left_anti").unionByName(once)
+        again = kept.join(repeated, list(key), "left_semi").groupBy(*key).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+        kept = kept.join(repeated, list(key), "left_anti").select(*COLUMNS).unionByName(again.select("row.*"))
     return kept.select(*COLUMNS)
 
 
