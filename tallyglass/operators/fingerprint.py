@@ -24,6 +24,19 @@ def row_hash(columns: list[str] = LOG_COLUMNS) -> Column:
     return F.expr(f"sha2(concat(concat_ws(' ', {lengths}), '\n', {values}), 256)")
 
 
+def word_sums(hashed: str) -> dict[str, str]:
+    """Aggregates that sum the eight 32-bit words of a hex digest, by name."""
+    return {
+        f"_w{w}": f"sum(CAST(conv(substring({hashed}, {8 * w + 1}, 8), 16, 10) AS DECIMAL(10,0)))" for w in range(_WORDS)
+    }
+
+
+def sealed(n_rows: str, sums: list[str]) -> Column:
+    """The fingerprint of a batch, given the number of its rows and the sums of its words."""
+    joined = ", ".join(f"coalesce(CAST({s} AS STRING), '')" for s in sums)
+    return F.expr(f"sha2(concat_ws('|', CAST({n_rows} AS STRING), {joined}), 256)")
+
+
 def batch_fingerprint(
     rows: DataFrame, by: list[str] | None = None, columns: list[str] = LOG_COLUMNS, hashed: Column | None = None
 ) -> DataFrame:
@@ -32,16 +45,10 @@ def batch_fingerprint(
     The eight 32-bit words of every row hash are summed and the sums hashed with the row count:
     order does not matter, a repeated row does, and the work is a plain partial aggregate, so a
     batch of any size never meets in one task."""
-    sums = [
-        f"CAST(sum(CAST(conv(substring(_hash, {8 * w + 1}, 8), 16, 10) AS DECIMAL(10,0))) AS STRING)"
-        for w in range(_WORDS)
-    ]
     marked = rows.select(*(by or []), (row_hash(columns) if hashed is None else hashed).alias("_hash"))
     grouped = marked.groupBy(*by) if by else marked.groupBy()
-    joined = ", ".join(f"coalesce({s}, '')" for s in sums)
     return grouped.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.expr(f"sha2(concat_ws('|', CAST(count(1) AS STRING), {joined}), 256)").alias("fingerprint"),
+        F.count(F.lit(1)).alias("n_rows"), sealed("count(1)", list(word_sums("_hash").values())).alias("fingerprint")
     )
 
 

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.times import utc
 from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, SUMMARY_COLUMNS
-from tallyglass.sources.querylog import scan_latest, shown, split_resolved
+from tallyglass.sources.querylog import scan_latest, shown
 
 # List limits, paging bounds, named ranges and sort keys.
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 5000
 API_MAX_LIMIT = 500
 API_MAX_OFFSET = 100_000
+# Stored versions looked at for one page before all are merged instead.
+MAX_CANDIDATES = 200_000
 CLI_DEFAULT_LIMIT = 20
 UI_PAGE_ROWS = 100
 UI_MAX_PAGES = 50
@@ -51,8 +54,6 @@ class QueryFilter:
     offset: int = 0
     # Continue behind a row: its sort value and its id.
     after: tuple | None = None
-    # Days with one version of every row (``table.resolved_days``): not merged.
-    resolved: tuple[date, ...] = ()
 
 
 # --- filters -------------------------------------------------------------------------------
@@ -175,28 +176,75 @@ def _equal_filters(df: DataFrame, f: QueryFilter) -> DataFrame:
     return filter_state(filter_catalog(filter_user(df, f.user), f.catalog), f.state)
 
 
+def _bounded(log: DataFrame, f: QueryFilter) -> DataFrame:
+    return filter_until(filter_since(log, f.since), f.until)
+
+
 def filtered_summaries(log: DataFrame, f: QueryFilter) -> DataFrame:
     """Current summaries that pass the filter.
 
     Time bounds are part of the version key and go below the merge.  User, catalog and state must hold for
     the current version, but some stored version has to pass them too: those are found first, by a filter that
-    reaches the scan, and only the versions of their keys are merged.  In resolved days the filter is all."""
-    bounded = filter_until(filter_since(log, f.since), f.until)
-    if f.resolved:
-        settled, rest = split_resolved(bounded, f.resolved)
-        merged = filtered_summaries(rest, replace(f, resolved=()))
-        return shown(_equal_filters(settled, f), SUMMARY_COLUMNS).unionByName(merged)
+    reaches the scan, and only the versions of their keys are merged."""
+    bounded = _bounded(log, f)
     if f.user.strip() or f.catalog.strip() or f.state:
         keys = _equal_filters(bounded, f).select(*ROW_KEY).distinct()
         bounded = bounded.join(keys, ROW_KEY, "left_semi")
     return _equal_filters(scan_latest(bounded, SUMMARY_COLUMNS), f)
 
 
+def _behind(df: DataFrame, f: QueryFilter) -> DataFrame:
+    return df if f.after is None else rows_after(df, f.sort, f.desc, *f.after)
+
+
+def _ahead(row: dict, other: dict, column: str, desc: bool) -> bool:
+    """Whether a row stands before another in the order of ``order_columns``."""
+    if (row[column] is None) != (other[column] is None):
+        return other[column] is None
+    mine, theirs = (row[column], row["query_id"]), (other[column], other["query_id"])
+    if row[column] is None:
+        mine, theirs = mine[1:], theirs[1:]
+    return mine > theirs if desc else mine < theirs
+
+
+def _last(rows: pa.Table) -> dict:
+    return rows.slice(rows.num_rows - 1).to_pylist()[0]
+
+
+def candidate_page(log: DataFrame, f: QueryFilter, wanted: int, candidates: int | None = None) -> DataFrame | None:
+    """The first ``wanted`` rows of a list, in order, without merging the versions of all others; None if too many
+    candidates would be needed.  Runs its jobs when called.
+
+    A current row is one of the stored ones, so none can stand before the best stored version of its key.  The first
+    ``candidates`` stored versions are taken, the versions of their keys merged, and if the last row wanted stands before
+    the last candidate, no key that was not seen can come in between.  Else, as where superseded versions crowd the
+    front, eight times as many are taken.  The driver holds keys and rows of a page, no more."""
+    spark, order = log.sparkSession, order_columns(f.sort, f.desc)
+    column = SORT_COLUMNS.get(f.sort, "create_time")
+    bounded = _bounded(log, f)
+    stored = _behind(shown(_equal_filters(bounded, f), list(dict.fromkeys([column, "create_time", "query_id"]))), f)
+    n = candidates or 2 * wanted + 64
+    while n <= MAX_CANDIDATES:
+        first = stored.orderBy(*order).limit(n).toArrow()
+        keys = spark.createDataFrame(first.select(ROW_KEY)).distinct()
+        merged = scan_latest(bounded.join(F.broadcast(keys), ROW_KEY, "left_semi"), SUMMARY_COLUMNS)
+        page = _behind(_equal_filters(merged, f), f).select(*SUMMARY_COLUMNS).orderBy(*order).limit(wanted).toArrow()
+        if first.num_rows < n or (page.num_rows == wanted and _ahead(_last(page), _last(first), column, f.desc)):
+            return spark.createDataFrame(page)
+        n *= 8
+    return None
+
+
 def list_queries(log: DataFrame, f: QueryFilter) -> DataFrame:
-    rows = filtered_summaries(log, f).select(*SUMMARY_COLUMNS)
-    if f.after is not None:
-        rows = rows_after(rows, f.sort, f.desc, *f.after)
-    return take_page(rows, order_columns(f.sort, f.desc), store_limit(f.limit), f.offset)
+    """A page of the list.  Pages that start within the first few thousand rows are found by ``candidate_page``, at the
+    cost of their own rows; deeper ones merge all versions the filter leaves."""
+    order, limit = order_columns(f.sort, f.desc), store_limit(f.limit)
+    if f.offset + limit <= MAX_LIMIT + UI_PAGE_ROWS * UI_MAX_PAGES:
+        page = candidate_page(log, f, f.offset + limit)
+        if page is not None:
+            return take_page(page, order, limit, f.offset)
+    rows = _behind(filtered_summaries(log, f), f).select(*SUMMARY_COLUMNS)
+    return take_page(rows, order, limit, f.offset)
 
 
 def list_page(log: DataFrame, f: QueryFilter, page_rows: int, last_page: bool = False) -> DataFrame:

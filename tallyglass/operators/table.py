@@ -1,31 +1,23 @@
 """The query-log table: definition, append, retention, compaction.
 
-The table is a day-partitioned Parquet table in the session catalog.  Rows are only ever added by
-appends and removed by dropping whole days; compaction replaces files one by one.  Times are UTC, whatever
-zone a bound is given in."""
+The table is a day-partitioned Parquet table in the session catalog.  Rows are added by appends, and removed by dropping
+or rewriting whole days.  Times are UTC, whatever zone a bound is given in."""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions.times import partition_id, utc
-from tallyglass.operators.versions import latest_version
+from tallyglass.operators.versions import latest_of_few, repeated_keys
 from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, TABLE_SCHEMA
 from tallyglass.session import fresh_path
 
 # Fixed value: files below this size are worth rewriting.
 SMALL_FILE_BYTES = 64 << 20
-TARGET_FILE_BYTES = 256 << 20
-DAYS_AT_ONCE = 8
-# Files that together hold one version of every row of a day are named so, with a mark they share.
-RESOLVED = re.compile(r"resolved-([0-9a-f]{32})-")
 
 _FILE_OPTIONS = {
     "compression": "zstd",
@@ -57,9 +49,73 @@ def clustered(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*ROW_KEY)
 
 
+def _shaped(rows: DataFrame, table: str) -> DataFrame:
+    """The columns of a table in its order; NULL where the rows lack one."""
+    target = rows.sparkSession.table(table).schema
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target])
+
+
 def append_log(rows: DataFrame, table: str) -> None:
-    columns = rows.sparkSession.table(table).columns
-    clustered(rows.select(*columns)).write.insertInto(table)
+    clustered(_shaped(rows, table)).write.insertInto(table)
+
+
+# --- rewriting days ------------------------------------------------------------------------
+
+
+def _day_files(spark: SparkSession, table: str, days: Column) -> DataFrame:
+    """File and size of every file of the days: (create_date, path, size).  Reads no column."""
+    spark.catalog.refreshTable(table)
+    log = spark.table(table).where(days)
+    found = log.select(PARTITION_COLUMN, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    return found.distinct()
+
+
+def _state(spark: SparkSession, table: str, days: list[date]) -> dict[date, tuple]:
+    """What tells whether a day has other files than before: one row a day."""
+    files = _day_files(spark, table, F.col(PARTITION_COLUMN).isin(days))
+    summed = files.groupBy(PARTITION_COLUMN).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path")).alias("h"))
+    return {r[0]: tuple(r[1:]) for r in summed.collect()}
+
+
+def rewrite_days(spark: SparkSession, table: str, days: list[date], change: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> list[date]:
+    """Replace the rows of whole days by what ``change`` makes of them; no other day is touched.  Returns the days done.
+
+    The new rows are written to the shared folder first, then put in place of the days by a dynamic partition overwrite, one
+    job over all of them.  A day that got rows in between is left as it is for another run.  While the second job
+    commits nobody else may write to these days; should it be broken off, the rows are in the shared folder."""
+    if not days:
+        return []
+    before = _state(spark, table, days)
+    log = spark.table(table)
+    staged = fresh_path(spark, "rewritten")
+    change(log.where(F.col(PARTITION_COLUMN).isin(days))).select(*log.columns).write.parquet(staged)
+    after = _state(spark, table, days)
+    same = [day for day in days if before.get(day) == after.get(day)]
+    rows = spark.read.schema(log.schema).parquet(staged).where(F.col(PARTITION_COLUMN).isin(same))
+    left = {r[0] for r in rows.select(PARTITION_COLUMN).distinct().collect()}
+    if left:
+        overwrite_partitions(clustered(rows), table)
+    drop_days(spark, table, [day for day in same if day not in left])
+    spark.catalog.refreshTable(table)
+    return same
+
+
+def overwrite_partitions(rows: DataFrame, table: str) -> None:
+    """Put rows in place of just those partitions they belong to.  (The mode is a setting of the session: an insert by
+    name takes no options.)"""
+    conf, key = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(key, before)
+
+
+def drop_days(spark: SparkSession, table: str, days: list[date]) -> None:
+    if days:
+        specs = ", ".join(f"PARTITION ({PARTITION_COLUMN} = DATE '{d}')" for d in days)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
 
 
 # --- retention -----------------------------------------------------------------------------
@@ -104,12 +160,16 @@ def partition_days(spark: SparkSession, table: str, before: date | None = None)
     return [row[0] for row in list_partitions(spark, table, before).collect()]
 
 
-def prune(spark: SparkSession, table: str, cutoff: datetime) -> list[date]:
-    """Drop every day before the cutoff's day; a cutoff inside a day keeps that day whole."""
-    old = partition_days(spark, table, before=utc(cutoff).date())
-    if old:
-        specs = ", ".join(f"PARTITION ({PARTITION_COLUMN} = DATE '{d}')" for d in old)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+def prune(spark: SparkSession, table: str, cutoff: datetime, exact: bool = False) -> list[date]:
+    """Drop every day before the cutoff's day.  A cutoff inside a day keeps that day whole, unless ``exact``: then its
+    rows before the cutoff go too, by rewriting that one day.  Returns the days that lost rows."""
+    day = utc(cutoff).date()
+    old = partition_days(spark, table, before=day)
+    drop_days(spark, table, old)
+    if exact:
+        early = spark.table(table).where((F.col(PARTITION_COLUMN) == F.lit(day)) & (F.col("create_time") < F.lit(utc(cutoff))))
+        if not early.isEmpty():
+            old += rewrite_days(spark, table, [day], lambda rows: retained_rows(rows, cutoff))
     return old
 
 
@@ -121,108 +181,27 @@ def compaction_window(now: datetime, days: int) -> datetime:
     return _utc_midnight(now) - timedelta(days=max(days, 1) - 1)
 
 
-def _files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """Data files of a folder and their bytes, as the file system lists them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    found = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile()]
-    return sorted((p, n) for p, n in found if not p.rsplit("/", 1)[-1].startswith(("_", ".")))
-
-
-def _folder(spark: SparkSession, table: str, day: date | None = None) -> str:
-    part = f" PARTITION ({PARTITION_COLUMN} = DATE '{day}')" if day else ""
-    described = spark.sql(f"DESCRIBE FORMATTED {table}{part}")
-    return described.where("col_name = 'Location'").first()["data_type"]
-
-
-def _swap(spark: SparkSession, added: str, folder: str, replaced: list[str], prefix: str = "") -> None:
-    """Move finished files into a day, then delete exactly the files they replace.  Between the two a reader may
-    see rows twice, under equal versions; it never misses one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    as_path = spark._jvm.org.apache.hadoop.fs.Path
-    for name, _ in _files(spark, added):
-        if not store.rename(as_path(name), as_path(target, prefix + name.rsplit("/", 1)[-1])):
-            raise RuntimeError(f"could not move {name} to {folder}")
-    for name in replaced:
-        store.delete(as_path(name), False)
-
-
-def _mark(path: str) -> str | None:
-    found = RESOLVED.match(path.rsplit("/", 1)[-1])
-    return found and found[1]
-
-
-def resolved_days(spark: SparkSession, table: str, since: datetime | None = None) -> list[date]:
-    """Days all of whose files come from one run that resolved versions.  Lists files and reads no row.  After an append,
-    or a rewrite that was broken off, a day has other files too and is not among them; so ask again for each read."""
-    log = spark.table(table)
-    if since is not None:
-        log = log.where(F.col(PARTITION_COLUMN) >= F.lit(utc(since).date()))
-    marks: dict[date, set] = {}
-    for path in log.inputFiles():
-        day = date.fromisoformat(path.rsplit(f"{PARTITION_COLUMN}=", 1)[1].split("/", 1)[0])
-        marks.setdefault(day, set()).add(_mark(path))
-    return sorted(day for day, found in marks.items() if len(found) == 1 and None not in found)
-
-
-def _rewrite(spark: SparkSession, table: str, days: list[date], choose: Callable, resolve: bool, target_bytes: int) -> list[date]:
-    """Replace of each day the files that ``choose`` picks of its list of names and sizes."""
-    root, schema = _folder(spark, table), spark.table(table).schema
-
-    def one(day: date) -> date | None:
-        folder = _folder(spark, table, day)
-        chosen = choose(_files(spark, folder))
-        if not chosen:
-            return None
-        names = [p for p, _ in chosen]
-        rows = spark.read.schema(schema).option("basePath", root).parquet(*names)
-        if resolve:
-            rows = latest_version(rows)
-        n_files = -(-sum(n for _, n in chosen) // target_bytes)
-        laid_out = rows.repartitionByRange(n_files, *ROW_KEY).sortWithinPartitions(*ROW_KEY)
-        staged = fresh_path(spark, "compacted")
-        laid_out.drop(PARTITION_COLUMN).write.options(**_FILE_OPTIONS).parquet(staged)
-        _swap(spark, staged, folder, names, f"resolved-{uuid.uuid4().hex}-" if resolve else "")
-        return day
-
-    with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:  # a day is a job of its own
-        done = [day for day in pool.map(one, days) if day]
-    if done:
-        spark.catalog.refreshTable(table)
-    return done
+def fragmented_days(spark: SparkSession, table: str, since: datetime, small_bytes: int = SMALL_FILE_BYTES) -> list[date]:
+    """Days from ``since`` on with at least two files below ``small_bytes``."""
+    files = _day_files(spark, table, F.col(PARTITION_COLUMN) >= F.lit(utc(since).date()))
+    small = files.groupBy(PARTITION_COLUMN).agg(F.count_if(F.col("size") < small_bytes).alias("n")).where("n > 1")
+    return sorted(r[0] for r in small.collect())
 
 
 def compact(
-    spark: SparkSession,
-    table: str,
-    since: datetime,
-    small_bytes: int = SMALL_FILE_BYTES,
-    target_bytes: int = TARGET_FILE_BYTES,
-    resolve_versions: bool = False,
+    spark: SparkSession, table: str, since: datetime, small_bytes: int = SMALL_FILE_BYTES, resolve_versions: bool = False
 ) -> list[date]:
-    """Rewrite the small files of each day from ``since`` on that has at least two of them, into evenly sized
-    files with disjoint time ranges.
-
-    Planning lists files and reads no row.  Only the listed files are read and replaced: larger ones keep
-    their place, and files appended meanwhile are neither read nor touched.  The row multiset stays as it was
-    unless ``resolve_versions`` drops superseded versions, which takes all files of such a day."""
-    first = utc(since).date()
-
-    def choose(listed: list[tuple[str, int]]) -> list[tuple[str, int]]:
-        small = [(p, n) for p, n in listed if n < small_bytes]
-        return [] if len(small) < 2 else listed if resolve_versions else small
+    """Rewrite the days from ``since`` on that have small files, each into few files sorted by time.  The rows stay as they
+    were, unless ``resolve_versions`` drops superseded versions."""
+    days = fragmented_days(spark, table, since, small_bytes)
+    return rewrite_days(spark, table, days, latest_of_few if resolve_versions else lambda rows: rows)
 
-    days = [day for day in partition_days(spark, table) if day >= first]
-    return _rewrite(spark, table, days, choose, resolve_versions, target_bytes)
 
-
-def resolve_days(
-    spark: SparkSession, table: str, since: datetime, before: datetime, target_bytes: int = TARGET_FILE_BYTES
-) -> list[date]:
-    """Drop superseded versions from each day from ``since`` on and before the day of ``before`` that is not resolved yet.
-    Meant for days that are over: reads of a resolved day merge nothing, until rows are appended to it again."""
-    first = utc(since).date()
-    known = set(resolved_days(spark, table, since))
-    days = [day for day in partition_days(spark, table, utc(before).date()) if day >= first and day not in known]
-    return _rewrite(spark, table, days, lambda listed: listed, True, target_bytes)
+def resolve_days(spark: SparkSession, table: str, since: datetime, before: datetime) -> list[date]:
+    """Drop superseded versions from the days from ``since`` on and before the day of ``before``.  Only days with a key
+    of several versions are rewritten; reads of such a day then find no key to merge."""
+    log = spark.table(table).where(
+        (F.col(PARTITION_COLUMN) >= F.lit(utc(since).date())) & (F.col(PARTITION_COLUMN) < F.lit(utc(before).date()))
+    )
+    days = sorted(r[0] for r in repeated_keys(log, [PARTITION_COLUMN]).select(PARTITION_COLUMN).distinct().collect())
+    return rewrite_days(spark, table, days, latest_of_few)

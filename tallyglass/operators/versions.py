@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.schema import ROW_KEY, VERSION_COLUMNS
 
+# Bits of the map of repeated keys: 32 MiB at most, however many rows and days there are.
+MAP_BITS = 1 << 28
+# Fixed value: bits of one bitmap_construct_agg.
+BUCKET_BITS = 32_768
+
 
 def _keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     # max_by merges inside every map task first, so a key that holds a third of all rows
@@ -33,3 +38,45 @@ def latest_version(rows: DataFrame) -> DataFrame:
     """One row per ``(create_time, query_id)``: the last ingested.  The day is part of the key,
     so versions never merge across partitions and a day filter reaches the scan."""
     return _keep_last(rows, ROW_KEY, VERSION_COLUMNS)
+
+
+# --- wide rows: only keys with several versions are merged ----------------------------------
+
+
+def repeated_keys(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Hashes of the keys with more than one row, with the columns ``by`` (of the key).  A plain count over eight
+    bytes a row: no payload is read, and a key with many rows leaves a task as one."""
+    counted = rows.select(*by, F.xxhash64(*ROW_KEY).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("n > 1").select(*by, "h")
+
+
+def repeated_map(rows: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """The repeated keys as a map of ``bits`` bits in buckets of 4 KiB: ``bucket, repeated``.  Buckets without a
+    repeated key are left out, so the map is never larger than ``bits / 8`` bytes and empty without resends."""
+    place = repeated_keys(rows).select(F.expr(f"pmod(h, {bits}L)").alias("p"))
+    split = place.selectExpr(f"p div {BUCKET_BITS} AS bucket", f"p % {BUCKET_BITS} AS bit")
+    return split.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("repeated"))
+
+
+def _is_set() -> Column:
+    """Whether the bit ``_p`` of the bucket at hand is set."""
+    byte = f"conv(hex(substring(repeated, CAST((_p % {BUCKET_BITS}) div 8 AS INT) + 1, 1)), 16, 10)"
+    return F.expr(f"coalesce(getbit(CAST({byte} AS BIGINT), CAST(_p % 8 AS INT)) = 1, false)")
+
+
+def split_by_versions(rows: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is theirs alone, and all others (with rows that share a bit by chance).
+
+    The map is sent to the scan, whose rows go on without an exchange.  Its size is fixed; the more keys have several
+    versions, the more of the rest share a bit with them, up to all rows, which is the plain merge."""
+    marks = F.broadcast(repeated_map(rows, bits))
+    placed = rows.withColumn("_p", F.expr(f"pmod(xxhash64({', '.join(ROW_KEY)}), {bits}L)"))
+    met = placed.join(marks, F.expr(f"_p div {BUCKET_BITS} = bucket"), "left")
+    return met.where(~_is_set()).select(*rows.columns), met.where(_is_set()).select(*rows.columns)
+
+
+def latest_of_few(rows: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """The rows of ``latest_version``, of which only keys with several versions are shuffled: for wide rows, which
+    cost more to move than their keys cost to count."""
+    alone, several = split_by_versions(rows, bits)
+    return alone.unionByName(latest_version(several))

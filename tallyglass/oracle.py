@@ -326,7 +326,7 @@ def _limits() -> str:
         parts += [(f"{door}:{text}", k, 0) for door, k in (("store", store), ("cli", cli), ("api", api))] + [(f"offset:{text}", 5000, offset)]
     rows = ", ".join(f"('{case}', {limit}, {offset})" for case, limit, offset in parts)
     return log(
-        "SELECT asked, CAST(greatest(least((SELECT count(*) FROM latest WHERE catalog = 'hive') - o, l), 0) AS BIGINT) AS n "
+        "SELECT asked, CAST(greatest(least((SELECT count(*) FROM latest) - o, l), 0) AS BIGINT) AS n "
         f"FROM (VALUES {rows}) x(asked, l, o)"
     )
 
@@ -339,6 +339,16 @@ def _upkeep(name: str, back) -> str:
     return log(" UNION ALL ".join(parts))
 
 
+# Counters of three flushes: first sendings, resends, first sendings again.
+_FLUSHED = (
+    "SELECT 'events_received' AS counter, count(*) + count(*) FILTER (WHERE v = 0) AS n FROM sent UNION ALL "
+    "SELECT 'events_invalid', count(*) FROM sent WHERE status IN ('malformed', 'invalid') UNION ALL "
+    "SELECT 'events_suppressed', count(*) FROM sent WHERE status = 'suppressed' UNION ALL "
+    "SELECT 'rows_enqueued', count(*) FROM sent WHERE status = 'accepted' UNION ALL "
+    "SELECT 'rows_flushed', count(*) FROM sent WHERE status = 'accepted' UNION ALL SELECT 'batches_flushed', 2 UNION ALL "
+    "SELECT 'events_repeated', count(*) FROM sent WHERE v = 0"
+)
+
 _PLAIN = f"""{_DOCS},
 sent AS (
   SELECT *, unnest(CASE WHEN i % 50 = 0 THEN [CAST(0 AS BIGINT), CAST(2 AS BIGINT)]
@@ -556,6 +566,7 @@ def oracle_sql() -> dict[str, str]:
         "retention_cutoff": _upkeep("kept_at", lambda days: days),
         "retained_rows": log(f"SELECT {_SHORT} FROM log WHERE create_time >= {_ts(G.CUTOFF)}"),
         "prune": log(f"SELECT {_SHORT}, create_date FROM log WHERE create_date >= DATE '2024-01-19'"),
+        "prune_exact": log(f"SELECT {_SHORT} FROM log WHERE create_time >= {_ts(G.CUTOFF)}"),
         "compaction_window": _upkeep("run_at", lambda days: max(days, 1) - 1),
         "compact": log(f"SELECT {_SHORT}, create_date FROM log"),
         "scan_resolved": log(f"SELECT {_SUMMARY} FROM latest"),
@@ -564,15 +575,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_small_batches": _plain_current(),
         "stream_one_batch": _plain_current(),
         "flush_batches": _plain_current(),
-        "late_data": log("SELECT create_date, count(*) AS n, CAST(sum(wall_ms) AS BIGINT) AS wall_ms FROM log WHERE v = 0 GROUP BY create_date"),
-        "flush_counters": _with(
+        "late_data": log("SELECT create_date, count(*) AS n, CAST(sum(wall_ms) AS BIGINT) AS wall_ms FROM latest GROUP BY create_date"),
+        "flush_counters": _with(_SENT, _FLUSHED),
+        "ledger_counters": _with(_SENT, f"{_FLUSHED} UNION ALL SELECT 'batches_failed', 0"),
+        "flush_by_events": log(f"SELECT {', '.join(G._CURRENT)} FROM latest"),
+        "flush_sizes": _with(
             _SENT,
-            "SELECT 'events_received' AS counter, count(*) + count(*) FILTER (WHERE v = 0) AS n FROM sent UNION ALL "
-            "SELECT 'events_invalid', count(*) FROM sent WHERE status IN ('malformed', 'invalid') UNION ALL "
-            "SELECT 'events_suppressed', count(*) FROM sent WHERE status = 'suppressed' UNION ALL "
-            "SELECT 'rows_enqueued', count(*) FROM sent WHERE status = 'accepted' UNION ALL "
-            "SELECT 'rows_flushed', count(*) FROM sent WHERE status = 'accepted' UNION ALL SELECT 'batches_flushed', 2 UNION ALL "
-            "SELECT 'events_repeated', count(*) FROM sent WHERE v = 0",
+            "SELECT k AS number, least(third, total - k * third) AS n_events FROM "
+            "(SELECT count(*) AS total, (count(*) + 2) // 3 AS third FROM sent), range(0, 3) r(k) WHERE k * third < total",
         ),
         "stored_rejects": _with(
             _SENT, "SELECT status, v AS number, count(*) AS n FROM sent WHERE status IN ('malformed', 'invalid') GROUP BY status, v"

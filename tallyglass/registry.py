@@ -22,7 +22,7 @@ from tallyglass.operators import listing as L
 from tallyglass.operators import lookup as LK
 from tallyglass.operators import table as TB
 from tallyglass.operators.fingerprint import batch_fingerprint
-from tallyglass.operators.versions import dedupe_batch, latest_version
+from tallyglass.operators.versions import dedupe_batch, latest_of_few, latest_version
 from tallyglass.plans import hotspots as H
 from tallyglass.plans import reports as R
 from tallyglass.schema import (
@@ -434,15 +434,23 @@ def _counted(parts: list[tuple[str, DataFrame]], name: str, counts: dict[str, Co
 
 @query
 def limit_clamp(spark, sf_dir):
-    """How many rows a list shows that is asked for these limits and offsets, by each of its doors."""
-    log = _log(spark, sf_dir).where(F.col("catalog") == "hive")
-    parts = []
+    """How many rows a list of the whole log shows that is asked for these limits and offsets, by each of its doors.
+    The versions are merged once; every page is cut out of that."""
+    asked = []
     for text in LIMIT_CASES:
         n = L._int64(text)
-        asked = {"store": n or 0, "cli": L.cli_limit(n), "api": L.api_limit(text)}
-        parts += [(f"{door}:{text}", L.list_queries(log, L.QueryFilter(limit=k))) for door, k in asked.items()]
-        parts.append((f"offset:{text}", L.list_queries(log, L.QueryFilter(limit=L.MAX_LIMIT, offset=L.api_offset(text)))))
-    return _counted(parts, "asked")
+        doors = {"store": L.store_limit(n or 0), "cli": L.store_limit(L.cli_limit(n)), "api": L.store_limit(L.api_limit(text))}
+        asked += [(f"{door}:{text}", k, 0) for door, k in doors.items()]
+        asked.append((f"offset:{text}", L.MAX_LIMIT, L.api_offset(text)))
+    current = fresh_path(spark, "current")
+    L.filtered_summaries(_log(spark, sf_dir), L.QueryFilter()).select("create_time", "query_id").write.parquet(current)
+    rows, order = spark.read.parquet(current), L.order_columns("", False)
+    pages = [
+        L.take_page(rows, order, k, o).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), F.lit(o).alias("o"), "n")
+        for k, o in sorted({(k, o) for _, k, o in asked})
+    ]
+    cases = spark.createDataFrame(asked, "asked string, k int, o int")
+    return cases.join(reduce(DataFrame.union, pages), ["k", "o"]).select("asked", "n")
 
 
 @query
@@ -729,6 +737,13 @@ def prune(spark, sf_dir):
     return spark.table(table).select(*_SHORT, "create_date")
 
 
+@query
+def prune_exact(spark, sf_dir):
+    table = _narrow_table(spark, sf_dir, "pruned_exactly", flushes=2)
+    TB.prune(spark, table, CUTOFF, exact=True)
+    return spark.table(table).select(*_SHORT)
+
+
 @query
 def compaction_window(spark, sf_dir):
     """The rows of the days that a compaction run at these times looks at."""
@@ -752,10 +767,10 @@ def compact_and_resolve(spark, sf_dir):
 
 @query
 def scan_resolved(spark, sf_dir):
-    """Current rows of a log whose later days are resolved, so that only the earlier ones are merged."""
+    """Current rows of a log whose later days are resolved, so that only the earlier ones have keys to merge."""
     table = _narrow_table(spark, sf_dir, "half_resolved", flushes=2)
     TB.resolve_days(spark, table, datetime(2024, 1, 5), datetime(2024, 1, 24))
-    return Q.scan_latest(spark.table(table), SUMMARY_COLUMNS, TB.resolved_days(spark, table)).select(*SUMMARY_COLUMNS)
+    return Q.shown(latest_of_few(spark.table(table)), SUMMARY_COLUMNS).select(*SUMMARY_COLUMNS)
 
 
 # --- streaming -----------------------------------------------------------------------------
@@ -789,6 +804,19 @@ def stream_one_batch(spark, sf_dir):
     return _two_streams(spark, sf_dir, max_files=1000)
 
 
+@query
+def flush_by_events(spark, sf_dir):
+    """One micro-batch of everything, flushed after every third of its events: current rows as from one flush."""
+    table = T.cut_table(spark, sf_dir)
+    return Q.scan_latest(spark.table(table), _CURRENT).select(*_CURRENT)
+
+
+@query
+def flush_sizes(spark, sf_dir):
+    table = T.cut_table(spark, sf_dir)
+    return spark.table(S.ledger_name(table)).where("state = 'done'").select("number", "n_events")
+
+
 @query
 def flush_batches(spark, sf_dir):
     table = TB.create_log_table(spark, T.new_table_name(spark, "batches"))
@@ -799,13 +827,14 @@ def flush_batches(spark, sf_dir):
 
 @query
 def late_data(spark, sf_dir):
-    """Events of past days, flushed after newer ones, land in their own days."""
+    """Events of past days, flushed after newer ones, land in their own days; their resends come last of all."""
     table = TB.create_log_table(spark, T.new_table_name(spark, "late"))
-    lines = read_events(spark, f"{T.landing(spark, sf_dir)}/v=0")
+    sent, resent = (read_events(spark, f"{T.landing(spark, sf_dir)}/v={v}") for v in (0, 1))
     is_late = F.coalesce(F.get_json_object("value", "$.createTime") < "2024-01-15", F.lit(False))
-    for part in (~is_late, is_late):
-        S.flush_batch(lines.where(part), table, T.OPTIONS)
-    return spark.table(table).groupBy("create_date").agg(F.count(F.lit(1)).alias("n"), F.sum("wall_ms").alias("wall_ms"))
+    for lines in (sent.union(resent).where(~is_late), sent.where(is_late), resent.where(is_late)):
+        S.flush_batch(lines, table, T.OPTIONS)
+    current = Q.scan_latest(spark.table(table), ["wall_ms"])
+    return current.groupBy("create_date").agg(F.count(F.lit(1)).alias("n"), F.sum("wall_ms").alias("wall_ms"))
 
 
 @query
@@ -825,6 +854,12 @@ def flush_counters(spark, sf_dir):
     return spark.table(f"{T.flushed_table(spark, sf_dir)}_counters")
 
 
+@query
+def ledger_counters(spark, sf_dir):
+    """Totals over all runs, from the ledger alone."""
+    return S.ledger_counters(spark, T.flushed_table(spark, sf_dir))
+
+
 @query
 def stored_rejects(spark, sf_dir):
     rejects = spark.table(S.rejects_name(T.flushed_table(spark, sf_dir)))

@@ -29,7 +29,8 @@ STRING_COLUMNS = [f.name for f in LOG_SCHEMA if isinstance(f.dataType, T.StringT
 BIGINT_COLUMNS = [f.name for f in LOG_SCHEMA if isinstance(f.dataType, T.LongType)]
 TIME_COLUMNS = [f.name for f in LOG_SCHEMA if isinstance(f.dataType, T.TimestampType)]
 
-# Version columns decide which copy of a row is current; the day partitions the table.
+# Version columns decide which copy of a row is current; the day partitions the table.  A row also says which try of
+# which batch stored it (``flush``), so that a try that was broken off can be taken back.
 VERSION_COLUMNS = ["ingested_at", "ingest_seq"]
 PARTITION_COLUMN = "create_date"
 ROW_KEY = ["create_date", "create_time", "query_id"]
@@ -38,6 +39,7 @@ TABLE_SCHEMA = (
     T.StructType(list(LOG_SCHEMA.fields))
     .add("ingested_at", T.TimestampType())
     .add("ingest_seq", T.LongType())
+    .add("flush", T.StringType())
     .add(PARTITION_COLUMN, T.DateType())
 )
 

@@ -29,10 +29,15 @@ def read_events(spark: SparkSession, path: str, whole_files: bool = False) -> Da
     return _with_arrival(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole_files))
 
 
-def stream_events(spark: SparkSession, path: str, max_files: int | None = None, whole_files: bool = False) -> DataFrame:
-    """The same documents as a stream; new files are picked up as they land."""
+def stream_events(
+    spark: SparkSession, path: str, max_files: int | None = None, whole_files: bool = False, max_bytes: int | None = None
+) -> DataFrame:
+    """The same documents as a stream; new files are picked up as they land, at most ``max_files`` or, if that is given,
+    about ``max_bytes`` at once."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
-    if max_files:
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    elif max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_arrival(reader.text(path, wholetext=whole_files))
 

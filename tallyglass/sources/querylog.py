@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.operators.versions import latest_version
+from tallyglass.operators.versions import latest_of_few, latest_version
 from tallyglass.schema import (
+    LARGE_COLUMNS,
     LOG_COLUMNS,
     LOG_SCHEMA,
     PARTITION_COLUMN,
@@ -45,22 +43,13 @@ def scan_coalesced(log: DataFrame) -> DataFrame:
     return log.select(*[coalesced(c) for c in LOG_COLUMNS])
 
 
-def split_resolved(log: DataFrame, resolved: Sequence[date]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the resolved days of a table, which need no merge, and all others."""
-    day = F.col(PARTITION_COLUMN)
-    inside = day.isin(list(resolved))
-    return log.where(inside), log.where(day.isNull() | ~inside)
-
-
 def shown(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(PARTITION_COLUMN, *[coalesced(c) for c in columns])
 
 
-def scan_latest(log: DataFrame, columns: list[str] = LOG_COLUMNS, resolved: Sequence[date] = ()) -> DataFrame:
-    """The current version of every row.  Only the wanted columns enter the merge, and no row of the ``resolved`` days
-    (see ``table.resolved_days``) does."""
+def scan_latest(log: DataFrame, columns: list[str] = LOG_COLUMNS) -> DataFrame:
+    """The current version of every row.  Only the wanted columns enter the merge; if texts without a bound are among
+    them, only rows whose key has several versions do."""
     needed = list(dict.fromkeys([*columns, *ROW_KEY, *VERSION_COLUMNS]))
-    if resolved:
-        settled, log = split_resolved(log, resolved)
-        return shown(settled, columns).unionByName(scan_latest(log, columns))
-    return shown(latest_version(log.select(*needed)), columns)
+    merge = latest_of_few if set(columns) & set(LARGE_COLUMNS) else latest_version
+    return shown(merge(log.select(*needed)), columns)

@@ -15,7 +15,7 @@ from tallyglass.operators.ingest import IngestOptions
 from tallyglass.operators.table import create_log_table
 from tallyglass.session import configure, fresh_path
 from tallyglass.sources.events import read_events
-from tallyglass.streaming.ingest import flush_batch
+from tallyglass.streaming.ingest import drain, flush_batch
 
 OWN_SOURCE = IngestOptions().own_source
 # The events span January 2024; "now" lies inside the last day.
@@ -404,6 +404,19 @@ def flushed_table(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "flushed", build)
 
 
+def cut_table(spark: SparkSession, sf_dir: str) -> str:
+    """A log streamed in one micro-batch that is flushed after every third of its events."""
+
+    def build() -> str:
+        table = create_log_table(spark, new_table_name(spark, "cut"))
+        path = landing(spark, sf_dir)
+        third = -(-read_events(spark, path).count() // 3)
+        drain(spark, path, table, fresh_path(spark, "stream"), options=OPTIONS, max_files=100_000, max_events=third)
+        return table
+
+    return _once(spark, sf_dir, "cut", build)
+
+
 def log_table_name(spark: SparkSession, sf_dir: str) -> str:
     """The query-log table of this session, written once through the ingest path."""
     path = landing(spark, sf_dir)

@@ -1,19 +1,19 @@
 import json
 import os
-from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.operators import table as TB
+from tallyglass.operators.fingerprint import line_fingerprint
 from tallyglass.operators.ingest import IngestOptions, ingest_lines
-from tallyglass.operators.listing import QueryFilter, list_queries
 from tallyglass.schema import SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources import testbed as T
 from tallyglass.sources.events import read_events
-from tallyglass.sources.querylog import scan_latest, shown, split_resolved
+from tallyglass.operators.versions import latest_of_few, latest_version
+from tallyglass.sources.querylog import scan_latest
 from tallyglass.streaming import ingest as S
 
 EAST, WEST = timezone(timedelta(hours=9)), timezone(timedelta(hours=-8))
@@ -91,7 +91,7 @@ def test_create_is_idempotent_and_lists_every_column(spark, table):
     TB.create_log_table(spark, table)
     assert spark.table(table).count() == 1
     ddl = TB.table_ddl("log")
-    assert ddl.count("\n  ") == 44 and "PARTITIONED BY (create_date)" in ddl
+    assert ddl.count("\n  ") == 45 and "PARTITIONED BY (create_date)" in ddl
 
 
 def test_appended_files_are_sorted(spark, table):
@@ -132,36 +132,41 @@ def test_prune_goes_by_the_day_of_utc(spark, table, cutoff, left):
     assert days(spark, table) == left
 
 
-def paths(spark, table):
-    spark.catalog.refreshTable(table)
-    return {r.file_path for r in spark.table(table).select("_metadata.file_path").distinct().collect()}
-
-
-def test_rows_appended_during_compaction_stay(spark, table, monkeypatch):
+def test_rows_appended_during_a_rewrite_stay(spark, table):
     for flush in range(2):
-        append(spark, table, [event(i, 1) for i in range(5)], seq=flush)
-    swap = TB._swap
+        append(spark, table, [event(i, d) for d in (1, 2) for i in range(5)], seq=flush)
 
-    def late(*args):
+    def late(rows):
         append(spark, table, [event(100 + i, 1) for i in range(3)], seq=9)
-        swap(*args)
+        return rows.where("ingest_seq = 0")
 
-    monkeypatch.setattr(TB, "_swap", late)
-    assert TB.compact(spark, table, datetime(2024, 6, 1)) == [date(2024, 6, 1)]
-    assert len(paths(spark, table)) == 2 and spark.table(table).count() == 13
+    both = [date(2024, 6, 1), date(2024, 6, 2)]
+    assert TB.rewrite_days(spark, table, both, late) == [date(2024, 6, 2)]  # the first day is left for another run
+    counts = {r.create_date.day: r["count"] for r in spark.table(table).groupBy("create_date").count().collect()}
+    assert counts == {1: 13, 2: 5}
 
 
-def test_only_small_files_are_rewritten(spark, table):
-    append(spark, table, [event(i, 1) for i in range(2000)])
-    (large,) = paths(spark, table)
+def test_only_days_of_small_files_are_rewritten(spark, table):
+    append(spark, table, [event(i, 1) for i in range(10)])
     for flush in (1, 2):
-        append(spark, table, [event(i, 1) for i in range(3)], seq=flush)
-    size = dict(TB._files(spark, TB._folder(spark, table, date(2024, 6, 1))))
-    limit = max(size.values()) - 1
-    TB.compact(spark, table, datetime(2024, 6, 1), small_bytes=limit)
-    after = paths(spark, table)
-    assert large in after and len(after) == 2 and spark.table(table).count() == 2006
-    assert TB.compact(spark, table, datetime(2024, 6, 1), small_bytes=limit) == []
+        append(spark, table, [event(i, 2) for i in range(3)], seq=flush)
+    assert TB.compact(spark, table, datetime(2024, 6, 1), small_bytes=10) == []
+    assert TB.compact(spark, table, datetime(2024, 6, 1)) == [date(2024, 6, 2)]
+    assert spark.table(table).count() == 16 and TB.compact(spark, table, datetime(2024, 6, 1)) == []
+
+
+def test_exact_prune_rewrites_one_day(spark, table):
+    append(spark, table, [event(i, d) for d in (1, 2, 3, 4) for i in range(30)])
+    paths = lambda: {r.path for r in TB._day_files(spark, table, F.col("create_date") > "2024-06-03").collect()}
+    before = paths()
+    cutoff = datetime(2024, 6, 3, 0, 0, 12)
+    want = sorted(map(tuple, TB.retained_rows(spark.table(table), cutoff).select("query_id", "create_time").collect()))
+    assert TB.prune(spark, table, cutoff, exact=True) == [date(2024, 6, d) for d in (1, 2, 3)]
+    assert sorted(map(tuple, spark.table(table).select("query_id", "create_time").collect())) == want and len(want) == 18 + 30
+    assert paths() == before
+    assert TB.prune(spark, table, cutoff, exact=True) == []
+    # Nothing of the day is left.
+    assert TB.prune(spark, table, datetime(2024, 6, 3, 5), exact=True) == [date(2024, 6, 3)] and days(spark, table) == ["2024-06-04"]
 
 
 def files(spark, table):
@@ -187,51 +192,78 @@ def test_compaction_keeps_the_rows(spark, table):
     assert TB.compact(spark, table, datetime(2024, 6, 1)) == []
 
 
-def test_reads_of_resolved_days_merge_nothing(spark, table):
+def shuffled_rows(spark, df):
+    """Rows and bytes that the exchanges of a query wrote."""
+    df = df.select("*")
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name in ("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage"):
+            walk(node.plan())
+        if name == "Exchange":
+            m = node.metrics()
+            found.append((m.apply("shuffleRecordsWritten").value(), m.apply("shuffleBytesWritten").value()))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return rows, found
+
+
+def test_resolved_days_have_nothing_to_merge(spark, table):
     for flush in range(3):
         append(spark, table, [event(i, d, wall=flush) for d in (1, 2, 3) for i in range(10)], seq=flush)
-    assert TB.resolved_days(spark, table) == []
     assert TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 3, 5)) == [date(2024, 6, 1), date(2024, 6, 2)]
-    assert TB.resolved_days(spark, table) == [date(2024, 6, 1), date(2024, 6, 2)]
-    assert TB.resolved_days(spark, table, since=datetime(2024, 6, 2)) == [date(2024, 6, 2)]
     assert TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 3)) == []
     assert spark.table(table).count() == 50
-
-    # Appended rows open their day again, resolving it takes all its files.
     append(spark, table, [event(4, 1, wall=8), event(77, 1, wall=8)], seq=9)
-    assert TB.resolved_days(spark, table) == [date(2024, 6, 2)]
-    log, done = spark.table(table), TB.resolved_days(spark, table)
-    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert same(scan_latest(log, SUMMARY_COLUMNS, done), scan_latest(log, SUMMARY_COLUMNS))
-    assert scan_latest(log, SUMMARY_COLUMNS, done).count() == 31
-    settled = log.where("create_date = DATE'2024-06-02'")
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    split = split_resolved(settled, done)
-    assert "Aggregate" in plan(scan_latest(settled, SUMMARY_COLUMNS))
-    assert "Aggregate" not in plan(shown(split[0], SUMMARY_COLUMNS)) and split[1].count() == 0
-    for f in (QueryFilter(state="FINISHED", limit=50), QueryFilter(user="u", sort="wall", desc=True), QueryFilter(user="nobody")):
-        assert same(list_queries(log, replace(f, resolved=tuple(done))), list_queries(log, f))
-    # A run that resolves a day anew and is broken off leaves files of two marks.
-    TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 2))
-    assert TB.resolved_days(spark, table) == [date(2024, 6, 1), date(2024, 6, 2)]
-    folder = TB._folder(spark, table, date(2024, 6, 1))
-    ((name, _),) = TB._files(spark, folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    other = f"{folder}/resolved-{'0' * 32}-{name.rsplit('/', 1)[-1].split('-', 2)[2]}"
-    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, path(name), store, path(other), False, spark._jsc.hadoopConfiguration())
-    spark.catalog.refreshTable(table)
-    assert TB.resolved_days(spark, table) == [date(2024, 6, 2)]
-    assert scan_latest(spark.table(table), SUMMARY_COLUMNS, TB.resolved_days(spark, table)).count() == 31
+    assert TB.resolve_days(spark, table, datetime(2024, 6, 1), datetime(2024, 6, 3)) == [date(2024, 6, 1)]
+    assert spark.table(table).where("create_date = '2024-06-01'").count() == 11
+    assert scan_latest(spark.table(table)).count() == 31
 
 
-def test_a_heavy_day_spreads_over_several_files(spark, table):
-    for flush in range(2):
-        append(spark, table, [event(i, 5) for i in range(500)], seq=flush)
-    TB.compact(spark, table, datetime(2024, 6, 1), target_bytes=4000)
-    spark.catalog.refreshTable(table)
-    (day,) = files(spark, table)
-    assert day["count"] > 2 and spark.table(table).count() == 1000
+def sent(spark, n, resent):
+    """Rows of one day with a long text, of which every ``resent``-th was sent again."""
+    rows = spark.range(0, n, 1, 8).selectExpr(
+        "DATE'2024-06-01' AS create_date", "TIMESTAMP'2024-06-01' + make_dt_interval(0, 0, 0, id % 1000) AS create_time",
+        "CAST(id AS STRING) AS query_id", "repeat(sha2(CAST(id AS STRING), 256), 20) AS plan",
+    )
+    stamps = "explode(IF(id % {0} = 0, array(0L, 1L, 2L), array(0L))) AS ingest_seq".format(resent)
+    both = rows.selectExpr("*", "CAST(query_id AS BIGINT) AS id").selectExpr("*", stamps).drop("id")
+    return both.withColumn("ingested_at", F.timestamp_seconds("ingest_seq"))
+
+
+def test_only_rows_with_versions_are_shuffled(spark):
+    rows = sent(spark, 20_000, 10)
+    want = {(r.query_id, r.ingest_seq) for r in latest_version(rows).select("query_id", "ingest_seq").collect()}
+    got, exchanges = shuffled_rows(spark, latest_of_few(rows))
+    assert {(r.query_id, r.ingest_seq) for r in got} == want and len(got) == 20_000
+    plain = shuffled_rows(spark, latest_version(rows))[1]
+    wide = [r for r, size in exchanges if size > 100 * r]
+    assert sum(wide) < 7_000  # three versions of a tenth, and what shares a bit with them
+    assert sum(size for _, size in exchanges) < sum(size for _, size in plain) / 2
+    # A map far too small marks too much and loses nothing.
+    for bits in (1 << 15, 1 << 17):
+        assert {(r.query_id, r.ingest_seq) for r in latest_of_few(rows, bits).select("query_id", "ingest_seq").collect()} == want
+
+
+def test_no_resends_no_merge(spark):
+    got, exchanges = shuffled_rows(spark, latest_of_few(sent(spark, 2000, 1 << 40).where("query_id <> '0'")))
+    assert len(got) == 1999 and all(size <= 60 * max(r, 1) for r, size in exchanges)
+
+
+def test_keys_with_nulls_keep_their_last_version(spark):
+    rows = spark.createDataFrame(
+        [(None, None, "a", "x", 0), (None, None, "a", "y", 1), (None, None, "b", "z", 0)],
+        "create_date date, create_time timestamp, query_id string, plan string, ingest_seq long",
+    ).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    assert sorted(r.plan for r in latest_of_few(rows).collect()) == sorted(r.plan for r in latest_version(rows).collect()) == ["y", "z"]
 
 
 def test_identical_resend_is_skipped(spark, table):
@@ -313,7 +345,7 @@ def test_the_last_flush_wins_whatever_files_and_events_claim(spark, table, tmp_p
         S.drain(spark, str(tmp_path / name), table, fresh_path(spark, "checkpoint"))
     (row,) = scan_latest(spark.table(table)).collect()
     assert row.wall_ms == 2000
-    ledger = spark.table(S.ledger_name(table)).orderBy("number").collect()
+    ledger = spark.table(S.ledger_name(table)).where("state = 'done'").orderBy("number").collect()
     assert [r.number for r in ledger] == [0, 1] and ledger[0].stream != ledger[1].stream
     # A new checkpoint over the same files finds every document flushed before.
     S.drain(spark, str(tmp_path / "a"), table, fresh_path(spark, "checkpoint"))
@@ -331,7 +363,8 @@ def test_repeats_are_known_after_many_flushes(spark, table, monkeypatch):
     monkeypatch.setattr(S, "REPEAT_WINDOW", 3)
     done = [S.flush_batch(as_lines(spark, [event(i, 1)]), table)["batches_flushed"] for i in (0, 1, 2, 3, 4, 5, 6, 7, 7, 5, 1)]
     assert done == [1] * 8 + [0, 0, 1]
-    assert spark.table(S.ledger_name(table)).agg(F.min("span")).first()[0] > 0
+    totals = {r.counter: r.n for r in S.ledger_counters(spark, table).collect()}
+    assert (totals["batches_flushed"], totals["events_received"], totals["events_repeated"]) == (9, 11, 2)
 
 
 def test_rejects_are_kept(spark, table):
@@ -349,11 +382,130 @@ def test_an_event_may_take_many_lines(spark, table, tmp_path):
     assert spark.table(table).count() == 3
 
 
+def repeats(frame):
+    return S.batch_facts(S.check_lines(frame))["repeats"]
+
+
 def test_one_exchange_carries_the_rows_of_a_batch_without_repeats(spark, table):
     fresh, again = as_lines(spark, [event(1, 1), event(2, 1)]), as_lines(spark, [event(1, 1), event(1, 1, wall=2)])
     other = as_lines(spark, [event(1, 1), event(1, 1, createTime="2024-06-01T02:00:01+02:00")])
-    assert [S.has_repeats(x) for x in (fresh, again, other, fresh.limit(0))] == [False, True, True, False]
-    rows = TB.clustered(S.batch_rows(fresh, repeats=S.has_repeats(fresh)))
+    assert [repeats(x) for x in (fresh, again, other, fresh.limit(0))] == [False, True, True, False]
+    rows = TB.clustered(S.batch_rows(fresh, repeats=repeats(fresh)))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "max_by" not in plan
     assert S.flush_batch(again, table)["rows_flushed"] == 1
+
+
+def test_check_gives_the_fingerprint_of_the_lines(spark):
+    texts = [event(1, 1), event(1, 1), "{broken", "{broken", "{}", event(2, 1, context={"source": IngestOptions().own_source})]
+    frame = as_lines(spark, texts)
+    facts = S.batch_facts(S.check_lines(frame))
+    assert (facts["events_received"], facts["fingerprint"]) == tuple(line_fingerprint(frame).first())
+    assert [facts[n] for n in ("events_invalid", "events_suppressed", "rows_enqueued", "keys")] == [3, 1, 2, 1]
+    empty = frame.limit(0)
+    assert S.batch_facts(S.check_lines(empty))["fingerprint"] == line_fingerprint(empty).first()[1]
+
+
+def current(spark, table):
+    return sorted(map(tuple, scan_latest(spark.table(table), ["query_id", "wall_ms"]).select("query_id", "wall_ms").collect()))
+
+
+def ledger(spark, table, state="done"):
+    spark.catalog.refreshTable(S.ledger_name(table))
+    return [r.n_events for r in spark.table(S.ledger_name(table)).where(F.col("state") == state).orderBy("number").collect()]
+
+
+def test_one_large_file_is_flushed_by_events(spark, table, tmp_path):
+    texts = [event(i % 900, 1 + i % 3, wall=1 + i // 900) for i in range(1000)] + ["{broken"]
+    land(tmp_path / "landing", "a.json", texts)
+    S.drain(spark, str(tmp_path / "landing"), table, fresh_path(spark, "checkpoint"), max_events=300)
+    assert ledger(spark, table) == [300, 300, 300, 101]
+    whole = TB.create_log_table(spark, T.new_table_name(spark, "whole"))
+    S.flush_batch(read_events(spark, str(tmp_path / "landing")), whole)
+    assert current(spark, table) == current(spark, whole)
+    assert spark.table(S.rejects_name(table)).count() == 1
+    with pytest.raises(ValueError):
+        S.cut_lines(as_lines(spark, texts), 0)
+
+
+def test_parts_of_a_cut_follow_the_arrival(spark, tmp_path):
+    for n in range(5):
+        land(tmp_path / "landing", f"{n}.json", [f"{n} {k}" for k in range(7)])
+        os.utime(tmp_path / "landing" / f"{n}.json", (1_700_000_000 - n, 1_700_000_000 - n))
+    parts = [sorted(r.value for r in p.collect()) for p in S.cut_lines(read_events(spark, str(tmp_path / "landing")), 4)]
+    want = [f"{n} {k}" for n in reversed(range(5)) for k in range(7)]
+    assert parts == [sorted(want[k : k + 4]) for k in range(0, 35, 4)]
+
+
+def test_volume_bounds_a_micro_batch(spark, table, tmp_path):
+    for n in range(6):
+        land(tmp_path / "landing", f"{n}.json", [event(10 * n + k, 1) for k in range(10)])
+    size = (tmp_path / "landing" / "0.json").stat().st_size
+    seen: list = []
+    S.drain(spark, str(tmp_path / "landing"), table, fresh_path(spark, "c"), on_batch=seen.append, max_bytes=2 * size + 20)
+    assert sum(c["events_received"] for c in seen) == 60 and len(seen) >= 3
+
+
+class Died(Exception):
+    pass
+
+
+def dies_after(monkeypatch, appends):
+    """The driver is lost behind this many appends: neither the batch is closed nor a failure noted."""
+    append, enter, done = S.append_log, S._enter, []
+
+    def dying(rows, name):
+        append(rows, name)
+        done.append(name)
+        if len(done) == appends:
+            raise Died
+
+    monkeypatch.setattr(S, "append_log", dying)
+    monkeypatch.setattr(S, "_enter", lambda spark, name, entries: None if len(done) == appends else enter(spark, name, entries))
+
+
+@pytest.mark.parametrize(("first", "second"), [(None, None), (40, 40), (40, 70), (40, None), (None, 30)])
+def test_a_batch_broken_off_is_taken_back(spark, table, tmp_path, monkeypatch, first, second):
+    """Dies between append and record, then drains with the same checkpoint, cut another way."""
+    texts = [event(i % 90, 1 + i % 3, wall=1 + i // 90) for i in range(100)] + ["{broken"]
+    land(tmp_path / "landing", "a.json", texts)
+    S.flush_batch(as_lines(spark, [event(200, 1), "{other"]), table)
+    checkpoint = fresh_path(spark, "checkpoint")
+    with monkeypatch.context() as m:
+        dies_after(m, 1 if first is None else 2)
+        with pytest.raises(Exception):
+            S.drain(spark, str(tmp_path / "landing"), table, checkpoint, max_events=first)
+    left = spark.table(table).count()
+    assert left > 1 and ledger(spark, table) == [2]
+    S.drain(spark, str(tmp_path / "landing"), table, checkpoint, max_events=second)
+    whole = TB.create_log_table(spark, T.new_table_name(spark, "whole"))
+    for batch in (as_lines(spark, [event(200, 1)]), read_events(spark, str(tmp_path / "landing"))):
+        S.flush_batch(batch, whole)
+    assert current(spark, table) == current(spark, whole)
+    spark.catalog.refreshTable(table)
+    marks = {r.flush for r in spark.table(table).select("flush").distinct().collect()}
+    assert len(marks) == 2  # rows of the batch by hand and of one try
+    if second is None:
+        assert spark.table(table).count() == spark.table(whole).count()
+    assert sorted(r.value for r in spark.table(S.rejects_name(table)).collect()) == ["{broken", "{other"]
+    # Once closed, the same batch is skipped.
+    stream = next(r.stream for r in spark.table(S.ledger_name(table)).collect() if r.stream != "batch")
+    before = spark.table(table).count()
+    again = S.flush_batch(read_events(spark, str(tmp_path / "landing")), table, stream=stream, batch=0)
+    assert again["events_repeated"] == 101 and spark.table(table).count() == before
+
+
+def test_failures_are_counted(spark, table, monkeypatch):
+    batch = as_lines(spark, [event(1, 1), event(2, 1)])
+
+    def broken(rows, name):
+        raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "append_log", broken)
+        with pytest.raises(Died):
+            S.flush_batch(batch, table)
+    S.flush_batch(batch, table)
+    totals = {r.counter: r.n for r in S.ledger_counters(spark, table).collect()}
+    assert (totals["batches_failed"], totals["batches_flushed"], totals["rows_flushed"]) == (1, 1, 2)
+    assert spark.table(table).count() == 2
