@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,13 @@ DOCS_PER_LANGUAGE = 5_000
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LENGTH = 5_000
 
+# Words whose evidence a task keeps at hand, and letters beyond which a word is taken n-gram by n-gram.
+WORDS_REMEMBERED, LONG_WORD = 50_000, 40
+
 # A word is a run of letters with the marks that combine with them.
 _ASCII_LETTERS = re.compile(r"[a-z]+")
+# The same among the first 256 characters, which have no such marks.
+_LATIN_LETTERS = re.compile("[" + "".join(filter(str.isalpha, map(chr, range(256)))) + "]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 
 
@@ -37,7 +43,13 @@ def words_of(text: str | None) -> Counter:
     if not text:
         return Counter()
     lower = text.lower()
-    return Counter((_ASCII_LETTERS if lower.isascii() else _LETTERS).findall(lower))
+    if lower.isascii():
+        return Counter(_ASCII_LETTERS.findall(lower))
+    try:
+        lower.encode("latin-1")
+    except UnicodeEncodeError:
+        return Counter(_LETTERS.findall(lower))
+    return Counter(_LATIN_LETTERS.findall(lower))
 
 
 def grams_of(word: str, n: int) -> Iterator[str]:
@@ -84,20 +96,34 @@ class Model:
                 return found
         return Counter()
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def evidence(self, word: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
+        """The entries a word counts with, and their shares of it."""
+        if (entry := self.words.get(word)) is not None:
+            return (entry,), (1.0,)
+        if len(word) > LONG_WORD:
+            found = self.fallback(word)
+            each = 1 / max(found.total(), 1)
+            return tuple(found), tuple(each * times for times in found.values())
+        # The same without counting: a short word has few n-grams.
+        marked, known = f"_{word}_", self.grams.get
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            if entries := [i for k in range(len(marked) - n + 1) if (i := known(marked[k : k + n])) is not None]:
+                return tuple(entries), (1 / len(entries),) * len(entries)
+        return (), ()
+
+    def predict(self, text: str | None, evidence=None) -> tuple[str, float]:
+        """``evidence``: the method of that name, or one that remembers."""
         counts = words_of(text)
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        shares: dict[int, float] = {}
+        evidence = evidence or self.evidence
+        found_at, parts = [], []
         for word, count in counts.items():
-            if (entry := self.words.get(word)) is not None:
-                shares[entry] = shares.get(entry, 0.0) + count
-            elif found := self.fallback(word):
-                each = count / found.total()
-                for entry, times in found.items():
-                    shares[entry] = shares.get(entry, 0.0) + each * times
-        entries, weights = np.fromiter(shares, np.int64, len(shares)), np.fromiter(shares.values(), float, len(shares))
-        total = np.bincount(self.kinds[entries], weights, LONGEST + 1) @ self.floors if len(shares) else np.zeros(len(self.languages))
+            of, shares = evidence(word)
+            found_at += of
+            parts += shares if count == 1 else [count * s for s in shares]
+        entries, weights = np.array(found_at, np.int64), np.array(parts)
+        total = np.bincount(self.kinds[entries], weights, LONGEST + 1) @ self.floors if len(entries) else np.zeros(len(self.languages))
         first, sizes = self.starts[entries], self.starts[entries + 1] - self.starts[entries]
         places = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         total = total + np.bincount(self.at[places], self.above[places] * np.repeat(weights, sizes), len(self.languages))
@@ -182,8 +208,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_column: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        remembered = lru_cache(WORDS_REMEMBERED)(known.evidence)
+        # What a long word counts with is long too.
+        evidence = lambda word: remembered(word) if len(word) <= LONG_WORD else known.evidence(word)
         for batch in batches:
-            found = [known.predict(t) for t in batch.column(at).to_pylist()]
+            found = [known.predict(t, evidence) for t in batch.column(at).to_pylist()]
             arrays = [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.record_batch(arrays, names=schema.names)
 
