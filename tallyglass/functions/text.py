@@ -30,27 +30,14 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE_RUN, " "))
 
 
-def _rune_safe_length(text: str, n: str) -> str:
-    """Largest k <= n such that the first k bytes end on a character boundary.  Assumes the text
-    is longer than n bytes; a character has at most four bytes."""
-
-    def inside(position: str) -> str:
-        # Continuation bytes are 0x80..0xBF; Spark compares binary values unsigned.
-        return f"substring(CAST({text} AS BINARY), {position}, 1) BETWEEN X'80' AND X'BF'"
-
-    return (
-        f"CASE WHEN NOT ({inside(f'{n} + 1')}) THEN {n} WHEN NOT ({inside(n)}) THEN {n} - 1 "
-        f"WHEN NOT ({inside(f'{n} - 1')}) THEN {n} - 2 ELSE {n} - 3 END"
-    )
-
-
-def _prefix(text: str, n_bytes: str) -> str:
-    return f"CAST(substring(CAST({text} AS BINARY), 1, {n_bytes}) AS STRING)"
+def _prefix(text: str, n: str) -> str:
+    """The longest valid prefix of at most n bytes, of a text longer than that: a character has at most four."""
+    tries = ", ".join(f"try_validate_utf8(CAST(substring(CAST({text} AS BINARY), 1, {n} - {k}) AS STRING))" for k in range(4))
+    return f"coalesce({tries})"
 
 
 def _byte_prefix(text: str, n: int) -> str:
-    cut = _prefix(text, _rune_safe_length(text, str(n)))
-    return f"CASE WHEN octet_length({text}) <= {n} THEN {text} ELSE {cut} END"
+    return f"CASE WHEN octet_length({text}) <= {n} THEN {text} ELSE {_prefix(text, str(n))} END"
 
 
 def byte_prefix(column: str, n: int) -> Column:
@@ -58,30 +45,42 @@ def byte_prefix(column: str, n: int) -> Column:
     return F.expr(_byte_prefix(column, n))
 
 
+def query_preview_steps(column: str, n_bytes: int) -> dict[str, str]:
+    """The preview of a statement as SQL in steps: its flattened beginning, all of it if need be, and the cut.
+
+    A long statement is not flattened whole: if more than the wanted bytes are left of its beginning, what follows
+    cannot change them."""
+    reach = 4 * n_bytes + 64
+    return {
+        "_start": f"ltrim(regexp_replace(substring({column}, 1, {reach}), r'{WHITE_RUN}', ' '))",
+        "_flat": f"CASE WHEN octet_length(_start) > {n_bytes} THEN _start WHEN char_length({column}) <= {reach} "
+        f"THEN rtrim(_start) ELSE {one_line_sql(column)} END",
+        "query_preview": _byte_prefix("_flat", n_bytes),
+    }
+
+
 def query_preview(column: str, n_bytes: int = 200) -> Column:
-    flat = one_line_sql(column)
-    return F.expr(let(flat, "s", _byte_prefix("s", n_bytes)) if n_bytes > 0 else flat)
+    """The same as one expression."""
+    if n_bytes <= 0:
+        return F.expr(one_line_sql(column))
+    start, flat, cut = query_preview_steps(column, n_bytes).items()
+    return F.expr(let(start[1], start[0], let(flat[1], flat[0], cut[1])))
 
 
 def truncate_bytes(column: str, limit: int) -> Column:
     """Cap a text at ``limit`` bytes; a marker naming the removed bytes replaces the tail where it
     fits, else the result is a bare prefix.  ``limit <= 0`` empties longer texts."""
-    cut = let(column, "s", _cut_and_mark(limit)) if limit > 0 else "''"
+    cut = _cut_and_mark(column, limit) if limit > 0 else "''"
     return F.expr(f"CASE WHEN octet_length({column}) <= {limit} THEN {column} ELSE {cut} END")
 
 
-def _cut_and_mark(limit: int) -> str:
+def _cut_and_mark(text: str, limit: int) -> str:
     # The marker is sized with the full length, whose digits bound those of the count.
     fixed = len(f"\n{_MARKER}{_MARKER_END}".encode())
-    room = f"({limit - fixed} - length(CAST(octet_length(s) AS STRING)))"
-    marked = (
-        f"concat({_prefix('s', 'k')}, '\\n{_MARKER}', CAST(octet_length(s) - k AS STRING), '{_MARKER_END}')"
-    )
-    bare = _prefix("s", _rune_safe_length("s", str(limit)))
-    return (
-        f"CASE WHEN {room} <= 0 THEN {bare} "
-        f"ELSE {let(_rune_safe_length('s', room), 'k', marked)} END"
-    )
+    room = f"({limit - fixed} - length(CAST(octet_length({text}) AS STRING)))"
+    kept = _prefix(text, room)
+    marked = f"concat({kept}, '\\n{_MARKER}', CAST(octet_length({text}) - octet_length({kept}) AS STRING), '{_MARKER_END}')"
+    return f"CASE WHEN {room} <= 0 THEN {_prefix(text, str(limit))} ELSE {marked} END"
 
 
 def ellipsize(text: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import query_preview, truncate_bytes
+from tallyglass.functions.text import query_preview, query_preview_steps, truncate_bytes
 from tallyglass.functions.times import duration_ms_sql, partition_day, rfc3339_sql
 from tallyglass.schema import (
     LARGE_COLUMNS,
@@ -183,7 +183,13 @@ def apply_plan_policy(rows: DataFrame, capture: str, min_wall_ms: int) -> DataFr
 
 
 def with_preview(rows: DataFrame, n_bytes: int) -> DataFrame:
-    return rows.withColumn("query_preview", query_preview("query_text", n_bytes))
+    """The preview in steps of one projection each, so that no text is flattened twice and all is generated code."""
+    if n_bytes <= 0:
+        return rows.withColumn("query_preview", query_preview("query_text", n_bytes))
+    steps = query_preview_steps("query_text", n_bytes)
+    for name, sql in steps.items():
+        rows = rows.withColumn(name, F.expr(sql))
+    return rows.drop(*list(steps)[:-1])
 
 
 def truncate_fields(rows: DataFrame, max_bytes: int) -> DataFrame:

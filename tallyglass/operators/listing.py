@@ -211,6 +211,16 @@ def _last(rows: pa.Table) -> dict:
     return rows.slice(rows.num_rows - 1).to_pylist()[0]
 
 
+def _versions_of(rows: DataFrame, keys: pa.Table) -> DataFrame:
+    """Every stored version of a few keys, read from their days alone."""
+    days = set(keys.column(PARTITION_COLUMN).to_pylist())
+    if None not in days:
+        rows = rows.where(F.col(PARTITION_COLUMN).isin(sorted(days)) if days else F.lit(False))
+    wanted = rows.sparkSession.createDataFrame(keys).distinct()
+    same = [rows[c].eqNullSafe(wanted[c]) for c in ROW_KEY]
+    return rows.join(F.broadcast(wanted), same, "left_semi")
+
+
 def candidate_page(log: DataFrame, f: QueryFilter, wanted: int, candidates: int | None = None) -> DataFrame | None:
     """The first ``wanted`` rows of a list, in order, without merging the versions of all others; None if too many
     candidates would be needed.  Runs its jobs when called.
@@ -226,8 +236,7 @@ def candidate_page(log: DataFrame, f: QueryFilter, wanted: int, candidates: int
     n = candidates or 2 * wanted + 64
     while n <= MAX_CANDIDATES:
         first = stored.orderBy(*order).limit(n).toArrow()
-        keys = spark.createDataFrame(first.select(ROW_KEY)).distinct()
-        merged = scan_latest(bounded.join(F.broadcast(keys), ROW_KEY, "left_semi"), SUMMARY_COLUMNS)
+        merged = scan_latest(_versions_of(bounded, first.select(ROW_KEY)), SUMMARY_COLUMNS)
         page = _behind(_equal_filters(merged, f), f).select(*SUMMARY_COLUMNS).orderBy(*order).limit(wanted).toArrow()
         if first.num_rows < n or (page.num_rows == wanted and _ahead(_last(page), _last(first), column, f.desc)):
             return spark.createDataFrame(page)

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.times import query_id_day
+from tallyglass.operators.versions import marked
 from tallyglass.schema import INPUTS_TYPE, LOG_COLUMNS, PARTITION_COLUMN
 from tallyglass.sources.querylog import scan_latest
 
+# (day, id) pairs that are sent to every task: a few MB.
+FEW_IDS = 50_000
+
 
 def id_day(query_id: str):
     """The day an id starts with, or None."""
@@ -38,11 +42,11 @@ def get_query(log: DataFrame, query_id: str, columns: list[str] = LOG_COLUMNS) -
 
 
 def lookup_many(log: DataFrame, ids: DataFrame, columns: list[str] = LOG_COLUMNS) -> DataFrame:
-    """Current rows of many ids in one job.
+    """Current rows of many ids in one job, after a first one over the ids alone.
 
-    Each id stands for three (day, id) pairs, so the join is an equi-join on the partition column
-    and prunes days when the ids are few.  No broadcast is forced: Spark picks the strategy from
-    the measured size of the ids and splits a skewed id."""
+    Each id stands for three (day, id) pairs.  Their days (one value a day) prune the partitions.  Up to ``FEW_IDS`` pairs
+    are sent to the scan and nothing of the log is shuffled but what they hit; more are met by a join, behind a bit
+    map of the ids that keeps most other rows out of its exchange.  A skewed id is split by adaptive execution."""
     day = query_id_day(F.col("query_id"))
     wanted = (
         ids.select("query_id")
@@ -54,6 +58,12 @@ def lookup_many(log: DataFrame, ids: DataFrame, columns: list[str] = LOG_COLUMNS
             ).alias(PARTITION_COLUMN),
         )
     )
+    n, days = wanted.agg(F.count("*"), F.collect_set(PARTITION_COLUMN)).first()
+    log = log.where(F.col(PARTITION_COLUMN).isin(days)) if days else log.where(F.lit(False))
+    if n <= FEW_IDS:
+        wanted = F.broadcast(wanted)
+    else:
+        log = marked(log, "xxhash64(query_id)", wanted.select(F.xxhash64("query_id").alias("h"))).where("_marked").drop("_marked")
     hits = log.join(wanted, [PARTITION_COLUMN, "query_id"], "left_semi")
     return scan_latest(hits, columns).select(*columns)
 

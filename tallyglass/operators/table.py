@@ -26,22 +26,33 @@ _FILE_OPTIONS = {
 }
 
 
-def table_ddl(name: str, columns: list[str] | None = None) -> str:
+def table_ddl(name: str, columns: list[str] | None = None, buckets: int | None = None) -> str:
     fields = [f for f in TABLE_SCHEMA if columns is None or f.name in (*columns, PARTITION_COLUMN)]
     body = ",\n  ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in fields)
     options = ", ".join(f"'{k}' = '{v}'" for k, v in _FILE_OPTIONS.items())
     return (
         f"CREATE TABLE IF NOT EXISTS {name} (\n  {body}\n)\nUSING parquet\n"
         f"OPTIONS ({options})\nPARTITIONED BY ({PARTITION_COLUMN})"
+        + (f"\nCLUSTERED BY (query_id) SORTED BY (query_id, create_time) INTO {buckets} BUCKETS" if buckets else "")
     )
 
 
-def create_log_table(spark: SparkSession, name: str, columns: list[str] | None = None) -> str:
-    """Create the table unless it exists.  ``columns`` narrows it (for derived logs)."""
-    spark.sql(table_ddl(name, columns))
+def create_log_table(spark: SparkSession, name: str, columns: list[str] | None = None, buckets: int | None = None) -> str:
+    """Create the table unless it exists.  ``columns`` narrows it (for derived logs).
+
+    With ``buckets`` the rows of a day lie in so many files by ``query_id``, and merges of versions and joins by id
+    read them without an exchange of the log.  A scan then has a task for each bucket, over all days it reads, so there
+    should be as many as tasks are wanted."""
+    spark.sql(table_ddl(name, columns, buckets))
     return name
 
 
+def bucket_count(spark: SparkSession, table: str) -> int:
+    """Buckets of a table; 0 if it has none."""
+    found = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Num Buckets'").first()
+    return int(found["data_type"]) if found else 0
+
+
 def clustered(rows: DataFrame) -> DataFrame:
     """Rows laid out for the write: near each other by day, sorted inside each file.
 
@@ -55,8 +66,16 @@ def _shaped(rows: DataFrame, table: str) -> DataFrame:
     return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target])
 
 
+def laid_out(rows: DataFrame, table: str) -> DataFrame:
+    """Rows as a write of the table wants them: ``clustered``, or dealt by bucket so that every task writes its own."""
+    buckets = bucket_count(rows.sparkSession, table)
+    if not buckets:
+        return clustered(rows)
+    return rows.repartition(buckets, "query_id").sortWithinPartitions(PARTITION_COLUMN, "query_id", "create_time")
+
+
 def append_log(rows: DataFrame, table: str) -> None:
-    clustered(_shaped(rows, table)).write.insertInto(table)
+    laid_out(_shaped(rows, table), table).write.insertInto(table)
 
 
 # --- rewriting days ------------------------------------------------------------------------
@@ -94,7 +113,7 @@ def rewrite_days(spark: SparkSession, table: str, days: list[date], change: Call
     rows = spark.read.schema(log.schema).parquet(staged).where(F.col(PARTITION_COLUMN).isin(same))
     left = {r[0] for r in rows.select(PARTITION_COLUMN).distinct().collect()}
     if left:
-        overwrite_partitions(clustered(rows), table)
+        overwrite_partitions(laid_out(rows, table), table)
     drop_days(spark, table, [day for day in same if day not in left])
     spark.catalog.refreshTable(table)
     return same

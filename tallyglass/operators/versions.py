@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.schema import ROW_KEY, VERSION_COLUMNS
 
-# Bits of the map of repeated keys: 32 MiB at most, however many rows and days there are.
+# Bits of a map of keys: 32 MiB at most, however many rows and days there are.
 MAP_BITS = 1 << 28
 # Fixed value: bits of one bitmap_construct_agg.
 BUCKET_BITS = 32_768
@@ -50,18 +50,23 @@ def repeated_keys(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     return counted.where("n > 1").select(*by, "h")
 
 
-def repeated_map(rows: DataFrame, bits: int = MAP_BITS) -> DataFrame:
-    """The repeated keys as a map of ``bits`` bits in buckets of 4 KiB: ``bucket, repeated``.  Buckets without a
-    repeated key are left out, so the map is never larger than ``bits / 8`` bytes and empty without resends."""
-    place = repeated_keys(rows).select(F.expr(f"pmod(h, {bits}L)").alias("p"))
+def key_map(hashes: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """A column of hashes (``h``) as a map of ``bits`` bits in buckets of 4 KiB: ``bucket, bitmap``.  Buckets without a
+    key are left out, so the map never takes more than ``bits / 8`` bytes, and none if there are no keys."""
+    place = hashes.select(F.expr(f"pmod(h, {bits}L)").alias("p"))
     split = place.selectExpr(f"p div {BUCKET_BITS} AS bucket", f"p % {BUCKET_BITS} AS bit")
-    return split.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("repeated"))
+    return split.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
 
-def _is_set() -> Column:
-    """Whether the bit ``_p`` of the bucket at hand is set."""
-    byte = f"conv(hex(substring(repeated, CAST((_p % {BUCKET_BITS}) div 8 AS INT) + 1, 1)), 16, 10)"
-    return F.expr(f"coalesce(getbit(CAST({byte} AS BIGINT), CAST(_p % 8 AS INT)) = 1, false)")
+def marked(rows: DataFrame, hashed: str, keys: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """Rows with ``_marked``: whether the map of ``keys`` (as ``key_map`` takes them) has their bit set.  All rows of
+    a key are marked, and by chance a few others.  The map is sent to the rows, whose number it does not depend on."""
+    byte = f"conv(hex(substring(bitmap, CAST((_p % {BUCKET_BITS}) div 8 AS INT) + 1, 1)), 16, 10)"
+    is_set = f"coalesce(getbit(CAST({byte} AS BIGINT), CAST(_p % 8 AS INT)) = 1, false)"
+    met = rows.withColumn("_p", F.expr(f"pmod({hashed}, {bits}L)")).join(
+        F.broadcast(key_map(keys, bits)), F.expr(f"_p div {BUCKET_BITS} = bucket"), "left"
+    )
+    return met.select(*rows.columns, F.expr(is_set).alias("_marked"))
 
 
 def split_by_versions(rows: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
@@ -69,10 +74,8 @@ def split_by_versions(rows: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame,
 
     The map is sent to the scan, whose rows go on without an exchange.  Its size is fixed; the more keys have several
     versions, the more of the rest share a bit with them, up to all rows, which is the plain merge."""
-    marks = F.broadcast(repeated_map(rows, bits))
-    placed = rows.withColumn("_p", F.expr(f"pmod(xxhash64({', '.join(ROW_KEY)}), {bits}L)"))
-    met = placed.join(marks, F.expr(f"_p div {BUCKET_BITS} = bucket"), "left")
-    return met.where(~_is_set()).select(*rows.columns), met.where(_is_set()).select(*rows.columns)
+    met = marked(rows, f"xxhash64({', '.join(ROW_KEY)})", repeated_keys(rows), bits)
+    return met.where("NOT _marked").drop("_marked"), met.where("_marked").drop("_marked")
 
 
 def latest_of_few(rows: DataFrame, bits: int = MAP_BITS) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import table as TB
 from tallyglass.operators.fingerprint import line_fingerprint
+from tallyglass.operators import lookup as LK
 from tallyglass.operators.ingest import IngestOptions, ingest_lines
+from tallyglass.operators.lookup import lookup_many
 from tallyglass.schema import SUMMARY_COLUMNS, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources import testbed as T
-from tallyglass.sources.events import read_events
+from tallyglass.sources.events import MAX_EVENT_BYTES, read_events
 from tallyglass.operators.versions import latest_of_few, latest_version
 from tallyglass.sources.querylog import scan_latest
 from tallyglass.streaming import ingest as S
@@ -258,6 +260,48 @@ def test_no_resends_no_merge(spark):
     assert len(got) == 1999 and all(size <= 60 * max(r, 1) for r, size in exchanges)
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_buckets_are_read_without_an_exchange(spark):
+    plain, bucketed = (TB.create_log_table(spark, T.new_table_name(spark, f"b{n}"), buckets=n) for n in (None, 4))
+    assert [TB.bucket_count(spark, t) for t in (plain, bucketed)] == [0, 4]
+    for flush in range(2):
+        for t in (plain, bucketed):
+            append(spark, t, [event(i, 1 + i % 3, wall=flush) for i in range(0, 90, 1 + flush)], seq=flush)
+    TB.compact(spark, bucketed, datetime(2024, 6, 1))
+    files = TB._day_files(spark, bucketed, F.lit(True)).groupBy("create_date").count().collect()
+    assert len(files) == 3 and all(r["count"] <= 4 for r in files)
+    ids = spark.table(plain).select("query_id").where("query_id LIKE '%7_x'").distinct()
+    for read in (lambda t: latest_version(t).select(*SUMMARY_COLUMNS), lambda t: lookup_many(t, ids, SUMMARY_COLUMNS)):
+        got = read(spark.table(bucketed))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, read(spark.table(plain)).collect()), key=str)
+        assert "Exchange hashpartitioning" not in executed(got).split("BroadcastQueryStage")[0].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning(create_date" in executed(latest_version(spark.table(plain)).select(*SUMMARY_COLUMNS))
+
+
+def test_lookups_prune_days_and_filter_rows(spark, table, monkeypatch):
+    append(spark, table, [event(i, d) for d in range(1, 29) for i in range(40)])
+    log = spark.table(table)
+    ids = spark.createDataFrame([("20240610_000000_00003_x",), ("20240610_000000_00099_x",), ("no id",)], "query_id string")
+    few = lookup_many(log, ids, SUMMARY_COLUMNS)
+    assert [r.query_id for r in few.collect()] == ["20240610_000000_00003_x"]
+    assert {str(r[0]) for r in log.where("create_date IN ('2024-06-09', '2024-06-10', '2024-06-11')").select("create_date").distinct().collect()} == {
+        "2024-06-09", "2024-06-10", "2024-06-11"
+    }
+    plan = executed(few)
+    assert "PartitionFilters: [" in plan and plan.split("PartitionFilters: [")[1].split("]")[0].count("2024-06-") == 3
+    assert "BroadcastHashJoin" in plan and "bitmap" not in plan
+
+    monkeypatch.setattr(LK, "FEW_IDS", 0)
+    many = lookup_many(log, log.where("query_id LIKE '%3_x'").select("query_id"), ["query_id", "create_time"])
+    rows, exchanges = shuffled_rows(spark, many)
+    assert len(rows) == 28 * 4 and "bitmap" in executed(many)
+    assert lookup_many(log, ids, ["query_id"]).count() == 1 and lookup_many(log, ids.limit(0), ["query_id"]).count() == 0
+
+
 def test_keys_with_nulls_keep_their_last_version(spark):
     rows = spark.createDataFrame(
         [(None, None, "a", "x", 0), (None, None, "a", "y", 1), (None, None, "b", "z", 0)],
@@ -509,3 +553,15 @@ def test_failures_are_counted(spark, table, monkeypatch):
     totals = {r.counter: r.n for r in S.ledger_counters(spark, table).collect()}
     assert (totals["batches_failed"], totals["batches_flushed"], totals["rows_flushed"]) == (1, 1, 2)
     assert spark.table(table).count() == 2
+
+
+def test_a_document_beyond_the_bound_is_rejected(spark, table, tmp_path):
+    """The real bound, through landing, check and rejects."""
+    large = event(1, 1, padding="x" * MAX_EVENT_BYTES)
+    fits = event(2, 1, padding="x" * (MAX_EVENT_BYTES - len(event(2, 1, padding=""))))
+    assert len(fits) == MAX_EVENT_BYTES
+    land(tmp_path / "landing", "a.json", [large, fits, event(3, 1)])
+    counters = S.flush_batch(read_events(spark, str(tmp_path / "landing")), table)
+    assert (counters["events_invalid"], counters["rows_flushed"]) == (1, 2)
+    kept = spark.table(S.rejects_name(table)).selectExpr("octet_length(value) AS n", "status").collect()
+    assert [(r.n, r.status) for r in kept] == [(len(large), "malformed")]
