@@ -10,7 +10,7 @@ from tallyglass.llm.common import words
 def plain(docs, items, similarity=0.8, size=5):
     """Every window against every item of its size."""
     def cut(t):
-        return re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())
+        return [w.lower().encode() for w in re.findall(r"[^\W_]+", t or "")]
 
     out = {}
     for d, text in docs:
@@ -64,7 +64,9 @@ def test_nulls_empty_tables_and_repeated_rows(spark):
     items = [(7, passage), (8, passage), (None, passage), (9, None), (10, "")]
     hits, rest = found(spark, docs, items)
     got = sorted((r.doc_id or 0, r.item_id, round(r.similarity, 3)) for r in hits.collect())
-    assert [(d, i) for d, i, _ in got] == [(0, 7), (0, 8), (3, 7), (3, 7), (3, 8), (3, 8), (6, 7), (6, 8)] + [] * 2 or (5, 7) in [(d, i) for d, i, _ in got]
+    # Document 5 runs the passages together, which spoils one word in twenty.
+    assert [(d, i) for d, i, _ in got] == [(0, 7), (0, 8), (3, 7), (3, 7), (3, 8), (3, 8), (5, 7), (5, 8), (6, 7), (6, 8)]
+    assert {s for d, _, s in got if d == 5} == {round(15 / 17, 3)}
     assert {r.doc_id for r in rest.collect()} >= {1, 2, 4}
     for d, b in (([], items), (docs, [])):
         hits, rest = found(spark, d, b)

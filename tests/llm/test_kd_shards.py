@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -94,3 +95,36 @@ def test_target_bytes(spark):
     out = shards(spark, rows, target_bytes=total // 4 + 1)
     check(rows, out, 4)
     assert {r.shard for r in out} == {0, 1, 2, 3}
+
+
+def plain_tree(points, shards):
+    """Leaf of every point, by sorting each node and walking its weights."""
+    out, todo = {}, [(1, shards, points)]
+    while todo:
+        node, leaves, mine = todo.pop()
+        if leaves == 1 or not mine:
+            out |= {p["key"]: node for p in mine}
+            continue
+        width = [max(p["x"][i] for p in mine) - min(p["x"][i] for p in mine) for i in range(3)]
+        axis = width.index(max(width))
+        mine.sort(key=lambda p: (p["x"][axis], p["tie"]))
+        goal = sum(p["w"] for p in mine) * (leaves // 2) / leaves
+        below = cut = 0
+        for at, p in enumerate(mine):
+            if below <= goal:
+                cut = at
+            below += p["w"]
+        todo += [(2 * node, leaves // 2, mine[:cut]), (2 * node + 1, leaves - leaves // 2, mine[cut:])]
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5, 8, 13])
+def test_cuts_are_those_of_a_plain_tree(spark, n):
+    pick = random.Random(n)
+    points = [
+        {"key": k, "x": [pick.choice([pick.randrange(1 << 20), 7]), pick.randrange(4) * 1000, pick.choice([0, 1 << 19])], "w": pick.randint(1, 500), "tie": pick.randrange(1 << 43)}
+        for k in range(700)
+    ]
+    frame = spark.createDataFrame([(p["key"], 0, p["w"], *p["x"], p["tie"]) for p in points], "h long, piece int, w long, x0 long, x1 long, x2 long, tie long")
+    got, _ = kd_shards._tree(frame, n, 3)
+    assert {r.h: r.node for r in got.collect()} == plain_tree(points, n)

@@ -1,7 +1,10 @@
+import math
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.llm import quality
 from tallyglass.llm.queries import op6_quality
@@ -71,3 +74,53 @@ def test_training_separates():
     for text, sign in ((b"good stuff", 1), (b"BAD stuff", -1)):
         at, x = quality.features(text)
         assert np.sign(w[at] @ x) == sign
+
+
+def plain_ftrl(rows, epochs=4, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-6):
+    """FTRL-proximal feature by feature, on dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            w = {i: weight(i) for i in x}
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_updates_are_those_of_a_plain_loop():
+    pick = random.Random(3)
+    texts = [" ".join(pick.choice(["fine", "prose", "here", "win", "cash", "!!!"]) for _ in range(pick.randint(0, 12))) for _ in range(60)]
+    rows = [(*quality.features(t.encode()), int("cash" not in t)) for t in texts]
+    got = quality.train(rows)
+    want = plain_ftrl([(dict(zip(at.tolist(), x.tolist(), strict=True)), y) for at, x, y in rows])
+    assert {i for i, w in want.items() if w} == set(np.flatnonzero(got).tolist())
+    assert all(got[i] == pytest.approx(w, rel=1e-9, abs=1e-12) for i, w in want.items())
+
+
+def test_a_fit_averages_the_plain_loops_of_its_parts(spark):
+    pick = random.Random(4)
+    docs = [(i, " ".join(pick.choice(["fine", "prose", "win", "cash"]) for _ in range(6))) for i in range(90)]
+    labels = [(i, int(t.count("cash") < 2)) for i, t in docs]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    # A part is what one task gets of the rows dealt by their hash.
+    dealt = quality.labelled_rows(*frames).repartition(quality.PARTS, F.pmod("h", F.lit(quality.PARTS)))
+    rows = sorted((r.h, bytes(r.t), r.y, r.part) for r in dealt.withColumn("part", F.spark_partition_id()).collect())
+    assert sorted(t for _, t, *_ in rows) == sorted(t.encode() for i, t in docs if not quality_fold(i))
+    total = {}
+    for part in {r[3] for r in rows}:
+        mine = [(dict(zip(*(a.tolist() for a in quality.features(t)), strict=True)), y) for _, t, y, at in rows if at == part]
+        for i, w in plain_ftrl(mine).items():
+            total[i] = total.get(i, 0.0) + w * len(mine) / len(rows)
+    got = quality.fit(*frames)
+    assert all(got[i] == pytest.approx(w, rel=1e-9, abs=1e-12) for i, w in total.items()) and np.count_nonzero(got) <= len(total)
