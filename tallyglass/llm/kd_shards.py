@@ -5,31 +5,32 @@ each scaled to [0, 1).  The tree splits the node's widest dimension at the weigh
 bytes, until each leaf is one shard.  Equal coordinates are ordered by the hash of the text, so the
 median is exact however many points coincide, and copies of a text stay together: they share one point
 with the smallest language and source among them.  Only a text whose copies hold over a twentieth of a
-shard's bytes, or over a 64th of all rows, is dealt into pieces, so that no shard and no task takes it whole.
+shard's bytes is dealt into pieces, so that no shard takes it whole.
 
 Rows of one id and text are told apart by nothing in the result, so they travel as one row with their number
 ``n``, which is split where they are dealt, and become rows again when they get their slots.
 
-The medians come from sums over prefixes of the order key, refined sixteen bits at a time.  Nodes and cuts
-(one per shard) are all that reaches the driver.
+The medians come from sums over prefixes of the order key, refined sixteen bits at a time.  Nodes and cuts are small
+tables that the points are joined with; none of them reaches the driver or the plan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import stored, utf8
 
 LAW = "bytes"
-# A text with more than these shares (of a shard's bytes, of all rows) is dealt into this many pieces.
-HEAVY_BYTES, HEAVY_ROWS = 20, 64
-PIECES = 1024
+# A text with more than this share of a shard's bytes is dealt into this many pieces.
+HEAVY_BYTES, PIECES = 20, 1024
+# Rows of a text with more than this share of all rows find their shard by this many copies of its point.
+HOT_ROWS, SALTS = 64, 64
 # Order keys below 2**63: coordinate, then tie-break.
 COORDINATE_BITS, TIE_BITS = 20, 43
 STEP_BITS = 16
+# Levels of a tree, as node numbers are longs; and stretches in which its leaves are numbered.
+MAX_DEPTH, STRETCH_BITS = 60, 10
 # Rows of a shard that one task numbers, and repeated rows that stay together when they are numbered.
 SLOT_ROWS = 1 << 20
 RUN_ROWS = 1 << 10
@@ -60,123 +61,135 @@ def _dealt(n: str, parts: Column) -> tuple[Column, Column]:
 
 
 def _points(rows: DataFrame, shards: int, dimensions: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their point ``(h, piece)``, and the points with weight, coordinates and tie-break."""
+    """Rows with their point ``(h, piece)`` and a ``salt``, and the points with weight, coordinates, tie-break and
+    the ``salts`` under which their rows look for them."""
     weight = F.sum(F.col("size") * F.col("n"))
     total = rows.agg(weight, F.sum("n")).first()
     texts = rows.groupBy("h").agg(weight.alias("w"), F.sum("n").alias("c"))
-    # The condition itself bounds the rows: HEAVY_BYTES * shards + HEAVY_ROWS.
-    heavy = stored(texts.where((F.col("w") * HEAVY_BYTES * shards > (total[0] or 0)) | (F.col("c") * HEAVY_ROWS > (total[1] or 0))).select("h"), "heavy")
-    rows = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "h", "left")
+    split, hot = F.col("w") * HEAVY_BYTES * shards > (total[0] or 0), F.col("c") * HOT_ROWS > (total[1] or 0)
+    # At most HEAVY_BYTES * shards + HOT_ROWS rows; Spark sends them if their file is small, else joins by hash.
+    marks = stored(texts.select("h", split.alias("split"), F.when(hot, SALTS).otherwise(1).alias("salts")).where("split OR salts > 1"), "heavy")
+    rows = rows.join(marks, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     # Rows of one id and text go to pieces in turn, from one that their hash names.
-    numbers, share = _dealt("n", F.when(F.col("heavy"), F.lit(PIECES).cast("long")).otherwise(F.lit(1).cast("long")))
-    piece = F.when(F.col("heavy"), F.pmod(F.pmod(F.xxhash64("id", "h"), F.lit(PIECES)) + F.col("j"), F.lit(PIECES)).cast("int")).otherwise(F.lit(0))
-    rows = rows.withColumn("j", numbers).withColumn("n", share).withColumn("piece", piece).drop("heavy", "j")
+    numbers, share = _dealt("n", F.when(F.col("split"), F.lit(PIECES).cast("long")).otherwise(F.lit(1).cast("long")))
+    named = F.xxhash64("id", "h")
+    piece = F.when(F.col("split"), F.pmod(F.pmod(named, F.lit(PIECES)) + F.col("j"), F.lit(PIECES)).cast("int")).otherwise(F.lit(0))
+    rows = rows.withColumn("j", numbers).withColumn("n", share).withColumn("piece", piece).drop("split", "j")
+    rows = rows.withColumn("salt", F.pmod(F.shiftright(named, 16), F.col("salts")).cast("int"))
     largest = F.log2(F.max("size").cast("double"))
     x0 = F.least(F.floor(largest / 40 * (1 << COORDINATE_BITS)), F.lit((1 << COORDINATE_BITS) - 1))
     points = rows.groupBy("h", "piece").agg(
-        weight.alias("w"), x0.cast("long").alias("x0"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(1, dimensions)]
+        weight.alias("w"), x0.cast("long").alias("x0"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(1, dimensions)], F.max("salts").alias("salts")
     )
     tie = F.shiftrightunsigned(F.xxhash64("h", "piece"), 64 - TIE_BITS)
-    return rows, points.withColumn("tie", tie)
+    return rows.drop("salts"), points.withColumn("tie", tie)
 
 
-def _order_key(points: DataFrame, splits: dict[int, int]) -> DataFrame:
-    """Points of the nodes to be split, with ``k``, their place along the node's dimension."""
-    pick = reduce(lambda so_far, item: so_far.when(F.col("node") == item[0], F.col(f"x{item[1]}")), splits.items(), F)
-    return points.withColumn("k", F.shiftleft(pick.cast("long"), TIE_BITS).bitwiseOR(F.col("tie"))).where("k IS NOT NULL")
+def _key(dimensions: int) -> Column:
+    """The place of a point along dimension ``dim`` (from 1) of its node."""
+    x = F.array(*[F.col(f"x{i}").cast("long") for i in range(dimensions)])
+    return F.shiftleft(F.element_at(x, F.col("dim")), TIE_BITS).bitwiseOR(F.col("tie"))
 
 
-def _medians(keyed: DataFrame, goals: dict[int, float]) -> dict[int, int]:
-    """For each node the order key at which the weight below it passes the goal."""
-    prefix = {node: (0, 0.0) for node in goals}  # known upper bits of the cut, and the weight below them
+def _medians(points: DataFrame, splits: DataFrame, dimensions: int) -> DataFrame:
+    """``node, cut, below, at`` for ``splits`` (``node, dim, goal``): the order key at which the weight below it passes the
+    goal, the weight below, and the weight of that key itself."""
+    # The known upper bits of the cut, and the weight below them.
+    known = splits.select("node", "dim", "goal", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("below"))
     left = COORDINATE_BITS + TIE_BITS
     while left > 0:
         step = min(STEP_BITS, left)
         left -= step
-        known = F.shiftright("k", left + step)
-        inside = reduce(lambda a, b: a | b, [(F.col("node") == n) & (known == p) for n, (p, _) in prefix.items()])
-        bins = keyed.where(inside).groupBy("node", F.shiftright("k", left).alias("bin")).agg(F.sum("w").alias("w"))
-        order = Window.partitionBy("node").orderBy("bin")
-        sums = bins.select("node", "bin", "w", (F.sum("w").over(order) - F.col("w")).alias("below"))
-        goal = reduce(lambda so_far, n: so_far.when(F.col("node") == n, F.lit(goals[n] - prefix[n][1])), prefix, F)
-        rows = sums.where(F.col("below") <= goal).groupBy("node").agg(F.max(F.struct("bin", "below")).alias("m")).collect()
-        prefix = {r.node: (r.m.bin, prefix[r.node][1] + r.m.below) for r in rows}
-    return {node: p for node, (p, _) in prefix.items()}
-
-
-def _tree(points: DataFrame, shards: int, dimensions: int) -> tuple[DataFrame, list[list[tuple[int, int, int]]]]:
-    """Points with their leaf ``node``, and the splits (node, dimension, cut) of each level.  The children of
-    ``n`` are ``2n`` and ``2n + 1``."""
-    leaves = {1: shards}
+        keyed = points.join(known, "node").withColumn("k", _key(dimensions)).where(F.shiftright("k", left + step) == F.col("cut"))
+        bins = keyed.groupBy("node", "dim", "goal", "below", F.shiftright("k", left).alias("cut")).agg(F.sum("w").alias("at"))
+        # A node has at most 2 ** STEP_BITS bins.
+        sums = bins.withColumn("below", F.col("below") + F.sum("at").over(Window.partitionBy("node").orderBy("cut")) - F.col("at"))
+        best = sums.where("below <= goal").groupBy("node", "dim", "goal").agg(F.max(F.struct("cut", "below", "at")).alias("m"))
+        known = stored(best.select("node", "dim", "goal", "m.*"), "medians")
+    return known
+
+
+def _tree(points: DataFrame, shards: int, dimensions: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points with their leaf ``node``, and ``node, shard`` of the leaves.  The children of ``n`` are ``2n`` and ``2n + 1``.
+
+    A node is split in proportion to the leaves it is to have: half of its parent's, or, with ``most`` bytes a leaf, as many
+    as its bytes need.  Nodes and cuts are tables, so the plan of a level does not depend on their number."""
+    spark = points.sparkSession
     points = points.withColumn("node", F.lit(1).cast("long"))
-    levels = []
-    while any(n > 1 for n in leaves.values()):
-        widths = points.groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(f"x{i}") - F.min(f"x{i}")).alias(f"x{i}") for i in range(dimensions)])
-        facts = {r.node: r for r in widths.collect()}  # one row per node
-        split = {n: r for n, r in facts.items() if leaves[n] > 1}
-        if not split:
+    nodes = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("leaves"), F.lit(0).cast("long").alias("first"))
+    x = F.array(*[(F.max(f"x{i}") - F.min(f"x{i}")).cast("long") for i in range(dimensions)])
+    for _ in range(MAX_DEPTH):
+        facts = points.groupBy("node").agg(F.sum("w").alias("w"), x.alias("x"), (F.max("tie") > F.min("tie")).alias("ties")).join(nodes, "node")
+        if most is not None:
+            one_key = (F.array_max("x") == 0) & ~F.col("ties")
+            facts = facts.withColumn("leaves", F.when(one_key, F.lit(1).cast("long")).otherwise(F.ceil(F.col("w") / F.lit(most))))
+        # The first of the widest dimensions.
+        dim = F.array_position("x", F.array_max("x")).cast("int")
+        goal = F.col("w") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+        facts = stored(facts.select("node", "leaves", "first", "w", dim.alias("dim"), goal.alias("goal")), "nodes")
+        splits = facts.where("leaves > 1")
+        if splits.isEmpty():
             break
-        widest = {n: max(range(dimensions), key=lambda i, r=r: (r[f"x{i}"], -i)) for n, r in split.items()}
-        goals = {n: r.w * (leaves[n] // 2) / leaves[n] for n, r in split.items()}
-        cuts = _medians(_order_key(points, widest), goals)
-        levels.append([(n, widest[n], cut) for n, cut in sorted(cuts.items())])
-        leaves = {n: c for n, c in leaves.items() if n not in split} | {
-            child: c for n in split for child, c in ((2 * n, leaves[n] // 2), (2 * n + 1, leaves[n] - leaves[n] // 2))
-        }
-        points = _descend(points, levels[-1])
-    return points, levels
-
-
-def _descend(points: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
-    node = reduce(
-        lambda so_far, c: so_far.when(
-            F.col("node") == c[0],
-            2 * F.col("node") + (F.shiftleft(F.col(f"x{c[1]}"), TIE_BITS).bitwiseOR(F.col("tie")) >= c[2]).cast("long"),
-        ),
-        cuts,
-        F,
-    )
-    return points.withColumn("node", node.otherwise(F.col("node")))
+        cuts = _medians(points, splits, dimensions).select("node", "cut", "below", "at")
+        if most is not None:
+            cuts = _evened(cuts.join(facts.select("node", "w"), "node"))
+        cuts = stored(splits.join(cuts.select("node", "cut"), "node").select("node", "dim", "cut"), "cuts")
+        down = F.when(F.col("cut").isNotNull(), 2 * F.col("node") + (_key(dimensions) >= F.col("cut")).cast("long")).otherwise(F.col("node"))
+        points = stored(points.join(cuts, "node", "left").withColumn("node", down).drop("dim", "cut"), "points")
+        half = F.floor(F.col("leaves") / 2)
+        nodes = facts.where("leaves = 1").select("node", "leaves", "first").union(
+            splits.select((2 * F.col("node")).alias("node"), half.alias("leaves"), "first")
+        ).union(splits.select((2 * F.col("node") + 1).alias("node"), (F.col("leaves") - half).alias("leaves"), (F.col("first") + half).alias("first")))
+    return points, facts.select("node", F.col("first").cast("int").alias("shard")) if most is None else _numbered(facts)
+
+
+def _evened(cuts: DataFrame) -> DataFrame:
+    """Cuts moved behind their own key where that makes the larger side smaller, or where nothing lies below them.  So what is beside
+    a heavy point halves with each level, and a node of several keys is always cut."""
+    behind = F.greatest(F.col("below") + F.col("at"), F.col("w") - F.col("below") - F.col("at"))
+    before = F.greatest(F.col("below"), F.col("w") - F.col("below"))
+    last = F.col("below") + F.col("at") == F.col("w")
+    return cuts.withColumn("cut", F.when(~last & ((F.col("below") == 0) | (behind < before)), F.col("cut") + 1).otherwise(F.col("cut")))
+
+
+def _numbered(leaves: DataFrame) -> DataFrame:
+    """``node, shard``: leaves from left to right, from 0, by stretches of the tree."""
+    path = F.expr(f"shiftleft(node - shiftleft(1L, length(bin(node)) - 1), {MAX_DEPTH} - (length(bin(node)) - 1))")
+    placed = leaves.select("node", path.alias("path"), F.shiftright(path, MAX_DEPTH - STRETCH_BITS).alias("stretch"))
+    sizes = placed.groupBy("stretch").agg(F.count("*").alias("m"))  # at most 2 ** STRETCH_BITS rows
+    before = sizes.select("stretch", (F.sum("m").over(Window.orderBy("stretch")) - F.col("m")).alias("first"))
+    at = F.row_number().over(Window.partitionBy("stretch").orderBy("path")) - 1
+    return placed.withColumn("at", at).join(before, "stretch").select("node", (F.col("first") + F.col("at")).cast("int").alias("shard"))
 
 
 def kd_shards(
     docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("lang", "source"),
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", max_bytes: int | None = None,
 ) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
-    Give the number of shards, or the bytes a shard should have.  ``size`` is the text's bytes plus one (NULL
-    counts as no text), ``slot`` numbers the rows of a shard from 0 without gaps, ``grown_shard`` is NULL
-    (shards of this law move when their number changes).  NULL names are a value of their own; repeated
-    rows each get a slot; an empty table gives an empty result.  With fewer texts than shards some
-    shards stay empty.  Other columns are ignored."""
+    Give the number of shards, or the bytes a shard should have (then there are just as many as that takes on
+    average), or those it may have at most (then nodes are split until each holds no more, or a single text or piece of one).  ``size`` is the text's bytes plus one (NULL counts as no text), ``slot`` numbers the rows of a
+    shard from 0 without gaps, ``grown_shard`` is NULL (shards of this law move when their number changes).  NULL names are a
+    value of their own; repeated rows each get a slot; an empty table gives an empty result.  With fewer texts than
+    shards some shards stay empty.  Other columns are ignored."""
     rows = stored(_narrow(docs, id_column, text_column, list(dimensions)), "narrow")
     if shards is None:
-        shards = max(1, -(-(rows.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0) // target_bytes))
+        shards = max(1, -(-(rows.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0) // (target_bytes or max_bytes)))
+    elif target_bytes or max_bytes:
+        raise ValueError("give one of shards, target_bytes and max_bytes")
     dims = 1 + len(dimensions)
     rows, points = _points(rows, shards, dims)
-    points, levels = _tree(stored(points, "points"), shards, dims)
-    leaf = _leaf_numbers(shards)
-    number = F.element_at(F.create_map(*[F.lit(x) for pair in leaf.items() for x in pair]), F.col("node").cast("int"))
-    placed = rows.join(points.select("h", "piece", number.alias("shard")), ["h", "piece"])
+    points, leaves = _tree(stored(points, "points"), shards, dims, max_bytes)
+    salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    points = points.join(leaves, "node").select("h", "piece", "shard", salt.alias("salt"))
+    placed = rows.join(points, ["h", "piece", "salt"])
     return _slots(stored(placed.select("id", "size", "crc", "n", "shard"), "placed")).select(
         F.col("id").alias(id_column), "size", F.col("crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def _leaf_numbers(shards: int) -> dict[int, int]:
-    """Leaf nodes in the order of the tree, numbered from 0."""
-    out, stack = {}, [(1, shards)]
-    while stack:
-        node, n = stack.pop()
-        if n == 1:
-            out[node] = len(out)
-        else:
-            stack += [(2 * node + 1, n - n // 2), (2 * node, n // 2)]
-    return out
-
-
 def _slots(placed: DataFrame) -> DataFrame:
     """A row for each of the ``n``, numbered within its shard.  Runs of at most ``RUN_ROWS`` equal rows are dealt
     out over parts of about ``SLOT_ROWS`` rows at most."""

@@ -97,6 +97,29 @@ def test_target_bytes(spark):
     assert {r.shard for r in out} == {0, 1, 2, 3}
 
 
+def test_thousands_of_leaves_within_their_bytes_and_a_plan_as_for_eight(spark):
+    pick = random.Random(5)
+    rows = [doc(i, f"w{i} " * pick.randint(1, 30), pick.choice(["en", "de"]), pick.choice("abc")) for i in range(7000)] + [doc(9000, "long " * 3000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, size string, h int, node int")
+    many, few = kd_shards.kd_shards(docs, max_bytes=130), kd_shards.kd_shards(docs, max_bytes=100_000)
+    plans = [len(d._jdf.queryExecution().optimizedPlan().toString()) for d in (many, few)]
+    assert plans[0] < 1.1 * plans[1]
+    held, texts = defaultdict(int), defaultdict(set)
+    out = many.collect()
+    check(rows, out, len({r.shard for r in out}))
+    for r in out:
+        held[r.shard] += r.size
+        texts[r.shard].add(r.text_crc32)
+    assert len(held) > 4000 and all(n <= 130 or len(texts[s]) == 1 for s, n in held.items())
+
+
+def test_texts_with_most_rows_but_few_bytes_stay_whole(spark):
+    rows = [doc(i, "", ("en", "de")[i % 2]) if i % 3 == 0 else doc(i, f"text {i} " * 30) for i in range(3000)]
+    out = shards(spark, rows, shards=8)
+    check(rows, out, 8)
+    assert len({r.shard for r in out if r.size == 1}) == 1
+
+
 def plain_tree(points, shards):
     """Leaf of every point, by sorting each node and walking its weights."""
     out, todo = {}, [(1, shards, points)]
