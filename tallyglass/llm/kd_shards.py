@@ -115,8 +115,9 @@ def _tree(points: DataFrame, shards: int, dimensions: int, most: int | None = No
     A node is split in proportion to the leaves it is to have: half of its parent's, or, with ``most`` bytes a leaf, as many
     as its bytes need.  Nodes and cuts are tables, so the plan of a level does not depend on their number."""
     spark = points.sparkSession
-    points = points.withColumn("node", F.lit(1).cast("long"))
-    nodes = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(shards).cast("long").alias("leaves"), F.lit(0).cast("long").alias("first"))
+    # Written, and made of a number: with a constant on one side Spark would join without keys.
+    points = stored(points.withColumn("node", F.lit(1).cast("long")), "points")
+    nodes = spark.range(1, 2).select(F.col("id").alias("node"), F.lit(shards).cast("long").alias("leaves"), F.lit(0).cast("long").alias("first"))
     x = F.array(*[(F.max(f"x{i}") - F.min(f"x{i}")).cast("long") for i in range(dimensions)])
     for _ in range(MAX_DEPTH):
         facts = points.groupBy("node").agg(F.sum("w").alias("w"), x.alias("x"), (F.max("tie") > F.min("tie")).alias("ties")).join(nodes, "node")
@@ -180,7 +181,7 @@ def kd_shards(
         raise ValueError("give one of shards, target_bytes and max_bytes")
     dims = 1 + len(dimensions)
     rows, points = _points(rows, shards, dims)
-    points, leaves = _tree(stored(points, "points"), shards, dims, max_bytes)
+    points, leaves = _tree(points, shards, dims, max_bytes)
     salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     points = points.join(leaves, "node").select("h", "piece", "shard", salt.alias("salt"))
     placed = rows.join(points, ["h", "piece", "salt"])

@@ -141,6 +141,15 @@ def plain_tree(points, shards):
     return out
 
 
+def test_no_join_is_without_keys(spark, monkeypatch):
+    plans = []
+    keep = kd_shards.stored
+    monkeypatch.setattr(kd_shards, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label))
+    out = shards(spark, [doc(i, f"text {i}", ("en", "de")[i % 2]) for i in range(60)], shards=4)
+    assert len(out) == 60 and sum("Join" in p for p in plans) > 8
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
 @pytest.mark.parametrize("n", [2, 5, 8, 13])
 def test_cuts_are_those_of_a_plain_tree(spark, n):
     pick = random.Random(n)
