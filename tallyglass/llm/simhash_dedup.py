@@ -32,6 +32,8 @@ SEED = 42
 # A bucket of more fingerprints than this is compared in blocks by many tasks.
 BUCKET_ROWS = 4096
 BLOCK_ROWS = 2048
+# Fingerprints whose keys (about 180 each) one task writes.
+KEYED_ROWS = 1 << 14
 # Rows of sorted keys that a task gathers before it works on their buckets.
 HELD_ROWS = 1 << 17
 
@@ -191,9 +193,16 @@ def _edge_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "key"])
 
 
+def _dealt(fps: DataFrame) -> DataFrame:
+    """Fingerprints over as many tasks as their keys need: a file of 16 MB may hold a million of them,
+    and the sort buffers of a task grow with the keys it writes."""
+    tasks = -(-fps.count() // KEYED_ROWS)
+    return fps.select("fp").repartition(max(1, tasks), "fp")
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges ``a, b`` that join all fingerprints (column ``fp``, no repeats) at most ``max_bits`` apart
-    into their components: a spanning tree of each bucket, not its pairs."""
+    into their components: a spanning tree of each bucket, not its pairs.  ``fps`` is read twice, first to be counted."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
 
@@ -246,7 +255,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield from work(True)
         yield _edge_batch(_pairs(a, b))
 
-    key_rows = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    key_rows = _dealt(fps).mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = stored(key_rows.mapInArrow(linked, "a long, b long, key long"), "links")
     late = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     return found.where("key IS NULL").select("a", "b").union(_late_links(late, max_bits))

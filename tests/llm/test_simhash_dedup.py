@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyglass.llm import simhash_dedup
 from tallyglass.llm.components import connected_components
@@ -125,6 +126,24 @@ def test_buckets_beyond_what_a_task_holds(monkeypatch, spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
 
 
+def test_keys_are_written_by_many_tasks(monkeypatch, spark):
+    # One file holds far more fingerprints than the keys of which one task should sort.
+    monkeypatch.setattr(simhash_dedup, "KEYED_ROWS", 64)
+    rows = spark.range(0, 500, 1, 1).select(F.xxhash64("id").alias("fp"))
+    plans = []
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash_dedup, "stored", kept)
+    simhash_dedup.links(rows)
+    assert "RepartitionByExpression [fp#" in plans[0] and "], 8" in plans[0]
+    sizes = [r["count"] for r in simhash_dedup._dealt(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 500 and max(sizes) < 2 * 64
+    assert simhash_dedup._dealt(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 12])
 def test_components_of_a_path(spark, n):
     order = list(range(n + 1))
