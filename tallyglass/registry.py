@@ -95,12 +95,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_source(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return lines.agg(
+    """Counts of the whole landing, which is read part by part."""
+    counts = [
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.octet_length("value") <= MAX_EVENT_BYTES).alias("n_fitting"),
         F.count_if(F.col("value").startswith('{"metadata"')).alias("n_documents"),
-    )
+    ]
+    parts = [read_events(spark, path).agg(*counts).first() for path in T.landing_parts(spark, sf_dir)]
+    return spark.createDataFrame([tuple(map(sum, zip(*parts)))], "n_events bigint, n_fitting bigint, n_documents bigint")
 
 
 @query

@@ -5,10 +5,12 @@ is SQL that both Spark and DuckDB evaluate; the few spellings that differ are in
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.operators.ingest import IngestOptions
@@ -177,29 +179,34 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
-def source_rows(spark: SparkSession, sf_dir: str, documents: bool = True) -> DataFrame:
-    """(i, ts, user_id, event_type[, doc_text]), one row per event."""
+def source_rows(spark: SparkSession, sf_dir: str, documents: bool = True, part: Column | None = None, small: bool = False) -> DataFrame:
+    """(i, ts, user_id, event_type[, doc_text]), one row per event; of a ``part`` only, which is sent to the documents if it
+    is ``small``, so that no text is shuffled for it."""
     configure(spark)
     events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select(
         F.col("event_id").alias("i"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
     )
+    if part is not None:
+        events = events.where(part)
     if not documents:
         return events
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", F.col("text").alias("doc_text")
     )
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # answered from file footers
-    return events.join(docs, F.col("i") % F.lit(n_docs) == F.col("doc_id")).drop("doc_id")
+    return (F.broadcast(events) if small else events).join(docs, F.col("i") % F.lit(n_docs) == F.col("doc_id")).drop("doc_id")
 
 
-def versions(rows: DataFrame, moved: bool = False) -> DataFrame:
+def versions(rows: DataFrame, moved: bool = False, only: int | None = None) -> DataFrame:
     """Every row, every tenth one again with another wall time, and with ``moved`` every fiftieth
-    instead again a second later."""
+    instead again a second later; or ``only`` those of one number, cut out before the rows are widened."""
     resent = (
         "CASE WHEN i % 50 = 0 THEN array(0L, 2L) WHEN i % 10 = 0 THEN array(0L, 1L) ELSE array(0L) END"
         if moved
         else "CASE WHEN i % 10 = 0 THEN array(0L, 1L) ELSE array(0L) END"
     )
+    if only is not None:
+        return rows.where(F.array_contains(F.expr(resent), F.lit(only).cast("bigint"))).withColumn("v", F.lit(only).cast("bigint"))
     return rows.withColumn("v", F.explode(F.expr(resent)))
 
 
@@ -319,28 +326,67 @@ def landing_lines(versioned: DataFrame, own_keys: bool = True) -> DataFrame:
 
 
 # What a session has already written, by application and source folder.
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
+def _once(spark: SparkSession, sf_dir: str, kind: str, build):
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _written:
         _written[key] = build()
     return _written[key]
 
 
+def _land(rows: DataFrame, path: str, mode: str = "error", compression: str | None = None) -> str:
+    for v in (0, 1):
+        landing_lines(versions(rows, only=v)).write.mode(mode).text(f"{path}/v={v}", compression=compression)
+    return path
+
+
 def landing(spark: SparkSession, sf_dir: str) -> str:
     """Folder of JSON lines: first sendings below ``v=0``, resends below ``v=1``."""
+    configure(spark)
+    return _once(spark, sf_dir, "landing", lambda: _land(source_rows(spark, sf_dir), fresh_path(spark, "landing")))
+
+
+# Events of one part of a landing that is worked off part by part.
+PART_EVENTS = 500_000
+
+
+def event_parts(spark: SparkSession, sf_dir: str) -> list[tuple[Column, int]]:
+    """Conditions on the time that cut the events into parts of about ``PART_EVENTS``, with the events of each.  Every event
+    is in one part, and events of one time are in the same, so that no key of the log is in two; those without a time
+    are in the first."""
+    events = source_rows(spark, sf_dir, documents=False)
+    n = -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // PART_EVENTS)  # answered from file footers
+    at = F.unix_micros("ts")
+    cuts = events.agg(F.percentile_approx(at, [k / n for k in range(1, n)])).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return [(F.lit(True), events.count())]
+    parts = [F.coalesce(at <= cuts[0], F.lit(True))]
+    parts += [(at > a) & (at <= b) for a, b in zip(cuts, cuts[1:])] + [at > cuts[-1]]
+    return list(zip(parts, events.agg(*[F.count_if(part) for part in parts]).first()))
 
-    def build() -> str:
-        path = fresh_path(spark, "landing")
-        rows = versions(source_rows(spark, sf_dir))
-        for v in (0, 1):
-            landing_lines(rows.where(F.col("v") == v)).write.text(f"{path}/v={v}")
-        return path
 
+def landing_parts(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """The documents of ``landing`` for a reader that is done with a part before it takes the next: each part is written
+    over the one before, so that no more than one lies on disk.  A landing of one part is the shared one."""
     configure(spark)
-    return _once(spark, sf_dir, "landing", build)
+    parts = _parts(spark, sf_dir)
+    if len(parts) == 1:
+        yield landing(spark, sf_dir)
+        return
+    path = fresh_path(spark, "landing-part")
+    for part, n in parts:
+        rows = source_rows(spark, sf_dir, part=part, small=n <= 2 * PART_EVENTS)
+        yield _land(rows, path, mode="overwrite", compression="lz4")
+        # Shuffle files of a part that is done go when the objects that own them are collected.
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> list[tuple[Column, int]]:
+    return _once(spark, sf_dir, f"parts of {PART_EVENTS}", lambda: event_parts(spark, sf_dir))
 
 
 def plain_landing(spark: SparkSession, sf_dir: str) -> str:
