@@ -78,8 +78,14 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.log_table(spark, sf_dir)
 
 
+def _lean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log for those who read only its lean columns."""
+    return T.log_table(spark, sf_dir, lean=True)
+
+
 def _latest(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    return Q.scan_latest(_log(spark, sf_dir), columns).select(*columns)
+    log = _lean if set(columns) <= set(T.LEAN_COLUMNS) else _log
+    return Q.scan_latest(log(spark, sf_dir), columns).select(*columns)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +170,7 @@ def append_log(spark, sf_dir):
 
 def _narrow_table(spark, sf_dir, label: str, flushes: int = 1) -> str:
     """A table of summaries, written in one flush or one flush per version."""
-    log = _log(spark, sf_dir)
+    log = _lean(spark, sf_dir)
     table = T.new_table_name(spark, label)
     TB.create_log_table(spark, table, [*SUMMARY_COLUMNS, *VERSION_COLUMNS])
     if flushes == 1:
@@ -188,7 +194,7 @@ def create_log_table(spark, sf_dir):
 
 @query
 def partition_day(spark, sf_dir):
-    return _log(spark, sf_dir).select(
+    return _lean(spark, sf_dir).select(
         "query_id",
         "ingest_seq",
         TM.partition_day(F.col("create_time")).alias("create_day"),
@@ -198,7 +204,7 @@ def partition_day(spark, sf_dir):
 
 @query
 def cluster_on_write(spark, sf_dir):
-    return TB.clustered(_log(spark, sf_dir).select(*_SHORT, "create_date"))
+    return TB.clustered(_lean(spark, sf_dir).select(*_SHORT, "create_date"))
 
 
 @query
@@ -344,7 +350,7 @@ def ellipsize(spark, sf_dir):
 def _filtered(name: str, f: L.QueryFilter) -> None:
     _register(
         name,
-        lambda spark, sf_dir: L.filtered_summaries(_log(spark, sf_dir), f).select(*SUMMARY_COLUMNS),
+        lambda spark, sf_dir: L.filtered_summaries(_lean(spark, sf_dir), f).select(*SUMMARY_COLUMNS),
     )
 
 
@@ -361,7 +367,7 @@ def time_range(spark, sf_dir):
     """How many current queries each named range holds, one scan for all of them."""
     names = [*L.RANGES, "unknown"]
     bounds = {n: L.range_filter(n, NOW) for n in names}
-    widest = L.filter_until(L.filter_since(_log(spark, sf_dir), min(b.since for b in bounds.values())), NOW)
+    widest = L.filter_until(L.filter_since(_lean(spark, sf_dir), min(b.since for b in bounds.values())), NOW)
     rows = Q.scan_latest(widest, ["query_id", "create_time"])
     inside = [
         F.count_if(
@@ -411,7 +417,7 @@ def _sorted(name: str, **fields) -> None:
     f = L.QueryFilter(**WINDOW, **fields)
 
     def run(spark, sf_dir):
-        page = L.list_queries(_log(spark, sf_dir), f)
+        page = L.list_queries(_lean(spark, sf_dir), f)
         return L.with_position(page, L.order_columns(f.sort, f.desc), f.offset)
 
     _register(name, run)
@@ -445,7 +451,7 @@ def limit_clamp(spark, sf_dir):
         asked += [(f"{door}:{text}", k, 0) for door, k in doors.items()]
         asked.append((f"offset:{text}", L.MAX_LIMIT, L.api_offset(text)))
     current = fresh_path(spark, "current")
-    L.filtered_summaries(_log(spark, sf_dir), L.QueryFilter()).select("create_time", "query_id").write.parquet(current)
+    L.filtered_summaries(_lean(spark, sf_dir), L.QueryFilter()).select("create_time", "query_id").write.parquet(current)
     rows, order = spark.read.parquet(current), L.order_columns("", False)
     pages = [
         L.take_page(rows, order, k, o).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), F.lit(o).alias("o"), "n")
@@ -458,28 +464,28 @@ def limit_clamp(spark, sf_dir):
 @query
 def api_list(spark, sf_dir):
     request = {"range": "30d", "user": " ", "catalog": " hive ", "sort": "bogus", "limit": "700", "offset": "10"}
-    return L.api_list(_log(spark, sf_dir), request, NOW)
+    return L.api_list(_lean(spark, sf_dir), request, NOW)
 
 
 @query
 def page_after(spark, sf_dir):
     """The page behind the last row of another, in an order with many ties."""
     f = L.QueryFilter(**WINDOW, sort="rows", desc=True, limit=200)
-    last = L.list_queries(_log(spark, sf_dir), f).orderBy(*[c for c in L.order_columns("rows", True)]).tail(1)
+    last = L.list_queries(_lean(spark, sf_dir), f).orderBy(*[c for c in L.order_columns("rows", True)]).tail(1)
     after = (last[0].output_rows, last[0].query_id) if last else None
-    return L.list_queries(_log(spark, sf_dir), replace(f, after=after))
+    return L.list_queries(_lean(spark, sf_dir), replace(f, after=after))
 
 
 @query
 def page_has_next(spark, sf_dir):
     f = L.QueryFilter(**WINDOW, sort="bytes", desc=True)
-    return L.ui_list_page(_log(spark, sf_dir), f, page=3)
+    return L.ui_list_page(_lean(spark, sf_dir), f, page=3)
 
 
 def _top(key: str) -> None:
     _register(
         f"top_{key}",
-        lambda spark, sf_dir: L.top_by(_log(spark, sf_dir), key, L.QueryFilter(state="FINISHED")),
+        lambda spark, sf_dir: L.top_by(_lean(spark, sf_dir), key, L.QueryFilter(state="FINISHED")),
     )
 
 
@@ -489,7 +495,7 @@ for _key in ("wall", "cpu", "bytes", "mem"):
 
 @query
 def top_by(spark, sf_dir):
-    return L.top_by(_log(spark, sf_dir), "cpu", L.QueryFilter(catalog="iceberg"), limit=500)
+    return L.top_by(_lean(spark, sf_dir), "cpu", L.QueryFilter(catalog="iceberg"), limit=500)
 
 
 FLAGSHIP = L.QueryFilter(
@@ -499,7 +505,7 @@ FLAGSHIP = L.QueryFilter(
 
 @query
 def list_queries(spark, sf_dir):
-    return L.list_queries(_log(spark, sf_dir), FLAGSHIP)
+    return L.list_queries(_lean(spark, sf_dir), FLAGSHIP)
 
 
 # --- versions ------------------------------------------------------------------------------
@@ -721,14 +727,14 @@ def _case(now: datetime, days: int) -> str:
 @query
 def retention_cutoff(spark, sf_dir):
     """What retention keeps at each of these times."""
-    log = _log(spark, sf_dir)
+    log = _lean(spark, sf_dir)
     return _counted([(_case(*c), TB.retained_rows(log, TB.retention_cutoff(*c))) for c in UPKEEP_CASES], "kept_at")
 
 
 @query
 def retained_rows(spark, sf_dir):
     cutoff = CUTOFF.replace(tzinfo=timezone.utc)
-    return TB.retained_rows(_log(spark, sf_dir), cutoff).select(*_SHORT)
+    return TB.retained_rows(_lean(spark, sf_dir), cutoff).select(*_SHORT)
 
 
 @query
@@ -749,7 +755,7 @@ def prune_exact(spark, sf_dir):
 @query
 def compaction_window(spark, sf_dir):
     """The rows of the days that a compaction run at these times looks at."""
-    log = _log(spark, sf_dir)
+    log = _lean(spark, sf_dir)
     return _counted([(_case(*c), L.filter_since(log, TB.compaction_window(*c))) for c in UPKEEP_CASES], "run_at")
 
 

@@ -28,7 +28,7 @@ from tallyglass.operators.fingerprint import sealed, word_sums
 from tallyglass.operators.ingest import IngestOptions, decode_and_rate, ingest_rows
 from tallyglass.operators.table import append_log, overwrite_partitions, rewrite_days
 from tallyglass.operators.versions import dedupe_flush
-from tallyglass.schema import PARTITION_COLUMN, VERSION_COLUMNS
+from tallyglass.schema import PARTITION_COLUMN, ROW_KEY, VERSION_COLUMNS
 from tallyglass.session import fresh_path
 from tallyglass.sources.events import ARRIVAL_COLUMNS, stream_events
 
@@ -81,11 +81,16 @@ def batch_facts(checked: DataFrame) -> dict:
     return row.asDict() | {"repeats": row["keys"] < row["rows_enqueued"]}
 
 
-def batch_rows(lines: DataFrame, options: IngestOptions = IngestOptions(), repeats: bool = True) -> DataFrame:
-    """The rows one flush writes: decoded, shaped, one per key.  Their version is what the event carries, if the
-    options allow that, else NULL until the flush stamps it.  A batch known to be without ``repeats`` needs no
-    shuffle here."""
+def batch_rows(
+    lines: DataFrame, options: IngestOptions = IngestOptions(), repeats: bool = True, columns: list[str] | None = None
+) -> DataFrame:
+    """The rows one flush writes: decoded, shaped, one per key, of those ``columns`` that the table has.  Their version is
+    what the event carries, if the options allow that, else NULL until the flush stamps it.  A batch known to be without
+    ``repeats`` needs no shuffle here."""
     rows = ingest_rows(decode_and_rate(lines, options), options)
+    if columns is not None:
+        needed = {*columns, *ROW_KEY, *VERSION_COLUMNS, *ARRIVAL_COLUMNS}
+        rows = rows.select(*[c for c in rows.columns if c in needed])
     if not repeats:
         return rows.drop(*ARRIVAL_COLUMNS)
     rows = rows.withColumn("line_order", F.monotonically_increasing_id())
@@ -313,7 +318,7 @@ def flush_batch(
                 _enter(spark, ledger, [{"stream": stream, "epoch": epoch, "number": number, "state": "begun", "flushed_at": at}])
                 begun = True
             mark = _mark(epoch, first)
-            append_log(stamped(batch_rows(part, options, facts["repeats"]), at, number, mark), table)
+            append_log(stamped(batch_rows(part, options, facts["repeats"], spark.table(table).columns), at, number, mark), table)
             if facts["events_invalid"]:
                 rejects = checked.where("status IN ('malformed', 'invalid')").select(
                     "value", "status", F.lit(number).cast("bigint").alias("number"), F.lit(mark).alias("flush"),

@@ -69,3 +69,20 @@ def test_event_source_counts_all_parts(spark, tables, monkeypatch):
     monkeypatch.setattr(T, "landing", lambda *a: landed.append(a))
     assert result(spark, "event_source", tables) == want
     assert not landed  # the landing is never on disk as a whole
+
+
+QUERIES = ["compact", "partition_day", "filter_since", "sort_cpu", "api_list", "dashboard_report", "explode_inputs"]
+
+
+def test_queries_over_a_log_of_parts(spark, tables, monkeypatch):
+    want = {name: result(spark, name, tables) for name in QUERIES}
+    texts = ["query_id", "ingest_seq", "query_text", "plan", "query_preview"]
+    whole = sorted(map(str, T.log_table(spark, tables).select(*texts).collect()))
+    assert all(want.values())
+    monkeypatch.setattr(T, "PART_EVENTS", 50)
+    monkeypatch.setattr(T, "landing", lambda *a: pytest.fail("the landing is on disk as a whole"))
+    lean = T.log_table(spark, tables, lean=True)
+    assert "query_text" not in lean.columns and "plan" not in lean.columns
+    assert sorted(map(str, T.log_table(spark, tables).select(*texts).collect())) == whole
+    for name in QUERIES:
+        assert result(spark, name, tables) == want[name], name
